@@ -149,8 +149,8 @@ def q_beijing_time(spark, sf):
 
 
 @query(f"""with {FORMULA_SQL},
-eq as (select doc_id, item_index, case item_index % 3 when 0 then formula when 1 then ' $$' || formula || '$$ ' else '\\[' || formula || '\\]' end raw, item_index % 3 kind, formula from v5)
-select doc_id, item_index, raw raw_formula, formula katex_formula, case kind when 0 then 0 when 1 then 3 else 2 end katex_start, (case kind when 0 then 0 when 1 then 3 else 2 end + length(formula))::int katex_end from eq""")
+eq as (select doc_id, item_index, case item_index % 3 when 0 then formula when 1 then ' $$' || formula || '$$ ' else '\\[' || formula || '\\]' end raw, item_index % 3 form, formula from v5)
+select doc_id, item_index, raw raw_formula, formula katex_formula, case form when 0 then 0 when 1 then 3 else 2 end katex_start, (case form when 0 then 0 when 1 then 3 else 2 end + length(formula))::int katex_end from eq""")
 def q_equation_span(spark, sf):
     i = F.col("item_index") % 3
     raw = F.when(i == 0, F.col("formula")).when(i == 1, F.concat(F.lit(" $$"), F.col("formula"), F.lit("$$ "))).otherwise(F.concat(F.lit("\\["), F.col("formula"), F.lit("\\]")))
@@ -191,7 +191,7 @@ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
   'O\s+u\s+t\s+p\s+u\s+t', '\\mathrm{Output}', 'g'),
   'F\s+I\s+C\s+(\d+)', '\\mathrm{FIC\1}', 'g'),
   '\\frac\s*\{\s*m\s+3\s*\}\s*\{\s*h\s*\}', '\\frac{\\mathrm{m}^{3}}{\\mathrm{h}}', 'g')"""
-_RULE = "case item_index when 2 then 'mineru_complement_subscript_c' when 3 then 'mineru_degree_complement_c' when 4 then 'numbered_instrument_tag' when 5 then 'cubic_metre_per_hour' when 6 then 'fixed_process_control_field' else '' end"
+_RULE = "case kind when 2 then 'mineru_complement_subscript_c' when 3 then 'mineru_degree_complement_c' when 4 then 'numbered_instrument_tag' when 5 then 'cubic_metre_per_hour' when 6 then 'fixed_process_control_field' else '' end"
 
 
 @query(f"with {FORMULA_SQL} select doc_id, item_index, {_REPAIRED} normalized_formula, {_RULE} rules from v5")
@@ -205,7 +205,7 @@ def _audited(spark, sf):
 
 
 _AUDIT_SQL = f"""{FORMULA_SQL},
-a as (select *, item_index between 2 and 6 repaired, item_index in (2, 3, 4, 5, 7) suspicious, {_REPAIRED} fixed from v5)"""
+a as (select *, kind between 2 and 6 repaired, kind in (2, 3, 4, 5, 7) suspicious, {_REPAIRED} fixed from v5)"""
 
 
 @query(f"""with {_AUDIT_SQL}

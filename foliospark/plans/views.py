@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank
@@ -92,14 +92,15 @@ FORMULAS = (
 
 def formula_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: line items as text items with one formula and an amount."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"), F.row_number().over(order).cast("bigint").alias("no"))
     pick = F.lit("y")
     for n, f in enumerate(FORMULAS, 1):
         pick = F.when(F.col("l_linenumber") == n, F.replace(F.lit(f), F.lit("{p}"), F.col("p"))).otherwise(pick)
-    rows = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("item_index"), pick.alias("formula"), "p", "s")
+    rows = li.select(F.col("l_orderkey").alias("doc_id"), F.col("no").alias("item_index"), F.col("l_linenumber").alias("kind"), pick.alias("formula"), "p", "s")
     text = F.concat(F.lit("Row "), F.col("p"), F.lit(": $"), F.col("formula"), F.lit("$ costs $"), F.col("s"), F.lit(" now."))
     nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("text_level", "bigint"), ("table_body", "string"), ("img_path", "string"), ("captions", "array<string>"), ("footnotes", "array<string>"))}
-    return rows.select("doc_id", "item_index", F.lit("text").alias("type"), text.alias("text"), F.lit("string").alias("text_kind"), F.lit(False).alias("has_text_level"), (F.col("item_index") % 3).alias("page_idx"), F.lit(None).cast("string").alias("bbox"), "formula", *nothing.values())
+    return rows.select("doc_id", "item_index", F.lit("text").alias("type"), text.alias("text"), F.lit("string").alias("text_kind"), F.lit(False).alias("has_text_level"), (F.col("kind") % 3).cast("bigint").alias("page_idx"), F.lit(None).cast("string").alias("bbox"), "formula", *nothing.values())
 
 
 def _cases() -> str:
@@ -109,7 +110,7 @@ def _cases() -> str:
 
 FORMULA_SQL = f"""
 v5 as (
-  select l_orderkey doc_id, l_linenumber::bigint item_index, {_cases()} formula, l_partkey::varchar p, l_suppkey::varchar s, l_linenumber % 3 page_idx from lineitem),
+  select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) item_index, l_linenumber kind, {_cases()} formula, l_partkey::varchar p, l_suppkey::varchar s, l_linenumber % 3 page_idx from lineitem),
 v5t as (select *, 'Row ' || p || ': $' || formula || '$ costs $' || s || ' now.' as text from v5)"""
 
 
