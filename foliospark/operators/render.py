@@ -19,6 +19,10 @@ def _auxiliary(values: str, translated: str) -> Column:
     return F.filter(own, non_blank)
 
 
+def _lookup(name: str):
+    return lambda i: F.try_element_at(F.col(name), i)
+
+
 def render_parts(items: DataFrame, replacements: DataFrame | None = None, auxiliary: DataFrame | None = None) -> DataFrame:
     """doc_id, item_index, parts: the Markdown parts of each item that has any.
 
@@ -46,7 +50,7 @@ def render_parts(items: DataFrame, replacements: DataFrame | None = None, auxili
         for s in ("caption", "footnote"):
             n = F.size(F.coalesce(F.col(f"{s}s"), F.array().cast("array<string>")))
             places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-            df = df.withColumn(f"__{s}s", F.transform(places, lambda i, s=s: F.try_element_at(F.col(f"__{s}_map"), i)))
+            df = df.withColumn(f"__{s}s", F.transform(places, _lookup(f"__{s}_map")))
     done = F.col("translation_status") == "success"
     text = F.when(done & non_blank(F.col("translated_text")), F.col("translated_text")).otherwise(F.col("text"))
     table = F.when(done & non_blank(F.col("translated_table_body")), F.col("translated_table_body")).otherwise(F.col("table_body"))
