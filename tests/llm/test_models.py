@@ -1,0 +1,88 @@
+import zlib
+
+import numpy as np
+
+from foliospark.llm import language_id as li
+from foliospark.llm import quality as q
+from foliospark.llm import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_trees_against_a_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] < -0.2)).astype(float)
+    model = q.fit(x, y, trees=20)
+    score = model.score(x)
+    assert ((score > 0.5) == y).mean() > 0.97
+    for r in range(20):
+        margin = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(x[r, f[node]] > t[node])
+            margin += v[node - len(f)]
+        assert abs(score[r] - 1 / (1 + np.exp(-margin))) < 1e-6
+
+
+def test_statistics_of_odd_texts(monkeypatch):
+    assert not q.statistics(None).any() and not q.statistics("").any()
+    for text in (" ", "\n", "word", "a " * 1000, "ÄÖ!\x00", "\ud800"):
+        assert np.isfinite(q.statistics(text)).all()
+    assert len(q.statistics("x")) == len(q.FEATURES)
+
+
+def test_quality_held_out(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = queries.op6_quality_classifier(spark, SF).collect()
+    assert len(rows) == 1000
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    own = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([a == b for a, b in own]) > 0.93
+    assert np.mean([a for a, b in own if b]) > 0.97
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (2, "")], "doc_id bigint, text string").selectExpr("doc_id", "text", "1 as score", "2 as __score_2")
+    none = spark.createDataFrame([(None, 1), (1, None)], "doc_id bigint, quality int")
+    assert [(r.score, r.predicted) for r in q.classify(docs, none).collect()] == [(0.5, 1)] * 4
+    assert q.classify(docs.limit(0), none).count() == 0
+    assert q.keep_good(docs, none).columns == docs.columns
+
+
+def test_kernel_scores_against_sets():
+    texts = ["the cat sat", "le chat dort", "die katze schläft", "the dog ran", "le chien court", "der hund lief"]
+    langs = ["en", "fr", "de"] * 2
+    m = li.fit(texts, langs, landmarks=2)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    used = set().union(*map(grams, texts)) - {" ", "  ", "   "}
+    want = np.array([[len(grams(a) & grams(b) & used) / np.sqrt(len(grams(a) & used) * len(grams(b) & used)) for b in texts] for a in texts])
+    p = np.stack([li.present(t, m.alphabet, m.slots, m.n_slots)[0] for t in texts])
+    x = p / np.sqrt(p.sum(1, keepdims=True))
+    assert np.allclose(x @ m.landmarks, want, atol=1e-6)
+    assert np.allclose(m.scores(p), want @ m.weights, atol=1e-4)
+
+
+def test_long_text_is_read_in_steps(monkeypatch):
+    m = li.fit(["abc def ghi jkl", "xyz xyw vvv"], ["a", "b"])
+    text = "abc def xyz ghi"
+    whole = li.present(text, m.alphabet, m.slots, m.n_slots)[0]
+    monkeypatch.setattr(li, "STEP", 4)
+    assert (li.present(text, m.alphabet, m.slots, m.n_slots)[0] == whole).all()
+
+
+def test_languages_held_out(spark):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op7_language_id(spark, SF).collect()
+    assert len(rows) == len(truth) and all(0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if r.held_out]) > 0.97
+
+
+def test_language_edges(spark):
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["123 !", None, "", "text"])], "doc_id bigint, text string, lang string")
+    assert [r.lang_pred for r in li.identify(docs).collect()] == ["und"] * 4
+    good = spark.createDataFrame([(i, "hello there you" if i % 2 else "bonjour mes amis", "en" if i % 2 else "fr") for i in range(40)] + [(None, "hello", "en"), (99, "漢字 😀", None), (98, "12", "xx")], docs.schema)
+    got = {r.doc_id: r.lang_pred for r in li.identify(good).collect()}
+    assert got[None] == "en" and got[98] == "und" and got[99] in ("en", "fr", "xx")
+    assert li.identify(docs.limit(0)).count() == 0
