@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import _NOT_WORD, pieces, words
 
 SEED_WORDS = 3
-#: The rarest n-gram in every run of so many n-grams of an item is a seed.
+#: Whatever its frequency, the rarest n-gram in every run of so many n-grams of an item is a seed.
 SEED_WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
@@ -101,12 +101,19 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> int:
 
 
 def choose_seeds(items: Items, df: dict[int, int], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted seed n-grams, and for each the items that have it, as rows (item, place). Every run of `window` n-grams of an item keeps its rarest (ties: the first), so an unchanged stretch of window + n - 1 words is always found, however frequent."""
+    """Sorted seed n-grams, and for each the items that have it, as rows (item, place).
+
+    Rare are the n-grams of at most twice the document frequency of the item's median one; all of them
+    are seeds, so an edited copy is found by any n rare words in a row. Besides, every run of `window`
+    n-grams keeps its rarest (ties: the first), so a stretch of window + n - 1 unchanged words is found
+    however frequent its words are.
+    """
     seeds: dict[int, list] = {}
     for k, seq in enumerate(items.seqs):
         grams = items.grams(seq)
         rare = np.array([df.get(int(g), 0) for g in grams])
         chosen = {s + int(np.argmin(rare[s : s + window])) for s in range(max(1, len(grams) - window + 1))}
+        chosen.update(np.flatnonzero(rare <= 2 * np.median(rare)).tolist())
         for p in sorted(chosen):
             seeds.setdefault(int(grams[p]), []).append((k, p))
     keys = np.array(sorted(seeds), np.int64)
@@ -184,7 +191,7 @@ def find_leaks(
 
     score = best local alignment / score of the item against itself, reported from min_score on.
     1. Document frequencies of all n-grams of the items, over all documents (one row a task and n-gram
-       before the shuffle). 2. The rarest n-gram of every window of an item is a seed; documents that
+       before the shuffle). 2. The rare n-grams of an item are seeds (see choose_seeds); documents that
        hold one are aligned with the item around it, in the same task.
 
     Words are runs of letters, digits and underscores in lower case. Null text is empty; a null doc_id

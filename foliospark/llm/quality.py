@@ -68,11 +68,13 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each row of x, all rows and trees at once, a step for each level."""
-        trees, rows = np.arange(len(self.feature))[None, :], np.arange(len(x))[:, None]
-        node = np.zeros((len(x), len(self.feature)), np.intp)
-        for _ in range(int(np.log2(self.feature.shape[1] + 1)) if len(self.feature) else 0):
-            node = 2 * node + 1 + (x[rows, self.feature[trees, node]] > self.threshold[trees, node])
-        margin = self.base + (self.leaf[trees, node - self.feature.shape[1]].sum(1) if len(self.feature) else 0)
+        margin = np.full(len(x), self.base)
+        if len(self.feature):
+            trees, rows = np.arange(len(self.feature))[None, :], np.arange(len(x))[:, None]
+            node = np.zeros((len(x), len(self.feature)), np.intp)
+            for _ in range(int(np.log2(self.feature.shape[1] + 1))):
+                node = 2 * node + 1 + (x[rows, self.feature[trees, node]] > self.threshold[trees, node])
+            margin += self.leaf[trees, node - self.feature.shape[1]].sum(1)
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
