@@ -7,14 +7,11 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are cut into pieces of about this many characters wherever lists of words are made, so memory doesn't grow with a text.
 CHUNK_CHARS = 1 << 20
-#: Words that a worker remembers the hash of; the memory is emptied when full.
-CACHE_WORDS = 200_000
 
 WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s")
@@ -42,6 +39,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def held_out(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 5, is 0. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
@@ -63,23 +67,45 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered."""
+_FACTOR = 0xD1342543DE82EF95
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor modulo 2**64 and their inverses, from 0 to n at least; kept for the worker's life."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n + 1, CHUNK_CHARS + 4096)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, f, np.uint64)])) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+
+class WordHashes:
+    """64-bit hashes of the lower-case words (runs of letters, digits and underscores) of texts, by prefix sums of a polynomial over code points."""
+
+    def __init__(self) -> None:
+        self._word = np.fromiter((chr(c).isalnum() or c == 95 for c in range(1 << 16)), bool, 1 << 16)
 
     def of(self, text: str) -> np.ndarray:
-        """Hashes of the lower-case words of the whole text, in order."""
-        out = []
-        for piece in pieces(text, cut=_NOT_WORD):
-            found = words(piece)
-            out.append(np.fromiter(map(self.__getitem__, found), np.uint64, len(found)))
+        """Hashes of the words of the whole text, in order."""
+        out = [self._piece(piece) for piece in pieces(text, cut=_NOT_WORD)]
         return out[0] if len(out) == 1 else np.concatenate(out)
 
+    def _piece(self, piece: str) -> np.ndarray:
+        points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.zeros(len(points) + 2, np.int8)
+        far = points >= 1 << 16
+        if far.any():
+            inside[1:-1] = self._word[np.where(far, 0, points)]
+            inside[1:-1][far] = [chr(c).isalnum() for c in points[far]]
+        else:
+            inside[1:-1] = self._word[points]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        power, inverse = _powers(len(points))
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(points * power[: len(points)], dtype=np.uint64, out=sums[1:])
+        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
