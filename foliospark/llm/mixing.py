@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: The table of sources is sent to all tasks only if it has at most so many rows; otherwise Spark joins it by shuffle and splits the hot sources.
 BROADCAST_SOURCES = 10_000
 #: Largest mean repetition of a source.
@@ -56,17 +58,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     draw the same count. Rates are cut at 500. Empty table: no rows. Columns named like copy_no or
     mix_key are replaced; other columns are kept.
     """
+    source, cdf, count, name = (unused(docs, x) for x in ("source_key", "cdf", "count", "ident"))
     rates, sources = source_rates(docs, weights, epochs)
-    rates = rates.withColumn("__cdf", poisson_cdf(F.col("rate"))).select(F.col("source_key").alias("__source"), "__cdf")
+    rates = rates.select(F.col("source_key").alias(source), poisson_cdf(F.col("rate")).alias(cdf))
     if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     names = [c for c in docs.columns if c not in ("copy_no", "mix_key")]
     ident = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
     u = uniform(ident, seed)
-    joined = docs.join(rates, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("__source"))
-    counted = joined.withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= u)))
-    copies = counted.filter("__count > 0").select(*[docs[c] for c in names], ident.alias("__ident"), F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy_no"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("__ident"), F.lit(":"), F.col("copy_no").cast("string")))
+    joined = docs.join(rates, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(source))
+    counted = joined.withColumn(count, F.size(F.filter(cdf, lambda c: c <= u)))
+    copies = counted.filter(F.col(count) > 0).select(*[docs[c] for c in names], ident.alias(name), F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy_no"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name), F.lit(":"), F.col("copy_no").cast("string")))
     keyed = copies.withColumn("mix_key", key).select(*names, "copy_no", "mix_key")
     return keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mix_key").sortWithinPartitions("mix_key")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces
+from .common import held_out, pieces, unused
 
 #: Labelled rows that a model is fitted on at most: those of the least hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -146,16 +146,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 
 
 def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
-    """Every row of docs with its columns and __score, in place: nothing is shuffled."""
+    """Every row of docs with its columns and, last, its score, in place: nothing is shuffled. The column's name is score, or one with underscores if docs has it."""
+    name = unused(docs, "score")
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, x in _statistics_of(batches, at):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(x))], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(x))], [*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,9 +168,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     plain = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     scored = score_quality(plain, train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs of a score from threshold on, with their columns."""
-    return score_quality(docs, train(docs, labels)).filter(F.col("__score") >= threshold).drop("__score")
+    scored = score_quality(docs, train(docs, labels))
+    name = scored.columns[-1]
+    return scored.filter(F.col(name) >= threshold).drop(name)

@@ -150,7 +150,7 @@ def test_copy_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x y z"), (2, "A b c")], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0, r.class_id or 0, r.is_kept) for r in nd.near_duplicates(df).collect()))
     assert got[0] == (0, 0, True) and [g[:2] for g in got[1:3]] == [(1, 1)] * 2
-    kept = nd.keep_one_each(df).collect()
+    kept = nd.keep_one_each(df.withColumn("kept", df["doc_id"]).withColumn("no", df["doc_id"])).collect()
     assert sorted(r.doc_id or 0 for r in kept).count(1) == 1 and any(r.doc_id is None for r in kept)
     assert nd.near_duplicates(df.limit(0)).count() == 0
 

@@ -116,6 +116,8 @@ def test_counts_by_brute_force(spark):
 
 
 def test_mix_edges(spark):
+    clash = spark.createDataFrame([(1, "x", "l", "a", 3, 9, 9)], DOCS + ", cdf int, count int")
+    assert {(r.cdf, r["count"]) for r in mixing.mix_sources(clash, epochs=3.0).collect()} <= {(9, 9)}
     df = spark.createDataFrame([(None, None, None, "a", 0), (1, "x", "l", "a", 3), (1, "x", "l", "a", 3), (2, "y", None, "none", 1)], DOCS)
     out = mixing.mix_sources(df.withColumn("copy_no", df["n_chars"]), {"a": 1.0}, epochs=5.0).collect()
     counts = Counter(r.doc_id for r in out)
