@@ -122,6 +122,10 @@ class Page:
             self.tags[p] += self.tags[i] + 1
             links[p] += links[i]
             link_tags[p] += link_tags[i]
+        #: Blocks of links only, three at least: menus that no tag or class marks.
+        self.menu = [self.tag[i] in BLOCK and self.tag[i] not in ("body", "article", "main") and link_tags[i] >= 3 and links[i] >= 0.8 * self.chars[i] for i in range(n)]
+        for i in range(1, n):
+            self.menu[i] |= self.menu[self.parent[i]]
         share = links[0] / self.chars[0] if self.chars[0] else 0.0
         self.density = [0.0] * n
         self.total = [float(x) for x in own]  # a node's own text is like a child without tags
@@ -173,7 +177,7 @@ def main_text(source: str | None) -> str:
     root = page.root()
     blocks: list[list] = []
     for node, block, text in page.texts:
-        if root <= node <= page.last[root] and not page.noise[node]:
+        if root <= node <= page.last[root] and not page.noise[node] and not page.menu[node]:
             if blocks and blocks[-1][0] == block:
                 blocks[-1][1].append(text)
             else:
