@@ -32,8 +32,9 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: The signature and the whole IHDR chunk: what a header-only read fetches.
 HEADER_BYTES = 33
 
-PLACES = "doc_id bigint, n_bytes bigint, digest string, shard string, offset bigint, length bigint"
-READ = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+PLACES = "doc_id bigint, n_bytes bigint, digest binary, shard string, offset bigint, length bigint"
+#: Digests are bytes until the result, so that shuffles carry half of their hex digits.
+READ = "digest binary, payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string"
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -111,7 +112,7 @@ def _filesystem(uri: str):
 
 
 def store_media(docs: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, digest (sha256 of the payload), shard, offset and length for every row of docs(doc_id, text, ...), after storing the payloads as PNG members of tar shards below root (a folder that all executors share; default: a new one in spark.checkpoint.dir).
+    """doc_id, n_bytes, digest (sha256 of the payload, 32 bytes), shard, offset and length for every row of docs(doc_id, text, ...), after storing the payloads as PNG members of tar shards below root (a folder that all executors share; default: a new one in spark.checkpoint.dir).
 
     Null text: empty, a payload of 64 zero bytes. Null doc_id: kept. Repeated rows: a row each, of one
     place. Empty table: no rows. Other columns are ignored. Equal texts have equal places.
@@ -128,7 +129,7 @@ def store_media(docs: DataFrame, root: str | None = None, shard_bytes: int = SHA
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 n, data = payload(text.as_py())
-                key = hashlib.sha256(data).hexdigest()
+                key = hashlib.sha256(data).digest()
                 place = seen.get(key)
                 if place is None:
                     if shard is None or shard.size >= shard_bytes:
@@ -136,13 +137,13 @@ def store_media(docs: DataFrame, root: str | None = None, shard_bytes: int = SHA
                             shard.close()
                         shard = Shard(files, f"{folder}/{uuid.uuid4().hex}.tar")
                     media = to_png(data)
-                    place = shard.path.rpartition("/")[2], shard.add(f"{key}.png", media), len(media)
+                    place = shard.path.rpartition("/")[2], shard.add(f"{key.hex()}.png", media), len(media)
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen[key] = place
                 out.append((doc_id, n, key, *place))
             if out:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in PLACES.split(", ")])
         if shard is not None:
             shard.close()
@@ -179,9 +180,9 @@ def media_headers(places: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for digest, offset, _, source in _readers(batches):
             meta = png_header(source.read_at(HEADER_BYTES, offset))
-            yield pa.RecordBatch.from_arrays([pa.array([digest]), *(pa.array([meta[k]], pa.int32()) for k in ("width", "height", "depth"))], ["digest", "width", "height", "depth"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest], pa.binary()), *(pa.array([meta[k]], pa.int32()) for k in ("width", "height", "depth"))], ["digest", "width", "height", "depth"])
 
-    return _sorted_places(places).mapInArrow(_batched(read), "digest string, width int, height int, depth int")
+    return _sorted_places(places).mapInArrow(_batched(read), "digest binary, width int, height int, depth int")
 
 
 def _batched(read, rows: int = 2000):
@@ -215,7 +216,7 @@ def read_media(places: DataFrame) -> DataFrame:
             media = source.read_at(length, offset)
             lines = from_png(media)
             data = lines.tobytes()
-            row = [digest, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(head, lines)]
+            row = [digest, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).digest(), feature_of(head, lines)]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [c.split()[0] for c in READ.split(", ")])
 
     return _sorted_places(places).mapInArrow(_batched(read), READ)
@@ -230,4 +231,5 @@ def tar_members(data: bytes) -> list[tuple[str, bytes]]:
 def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     """Stores the payload of every row and returns doc_id, n_bytes and the columns of READ and place, read back from the shards."""
     places = store_media(docs, root)
-    return places.join(read_media(places), "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length")
+    hexed = lambda c: F.lower(F.hex(c)).alias(c)
+    return places.join(read_media(places), "digest").select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha256"), "feature", hexed("digest"), "shard", "offset", "length")

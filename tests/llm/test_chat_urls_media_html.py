@@ -107,7 +107,7 @@ def test_media_round_trip(spark):
         assert tarfile.open(fileobj=io.BytesIO(whole)).getmembers()
     same = {tuple(r)[1:] for r in got if r.doc_id in (6, 7, None)}
     assert len(same) == 1
-    heads = {r.digest: (r.width, r.height, r.depth) for r in media.media_headers(media.store_media(df)).collect()}
+    heads = {r.digest.hex(): (r.width, r.height, r.depth) for r in media.media_headers(media.store_media(df)).collect()}
     assert all(heads[r.digest] == (64, r.payload_bytes // 64, 8) for r in got)
     assert media.media_columns(df.limit(0)).count() == 0
 
@@ -152,6 +152,11 @@ def test_page_without_an_article():
     assert main_text(PAGE) == "Title & more\n\nFirst paragraph with quite a few words in it.\n\nSecond bold é! line.\n\nOk."
 
 
+def test_unmarked_menus_and_links_in_text():
+    page = "<body><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><h1>Head</h1><p>Long text with <a>a link</a>, <a>another</a> and <a>a third</a> in a sentence.</p><p><a>only</a></p></body>"
+    assert main_text(page) == "Head\n\nLong text with a link, another and a third in a sentence.\n\nonly"
+
+
 @pytest.mark.parametrize("source,text", [(None, ""), ("", ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""), ("<!-- x", ""), ("<p title='a>b'>q</p", "q"), ("<div><div>", ""), ("<" * 50, "<" * 50), ("a < b", "a < b"), ("<article>x</article>", "x")])
 def test_odd_pages(source, text):
     assert main_text(source) == text
