@@ -1,0 +1,80 @@
+import io
+import json
+import zipfile
+
+import pytest
+
+from foliospark.operators import settings
+from foliospark.operators.translate import UppercaseTranslator
+from foliospark.plans import workflow
+from foliospark.sources.content import unzip
+
+from .test_sources_tasks_streams import base
+
+
+def members(spark, given):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("x_content_list.json", json.dumps(given))
+    return unzip(spark.createDataFrame([("d", buffer.getvalue())], "doc_id string, content binary"))
+
+
+LIST = [
+    {"type": "header", "text": "h"}, {"type": "text", "text": "Head", "text_level": 1, "page_idx": 0}, {"type": "text", "text": "open $F I C 1$", "page_idx": 0}, {"type": "text", "text": "rest.", "page_idx": 1},
+    {"type": "table", "table_body": "<table><tr><td>cell</td></tr></table>", "table_caption": ["cap"]},
+]
+
+
+class Moody(UppercaseTranslator):
+    def translate(self, text, *, strict=False, response_format=None):
+        if "REST" in text.upper() and response_format is None and not self.good:
+            raise ValueError("down")
+        return super().translate(text, strict=strict, response_format=response_format)
+
+
+def test_a_run_and_its_resume(spark, tmp_path):
+    out, log = str(tmp_path / "out"), workflow.StageLog()
+    moody = Moody()
+    moody.good = False
+    services = workflow.Services(translator=moody, max_retries=0, concurrency=1)
+    got = workflow.process(members(spark, LIST), out, services, log).first().markdown
+    assert got == "# HEAD\n\nopen $\\mathrm{FIC1}$ rest.\n\nCAP\n\n<table><tr><td>CELL</td></tr></table>\n"
+    assert [r[:2] for r in log.rows] == [(s, "finished") for s in ("extract", "audit", "clean", "cross_page", "merge", "translate", "render")]
+    assert log.table(spark).count() == 7
+    services.translator = UppercaseTranslator()
+    again = workflow.resume(spark, out, services).first().markdown
+    assert again.startswith("# HEAD\n\nOPEN $\\mathrm{FIC1}$ REST.\n\nCAP")
+    assert spark.read.parquet(f"{out}/outcomes").filter("kind = 'text'").count() == 3
+    report = workflow.cross_page_report(spark.read.parquet(f"{out}/cleaned")).first()
+    assert (report.previous_number, report.next_number, report.previous_section, report.next_section) == (2, 3, 2, 3)
+
+
+def test_a_failing_stage_is_logged(spark, tmp_path):
+    log = workflow.StageLog()
+    with pytest.raises(Exception, match="table_body"):
+        workflow.process(members(spark, [{"type": "table", "table_body": "<p>"}]), str(tmp_path / "o"), None, log)
+    assert [r[:2] for r in log.rows] == [("extract", "finished"), ("audit", "failed")]
+
+
+def test_worker_step(spark):
+    def broken(_):
+        raise ValueError("no")
+
+    done, who = workflow.run_next(base(spark), lambda i: (f"/n/{i}", f"/m/{i}"))
+    assert who == "a" and {r.id: (r.status, r.markdown_path) for r in done.collect()}["a"] == ("succeeded", "/m/a")
+    failed, _ = workflow.run_next(base(spark), broken)
+    assert {r.id: (r.status, r.error_message) for r in failed.collect()}["a"] == ("failed", "no")
+
+
+def test_settings(spark):
+    kv = lambda **x: spark.createDataFrame([(k, v) for k, v in x.items()], "key string, value string")
+    values = lambda df: {r.key: r.value for r in df.collect()}
+    assert values(settings.overlay(kv(a="1", b="2"), kv(a="9", b=None))) == {"a": "9", "b": "2"}
+    assert values(settings.save(kv(api_key="s", a="1"), kv(api_key=" ", a="2", b="3"))) == {"api_key": "s", "a": "2", "b": "3"}
+    assert values(settings.public(kv(api_key="s", a="1"))) == {"api_key": "true", "a": "1"}
+    urls = {"http://h:80/x": None, "ftp://h": "not http or https", "http://": "no host", "http://u:p@h": "credentials", "http://h?x": "a query or fragment", "http://h:99999": "port out of range"}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.e for r in df.select("u", settings.connection_error(df["u"]).alias("e")).collect()} == urls
+    inst = spark.createDataFrame([("2", "m", "e2", "running"), ("1", "m", "e1", "stopped"), ("3", "t", "e3", "running")], "id string, model_id string, endpoint string, state string")
+    routes = spark.createDataFrame([("r", "t")], "name string, target_model_id string")
+    assert [settings.choose_endpoint(inst, routes, m).first() for m in ("m", "r", "zz")] == [("2", "e2"), ("3", "e3"), None]
