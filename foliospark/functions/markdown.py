@@ -78,7 +78,7 @@ _HEADING = re.compile(r" {0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*")
 _BREAK = re.compile(r" {0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})")
 _FENCE = re.compile(r" {0,3}(```+|~~~+)(.*)")
 _ITEM = re.compile(r" {0,3}(?:([-*+])|(\d{1,9})[.)])\s+(.*)")
-_HTML_START = re.compile(r" {0,3}</?(?:address|article|aside|blockquote|body|caption|center|col|colgroup|dd|details|dir|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|option|p|pre|script|section|style|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/>]|$)|<!--", re.I)
+_HTML_START = re.compile(r" {0,3}</?(?:address|article|aside|blockquote|body|caption|center|col|colgroup|dd|details|dir|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|option|p|pre|script|section|style|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/>]|$)| {0,3}<(?:!--|![A-Za-z]|\?)", re.I)
 
 
 def to_html(source: str) -> str:

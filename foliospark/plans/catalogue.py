@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas, markdown, protect, sentences, tables
 from ..functions.text import beijing_time, estimate_tokens
 from ..operators import content, formula_audit, render, tasks, translate
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import content as sources
 from ..streaming import tasks as streams
 from . import views
@@ -136,7 +136,7 @@ def q_content_hash(spark, sf):
 
 @query()
 def q_sentence_split_counts(spark, sf):
-    rows = views.table(spark, sf, "documents").select("doc_id", "text")
+    rows = spread(views.table(spark, sf, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size(sentences.sentences("text")).alias("n_sentences"), F.size(sentences.chunks("text")).alias("n_chunks"))
 
 
@@ -167,7 +167,7 @@ def q_formula_spans(spark, sf):
 
 @query()
 def q_formula_spans_noise(spark, sf):
-    rows = views.table(spark, sf, "documents").filter(F.contains("text", F.lit("$")))
+    rows = spread(views.table(spark, sf, "documents").select("doc_id", "text").filter(F.contains("text", F.lit("$"))))
     return rows.select("doc_id", F.explode(formulas.formula_spans("text")).alias("s")).select("doc_id", "s.start", "s.end", "s.is_block", "s.raw_formula")
 
 
@@ -352,7 +352,7 @@ def q_render_markdown(spark, sf):
 
 @query()
 def q_safe_html(spark, sf):
-    return views.table(spark, sf, "pages").select("page_id", markdown.safe_html("html", F.lit("/assets")).alias("html"))
+    return spread(views.table(spark, sf, "pages").select("page_id", "html")).select("page_id", markdown.safe_html("html", F.lit("/assets")).alias("html"))
 
 
 # -- tasks

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank
+from ..session import spread
 
 WORDS = 40
 
@@ -116,7 +117,7 @@ v5t as (select *, 'Row ' || p || ': $' || formula || '$ costs $' || s || ' now.'
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6: orders as table items with spans over rows, formulas, a number and a comment."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderpriority").alias("pr"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderpriority").alias("pr"))
     html = F.concat(
         F.lit('<table><tr><th>Order key</th><th>Price</th></tr><tr><td rowspan="2">Customer '), F.col("c"), F.lit("</td><td>$p_{"), F.col("c"), F.lit("}$ of <em>"), F.col("pr"), F.lit("</em></td></tr><tr><td>12.5 to 13</td></tr><tr><td>AB-12</td><td>\\(q\\) low &amp; high</td></tr></table>")
     )

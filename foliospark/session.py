@@ -29,3 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.foliospark.shared", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def spread(df):
+    """df over as many partitions as there are cores, if it has fewer: for small files ahead of costly functions. Large inputs are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
