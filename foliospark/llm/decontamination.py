@@ -103,17 +103,24 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> int:
 def choose_seeds(items: Items, df: dict[int, int], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted seed n-grams, and for each the items that have it, as rows (item, place).
 
-    Rare are the n-grams of at most twice the document frequency of the item's median one; all of them
-    are seeds, so an edited copy is found by any n rare words in a row. Besides, every run of `window`
-    n-grams keeps its rarest (ties: the first), so a stretch of window + n - 1 unchanged words is found
-    however frequent its words are.
+    N-grams that no document has (df 0) can join nothing and are left out throughout. Rare are those of
+    at most twice the document frequency of the item's median one; all of them are seeds. Besides, every
+    run of `window` n-grams keeps its rarest (ties: the first). So a copy is found by any n-gram it
+    shares that is rare, or the rarest of a run, among those that documents have; a stretch of
+    window + n - 1 unchanged words always holds one.
     """
     seeds: dict[int, list] = {}
     for k, seq in enumerate(items.seqs):
         grams = items.grams(seq)
-        rare = np.array([df.get(int(g), 0) for g in grams])
-        chosen = {s + int(np.argmin(rare[s : s + window])) for s in range(max(1, len(grams) - window + 1))}
-        chosen.update(np.flatnonzero(rare <= 2 * np.median(rare)).tolist())
+        rare = np.array([df.get(int(g), 0) for g in grams], float)
+        held = rare > 0
+        if not held.any():
+            continue
+        limit = 2 * np.median(rare[held])
+        rare[~held] = np.inf
+        runs = (s + int(np.argmin(rare[s : s + window])) for s in range(max(1, len(grams) - window + 1)))
+        chosen = {p for p in runs if held[p]}
+        chosen.update(np.flatnonzero(rare <= limit).tolist())
         for p in sorted(chosen):
             seeds.setdefault(int(grams[p]), []).append((k, p))
     keys = np.array(sorted(seeds), np.int64)

@@ -73,6 +73,22 @@ def test_leaks_exact_edited_and_frequent(spark):
     assert brute == {k: v for k, v in got.items() if k[0] in {d for d, _ in docs[:330]}}
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_edited_copies_of_items_without_an_exact_copy(spark, every):
+    rng = random.Random(every)
+    vocab = sorted(set(vocabulary(rng, 6000)))
+    bench = [(i, " ".join(rng.sample(vocab, rng.randint(24, 55)))) for i in range(30)]
+    other = ["zz" + w for w in vocab]
+    docs = [(i, " ".join(rng.choice(other) for _ in range(100))) for i in range(50)]
+    for i, t in bench:
+        w = [rng.choice(other) if j % every == every - 1 else x for j, x in enumerate(t.split())]
+        docs.append((1000 + i, " ".join([rng.choice(other) for _ in range(40)] + w)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(bench, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(d, b).collect()} == {(1000 + i, i) for i, _ in bench}
+    assert sorted(r.doc_id for r in dc.remove_leaks(d, b).collect()) == list(range(50))
+
+
 def test_leak_edges(spark):
     b = spark.createDataFrame([(1, "one two three four five"), (None, "one two three four five"), (2, None), (3, "hi")], "item_id bigint, text string")
     d = spark.createDataFrame([(1, None), (None, "one two three four five"), (2, ""), (3, "hi"), (4, "one two three four five"), (4, "one two three four six")], "doc_id bigint, text string")
