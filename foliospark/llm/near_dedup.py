@@ -26,8 +26,12 @@ DF_BITS = 18
 _TABLE = 1 << 12
 #: Members of a group that are verified against one text in one run.
 BLOCK = 256
-#: Buckets of at most so many texts are compared pair by pair (3.5 pairs a text at most); larger ones go by their smallest text and then by finer buckets.
+#: Buckets of at most so many texts are compared pair by pair (3.5 pairs a text at most); larger ones with their smallest text first, then all their texts that aren't in one class.
 SMALL = 8
+#: Texts of a large bucket on either side of one comparison of signatures.
+SIDE = 2048
+#: Pairs of a text and one side that are verified in the first round for large buckets, and the factor by which they grow from round to round until none is put off.
+PARTNERS, MORE_PARTNERS = 4, 8
 #: Pairs that agree in less than this part of their samples are not verified. At a similarity of 0.8 one pair in some thousands does.
 MIN_AGREEMENT = 0.55
 
@@ -147,27 +151,56 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, digest binary, bands array<bigint>, samples array<tinyint>")
 
 
-def finer(rows: DataFrame) -> DataFrame:
-    """rows(node, bands, samples, last, bucket) dealt by one more band each: every band after the last that went into the bucket."""
-    later = F.slice("bands", F.col("last") + 2, F.size("bands"))
-    more = rows.select("node", "bands", "samples", F.col("last").alias("before"), F.col("bucket").alias("old"), F.posexplode(later).alias("after", "band")).withColumn("last", F.col("before") + 1 + F.col("after"))
-    return more.select("node", "bands", "samples", "last", F.xxhash64("old", "last", "band").alias("bucket"))
-
-
-def compared(groups: DataFrame, small: int, agreement: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (node, head) to verify from groups(node, bands, samples, last, bucket), and the rows of large buckets with their head.
-
-    The head of a bucket comes from a partial aggregate; a bucket of at most `small` texts yields its pairs.
-    """
+def compared(groups: DataFrame, small: int, agreement: int) -> DataFrame:
+    """Pairs (node, head) to verify from groups(node, samples, bucket): all of a bucket of at most `small` texts, those with the smallest text of a larger one. That text comes from a partial aggregate."""
     heads = groups.groupBy("bucket").agg(F.min(F.struct("node", "samples")).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     rows = groups.join(heads, "bucket")
     alike = F.size(F.filter(F.zip_with("samples", "others", lambda a, b: a == b), lambda x: x)) >= agreement
-    large = rows.filter(F.col("members") > small)
-    star = large.select("node", "samples", F.col("first.node").alias("head"), F.col("first.samples").alias("others")).filter("node <> head")
+    star = rows.filter(F.col("members") > small).select("node", "samples", F.col("first.node").alias("head"), F.col("first.samples").alias("others")).filter("node <> head")
     few = rows.filter(F.col("members") <= small).select("bucket", "node", "samples")
     pairs = few.join(few.select("bucket", F.col("node").alias("head"), F.col("samples").alias("others")), "bucket").filter("head < node").select("node", "samples", "head", "others")
-    found = star.unionByName(pairs).filter(alike).select("node", "head").distinct()
-    return found, large.select("node", "bands", "samples", "last", "bucket", F.col("first.node").alias("head")).filter("node <> head")
+    return star.unionByName(pairs).filter(alike).select("node", "head").distinct()
+
+
+def divided(groups: DataFrame, labels: DataFrame, small: int, side: int) -> DataFrame:
+    """The texts of the buckets of more than `small` texts that aren't all of one class, dealt to blocks (bucket, i, j): all texts of the bucket in parts j (asks false), against those outside its largest class in parts i (asks true)."""
+    at = groups.join(labels, "node", "left").select("bucket", "node", "samples", F.coalesce("label", "node").alias("label"))
+    sizes = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("classes")).filter((F.col("classes") > 1) & (F.col("members") > small))
+    parts = tops.select("bucket", F.col("top.label").alias("most"), F.ceil((F.col("members") - F.col("top.n")) / side).cast("int").alias("rows"), F.ceil(F.col("members") / side).cast("int").alias("cols"))
+    rows = at.join(parts, "bucket")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    everyone = rows.select("bucket", each("rows").alias("i"), part("cols").alias("j"), "node", "samples", "label", F.lit(False).alias("asks"))
+    asking = rows.filter("label <> most").select("bucket", part("rows").alias("i"), each("cols").alias("j"), "node", "samples", "label", F.lit(True).alias("asks"))
+    return everyone.unionByName(asking)
+
+
+def crossing(blocks: DataFrame, agreement: int, partners: int) -> DataFrame:
+    """Pairs (node, head) of different classes that agree in enough samples, from divided(): of each asking text and block the `partners` that agree most (ties: the smallest), and whether some were put off (more)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        node, label, asks = (block[c].to_numpy() for c in ("node", "label", "asks"))
+        samples = block["samples"].combine_chunks()
+        samples = samples.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+        order = np.argsort(node, kind="stable")
+        order = order[~asks[order].astype(bool)]
+        theirs, classes, across = node[order], label[order], np.ascontiguousarray(samples[order].T)
+        out: list[np.ndarray] = []
+        more: list[np.ndarray] = []
+        for q in np.flatnonzero(asks):
+            same = (across == samples[q][:, None]).sum(0, dtype=np.int16)
+            found = np.flatnonzero((same >= agreement) & (classes != label[q]))
+            late = len(found) > partners
+            if late:
+                found = found[np.argsort(-same[found], kind="stable")[:partners]]
+            mine = np.full(len(found), node[q])
+            out.append(np.stack([np.maximum(mine, theirs[found]), np.minimum(mine, theirs[found])]))
+            more.append(np.full(len(found), late))
+        pairs = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
+        return pa.table({"node": pairs[0], "head": pairs[1], "more": np.concatenate(more) if more else np.empty(0, bool)})
+
+    return blocks.groupBy("bucket", "i", "j").applyInArrow(run, "node bigint, head bigint, more boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, min_similarity: float) -> DataFrame:
@@ -230,9 +263,10 @@ def near_duplicates(
     linked. Classes are the connected components of those links. is_kept: doc_id = class_id.
 
     Texts meet in the buckets of their bands. A small bucket is compared pair by pair. In a large one
-    every text is compared with the smallest; those that are not like it go on to finer buckets (one
-    more band each), until the buckets are small: no bucket is capped or dropped, and none costs more
-    than a few comparisons a text and round. Each round is a table in the shared folder.
+    every text is compared with the smallest; then all pairs of texts in different classes are compared
+    by their signatures, in blocks, and those that agree are verified, the most alike first. Rounds go
+    on with more pairs each until none is put off, so the classes are those of all pairs of all
+    buckets. Each round is a table in the shared folder.
 
     Null text counts as empty; all texts without a word are one class. Rows with a null doc_id come back
     with null class_id and is_kept true. Rows that repeat a doc_id come back each; if their texts differ,
@@ -247,29 +281,30 @@ def near_duplicates(
     nodes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     own = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(0)))
     reps = known.join(nodes, "digest").filter("doc_id = node").withColumn("no", own).filter("no = 1").select("node", "bands", "samples")
-    start = reps.select("node", "bands", "samples", F.posexplode("bands").alias("last", "band")).select("node", "bands", "samples", "last", F.xxhash64("last", "band").alias("bucket"))
+    start = reps.select("node", "samples", F.posexplode("bands").alias("band_no", "band")).select("node", "samples", F.xxhash64("band_no", "band").alias("bucket"))
     shared = start.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
     groups = materialise(start.join(shared, "bucket", "left_semi"), "groups")
-    meeting = groups.select("node").distinct()
-    texts = None
-    tried, edges = None, None
-    agreement = math.ceil(MIN_AGREEMENT * bands * rows)
-    while not groups.isEmpty():
-        pairs, large = compared(groups, small, agreement)
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "head"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if texts is None:
-            texts = materialise(plain.withColumnRenamed("doc_id", "node").join(meeting, "node", "left_semi"), "texts")
-        good = materialise(verified(pairs, texts, idf, min_similarity), "links")
-        edges = good if edges is None else edges.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        groups = materialise(finer(large.join(edges.select("node", "head"), ["node", "head"], "left_anti")), "groups")
     at = known.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node")
-    if edges is None:
+    if groups.isEmpty():
         at = at.withColumn("label", F.lit(None).cast("bigint"))
     else:
-        at = at.join(components(edges), "node", "left")
+        texts = materialise(plain.withColumnRenamed("doc_id", "node").join(groups.select("node").distinct(), "node", "left_semi"), "texts")
+        agreement = math.ceil(MIN_AGREEMENT * bands * rows)
+        tried = materialise(compared(groups, small, agreement), "pairs")
+        edges = materialise(verified(tried, texts, idf, min_similarity), "links")
+        labels = components(edges)
+        partners, more = PARTNERS, True
+        while more:
+            found = materialise(crossing(divided(groups, labels, small, SIDE), agreement, partners), "crossing")
+            more = not found.filter("more").isEmpty()
+            pairs = materialise(found.select("node", "head").distinct().join(tried, ["node", "head"], "left_anti"), "pairs")
+            good = materialise(verified(pairs, texts, idf, min_similarity), "links")
+            tried = tried.unionByName(pairs)
+            if not good.isEmpty():
+                edges = edges.unionByName(good)
+                labels = components(edges)
+            partners *= MORE_PARTNERS
+        at = at.join(labels, "node", "left")
     out = at.select("doc_id", F.coalesce("label", "node").alias("class_id")).withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
     rest = signed.filter("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("is_kept"))
     return out.unionByName(rest)

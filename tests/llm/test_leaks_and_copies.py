@@ -162,6 +162,48 @@ def test_groups_against_brute_force(spark):
     assert small == want
 
 
+def banded_classes(df, idf, bands, rows):
+    """Connected components of all pairs that share a band, by brute force."""
+    class Idf:
+        value = idf
+
+    signed = nd.signatures(df, Idf, bands, rows).collect()
+    text = dict((r.doc_id, r.text) for r in df.collect())
+    sets = {d: nd.weighted_shingles(WordHashes().of(t), idf) for d, t in text.items()}
+    buckets = defaultdict(list)
+    for r in signed:
+        for no, b in enumerate(r.bands):
+            buckets[no, b].append(r.doc_id)
+    samples = {r.doc_id: np.array(r.samples) for r in signed}
+    label = {d: d for d in text}
+    find = lambda d: d if label[d] == d else find(label[d])
+    for a, b in {(a, b) for m in buckets.values() for a in m for b in m if a < b}:
+        if (samples[a] == samples[b]).sum() >= nd.MIN_AGREEMENT * bands * rows and nd.weighted_jaccard(sets[a], sets[b]) >= nd.MIN_SIMILARITY:
+            x, y = sorted((find(a), find(b)))
+            label[y] = x
+    return {d: find(d) for d in text}, max(map(len, buckets.values()))
+
+
+def test_links_through_other_members_than_the_smallest(spark):
+    rng = random.Random(11)
+    vocab = vocabulary(rng, 3000)
+
+    def near(w, n):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = rng.choice(vocab)
+        return w
+
+    docs, base = [], [rng.choice(vocab) for _ in range(200)]
+    family = [near(base, 2) for _ in range(150)]
+    docs += [(i, " ".join(w)) for i, w in enumerate(family)]
+    docs += [(500 + i, " ".join(near(rng.choice(family[1:]), 4))) for i in range(60)]  # many are like some members, few like the smallest
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want, largest = banded_classes(df, nd.inverse_frequencies(df.select("text")), nd.BANDS, nd.ROWS)
+    assert largest > nd.SMALL
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == want
+
+
 def test_copy_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x y z"), (2, "A b c")], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0, r.class_id or 0, r.is_kept) for r in nd.near_duplicates(df).collect()))
