@@ -204,6 +204,19 @@ def test_links_through_other_members_than_the_smallest(spark):
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == want
 
 
+def test_pairs_that_meet_in_a_single_large_bucket(spark):
+    rng = random.Random(12)
+    vocab = vocabulary(rng, 3000)
+    common, docs = [rng.choice(vocab) for _ in range(110)], []
+    for i in range(120):  # a shared passage makes large buckets; each text has one near copy
+        w = common + [rng.choice(vocab) for _ in range(40)]
+        docs += [(i, " ".join(w)), (1000 + i, " ".join(w[:-1]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want, largest = banded_classes(df, nd.inverse_frequencies(df.select("text")), 1, 1)
+    assert largest > nd.SMALL and 120 <= len(set(want.values())) < 200
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df, bands=1, rows=1).collect()} == want
+
+
 def test_copy_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x y z"), (2, "A b c")], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0, r.class_id or 0, r.is_kept) for r in nd.near_duplicates(df).collect()))
