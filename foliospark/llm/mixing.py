@@ -9,11 +9,11 @@ from .common import unused
 
 #: The table of sources is sent to all tasks only if it has at most so many rows; otherwise Spark joins it by shuffle and splits the hot sources.
 BROADCAST_SOURCES = 10_000
-#: Largest mean repetition of a source.
+#: Largest mean of one Poisson draw (its table starts at exp(-mean)); a greater rate is the sum of several.
 MAX_RATE = 500.0
 
 
-def uniform(key, seed: int) -> F.Column:
+def uniform(key, seed: int | str) -> F.Column:
     """A number in [0, 1) from the first 52 bits of md5(seed:key)."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
@@ -44,30 +44,34 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: floa
     if not w:
         return weighted.select("source_key", F.lit(0.0).alias("rate")), sources
     rate = F.lit(float(epochs)) * F.col("weight") / F.lit(float(w)) * F.lit(float(n)) / F.col("docs")
-    return weighted.select("source_key", F.least(rate, F.lit(MAX_RATE)).alias("rate")), sources
+    return weighted.select("source_key", rate.alias("rate")), sources
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """docs(doc_id, source, ...) with copy_no and mix_key, each row as often as its Poisson draw says, in a global random order.
 
     The count of a row is the Poisson quantile, at its source's mean repetition rate, of a uniform number
-    hashed from seed and doc_id; the same doc_id and seed always draw alike. A row of count c becomes
+    hashed from seed and doc_id; the same doc_id and seed always draw alike. A rate above MAX_RATE is split
+    into equal parts up to it, and the count is the sum of a draw for each part, whose number is hashed in from the second on. A row of count c becomes
     copies 1..c. Rows are dealt to partitions by mix_key, a hash of (seed, doc_id, copy), and lie in its order within.
 
     Null source: a source of its own, equal to ''. Null doc_id: drawn as the text ''. Repeated rows
-    draw the same count. Rates are cut at 500. Empty table: no rows. Columns named like copy_no or
+    draw the same count. Empty table: no rows. Columns named like copy_no or
     mix_key are replaced; other columns are kept.
     """
     source, cdf, count, name = (unused(docs, x) for x in ("source_key", "cdf", "count", "ident"))
+    parts = unused(docs, "parts")
     rates, sources = source_rates(docs, weights, epochs)
-    rates = rates.select(F.col("source_key").alias(source), poisson_cdf(F.col("rate")).alias(cdf))
+    rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int")))
+    rates = rates.select(F.col("source_key").alias(source), F.col("parts").alias(parts), poisson_cdf(F.col("rate") / F.col("parts")).alias(cdf))
     if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     names = [c for c in docs.columns if c not in ("copy_no", "mix_key")]
     ident = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
-    u = uniform(ident, seed)
+    draw = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    further = F.aggregate(F.sequence(F.lit(2), F.col(parts)), F.lit(0), lambda acc, no: acc + draw(uniform(F.concat(no.cast("string"), F.lit(":"), ident), f"{seed}/")))
     joined = docs.join(rates, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(source))
-    counted = joined.withColumn(count, F.size(F.filter(cdf, lambda c: c <= u)))
+    counted = joined.withColumn(count, draw(uniform(ident, seed)) + F.when(F.col(parts) > 1, further).otherwise(0))
     copies = counted.filter(F.col(count) > 0).select(*[docs[c] for c in names], ident.alias(name), F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy_no"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name), F.lit(":"), F.col("copy_no").cast("string")))
     keyed = copies.withColumn("mix_key", key).select(*names, "copy_no", "mix_key")

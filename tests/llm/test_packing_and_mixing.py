@@ -132,3 +132,11 @@ def test_shares_meet_the_weights(spark):
     df = spark.createDataFrame([(i, "t", None, "big" if i % 10 else "small", 0) for i in range(5000)], DOCS)
     got = Counter(r.source for r in mixing.mix_sources(df, epochs=1.0).select("source").collect())
     assert abs(got["small"] / sum(got.values()) - 0.5) < 0.03
+
+
+def test_rates_above_one_draw_are_not_cut(spark):
+    df = spark.createDataFrame([(i, "t", None, "big" if i > 1 else None, 0) for i in range(6000)], DOCS)
+    got = Counter((r.source, r.doc_id if r.source is None else 0) for r in mixing.mix_sources(df).select("source", "doc_id").collect())
+    rare = [got[None, 0], got[None, 1]]  # a mean of 1,500 each
+    assert all(abs(n - 1500) < 200 for n in rare) and rare[0] != rare[1]
+    assert abs(sum(rare) / sum(got.values()) - 0.5) < 0.03
