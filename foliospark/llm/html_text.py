@@ -146,23 +146,17 @@ class Page:
         return out
 
     def root(self) -> int:
-        """The node whose subtree is the article: that of the greatest density sum, among the nodes of articles (else of the main element, else of the body); then up to the article, or up to the highest node that has a further branch as dense as the least dense node between the body and the maximum."""
+        """The node whose subtree is the article: that of the greatest density sum in the body, or the outermost article or main element around it; then up to the highest node that has a further branch as dense as the least dense node between the body and the maximum."""
         self.measure()
-        inside: list[int] = []
-        for name in ("article", "main"):
-            tops = [i for i, t in enumerate(self.tag) if t == name and not self.noise[i] and self.chars[i]]
-            inside = [j for i in tops for j in range(i, self.last[i] + 1)]
-            if inside:
-                break
-        best = max((i for i in inside or range(len(self.tag)) if not self.noise[i]), key=lambda i: (self.total[i], -i), default=0)
+        best = max((i for i in range(len(self.tag)) if not self.noise[i]), key=lambda i: (self.total[i], -i), default=0)
         up = self.path(best)
-        if inside:
-            return next(i for i in reversed(up) if self.tag[i] in ("article", "main"))
         threshold = min(self.density[i] for i in up)
+        least = next((at for at in range(len(up) - 1, -1, -1) if self.tag[up[at]] in ("article", "main")), 0)
+        up = up[least:]
         children: dict[int, list[int]] = {}
         for i in range(1, len(self.tag)):
             children.setdefault(self.parent[i], []).append(i)
-        top = best
+        top = up[0]
         for child, node in zip(up, up[1:], strict=False):
             if any(c != child and not self.noise[c] and self.chars[c] and self.density[c] >= threshold for c in children[node]) or self.tag[top] not in BLOCK:
                 top = node

@@ -157,6 +157,31 @@ def test_unmarked_menus_and_links_in_text():
     assert main_text(page) == "Head\n\nLong text with a link, another and a third in a sentence.\n\nonly"
 
 
+LONG = [f"Paragraph {i} of the main text goes on for quite a while, with many plain words and no link in it at all." for i in range(6)]
+MAIN = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id=content>{MAIN}</div><article><p>A teaser of another page.</p></article>",
+        f"<article><a href=1>A teaser</a><p>of another page.</p></article><div id=content><div>{MAIN}</div></div>",
+        f"<main>{MAIN}</main><div><article><p>A reader says a few words.</p></article><article><p>Another reader, too.</p></article></div>",
+        f"<div><div><div>{MAIN}</div></div></div>",
+        "<body>" + "".join(f"<article><p>{x}</p><p>{x}</p></article>" for x in LONG),
+        f"<article>{MAIN}</article>",
+    ],
+)
+def test_no_article_element_hides_the_main_text(page):
+    got = main_text(page).split("\n\n")
+    assert set(LONG) <= set(got)
+
+
+def test_the_densest_article_bounds_the_text():
+    page = f"<div><a href=1>one</a> <a href=2>two</a></div><article><h1>Head</h1><div>{MAIN}</div><p>End.</p></article><footer>f</footer>"
+    assert main_text(page) == "\n\n".join(["Head", *LONG, "End."])
+
+
 @pytest.mark.parametrize("source,text", [(None, ""), ("", ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""), ("<!-- x", ""), ("<p title='a>b'>q</p", "q"), ("<div><div>", ""), ("<" * 50, "<" * 50), ("a < b", "a < b"), ("<article>x</article>", "x")])
 def test_odd_pages(source, text):
     assert main_text(source) == text
