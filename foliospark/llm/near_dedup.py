@@ -32,7 +32,7 @@ SMALL = 8
 SIDE = 2048
 #: Pairs of a text and one side that are verified in the first round for large buckets, and the factor by which they grow from round to round until none is put off.
 PARTNERS, MORE_PARTNERS = 4, 8
-#: Pairs that agree in less than this part of their samples are not verified. At a similarity of 0.8 one pair in some thousands does.
+#: Pairs that agree in less than this part of their samples are not verified. At a similarity of 0.8 that loses 0.0044 % of the pairs, besides the 0.51 % that share no band.
 MIN_AGREEMENT = 0.55
 
 
