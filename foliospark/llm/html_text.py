@@ -34,6 +34,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.noise, self.texts = ["body"], [-1], [False], []
+        doubtful: list[int] = []
         stack, block, at = [0], 0, 0
         end = len(source)
         while at < end:
@@ -67,7 +68,10 @@ class Page:
                 self.texts.append((stack[-1], block, " "))
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.noise.append(self.noise[stack[-1]] or name in NOISE or (name not in ("article", "main") and self._marked(attrs)))
+            mark = 0 if name in ("article", "main") else self._marked(attrs)
+            self.noise.append(name in NOISE or mark > 0)
+            if mark == 1 and name not in NOISE:
+                doubtful.append(len(self.tag) - 1)
             if name in RAW:
                 over = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
                 at = over.start() if over else end
@@ -78,6 +82,26 @@ class Page:
                 continue
             if name not in VOID and not (attrs.endswith("/") and name not in BLOCK):
                 stack.append(len(self.tag) - 1)
+        self._settle(doubtful)
+
+    def _settle(self, doubtful: list[int]) -> None:
+        """Noise words that are a part of a class, id or role only ('has-sidebar') don't count for elements that hold an article or main element or most of the text outside links and noise; then noise goes down to all descendants."""
+        if doubtful:
+            n, maybe = len(self.tag), set(doubtful)
+            sure = [self.noise[i] and i not in maybe for i in range(n)]
+            held, chars = [t in ("article", "main") for t in self.tag], [0] * n
+            for i in range(1, n):
+                sure[i] |= sure[self.parent[i]]
+            for node, _, text in self.texts:
+                if not sure[node] and self.tag[node] != "a":
+                    chars[node] += len("".join(text.split()))
+            for i in range(n - 1, 0, -1):
+                chars[self.parent[i]] += chars[i]
+                held[self.parent[i]] |= held[i]
+            for i in doubtful:
+                self.noise[i] = not (held[i] or 2 * chars[i] > chars[0])
+        for i in range(1, len(self.tag)):
+            self.noise[i] |= self.noise[self.parent[i]]
 
     def _imply(self, stack: list[int], ends: set[str]) -> None:
         """Closes the open element of `ends` nearest to the top, unless a scope lies between."""
@@ -93,12 +117,16 @@ class Page:
                 return
 
     @staticmethod
-    def _marked(attrs: str) -> bool:
+    def _marked(attrs: str) -> int:
+        """2: hidden, or a class, id or role is a noise word; 1: a noise word is a part of one; 0: neither."""
         if not attrs:
-            return False
+            return 0
         if _HIDDEN.search(attrs):
-            return True
-        return any(w.lower() in NOISE_WORDS for m in _MARKING.finditer(attrs) for w in _WORDS.split(m.group(1) or m.group(2) or m.group(3) or ""))
+            return 2
+        names = [x for m in _MARKING.finditer(attrs) for x in (m.group(1) or m.group(2) or m.group(3) or "").split()]
+        if any(x.lower() in NOISE_WORDS for x in names):
+            return 2
+        return int(any(w.lower() in NOISE_WORDS for x in names for w in _WORDS.split(x)))
 
     def measure(self) -> None:
         """Characters, tags, characters and tags of links, density, and density sum of every node; noise counts nothing."""
@@ -153,6 +181,8 @@ class Page:
         threshold = min(self.density[i] for i in up)
         least = next((at for at in range(len(up) - 1, -1, -1) if self.tag[up[at]] in ("article", "main")), 0)
         up = up[least:]
+        if up[0]:  # lists of links within the article are text
+            self.menu[up[0] : self.last[up[0]] + 1] = [False] * (self.last[up[0]] + 1 - up[0])
         children: dict[int, list[int]] = {}
         for i in range(1, len(self.tag)):
             children.setdefault(self.parent[i], []).append(i)

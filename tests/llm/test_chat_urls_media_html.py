@@ -182,6 +182,18 @@ def test_the_densest_article_bounds_the_text():
     assert main_text(page) == "\n\n".join(["Head", *LONG, "End."])
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "page-with-nav", "no-comments"])
+@pytest.mark.parametrize("inside", [f"<article>{MAIN}</article>", f"<main>{MAIN}</main>", f"<div>{MAIN}</div>"])
+def test_a_part_of_a_name_hides_no_main_text(name, inside):
+    page = f'<div class="{name}"><div class="sidebar"><p>side</p></div>{inside}<div id="comments"><article><p>{LONG[0]} {LONG[1]} nice</p></article></div></div>'
+    assert main_text(page) == "\n\n".join(LONG)
+
+
+def test_a_list_of_sources_in_the_article_stays():
+    page = f"<ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><article>{MAIN}<ul><li><a>Source A</a><li><a>Source B</a><li><a>Source C</a></ul></article>"
+    assert main_text(page) == "\n\n".join([*LONG, "Source A", "Source B", "Source C"])
+
+
 @pytest.mark.parametrize("source,text", [(None, ""), ("", ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""), ("<!-- x", ""), ("<p title='a>b'>q</p", "q"), ("<div><div>", ""), ("<" * 50, "<" * 50), ("a < b", "a < b"), ("<article>x</article>", "x")])
 def test_odd_pages(source, text):
     assert main_text(source) == text
