@@ -9,13 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: Rows that a model is fitted on at most (those of the least hash of the id), characters of such a row at most (longer rows aren't drawn), landmarks of a language, ridge.
+#: Rows that a model is fitted on at most (those of the least hash of the id, besides some of each language), characters of such a row at most, landmarks of a language, ridge.
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 3000, 20_000, 48, 1e-2
+#: Rows of each language that are drawn in any case, as far as it has so many.
+EACH_LANGUAGE = 16
 #: Letters that have a number of their own; 0 is every non-letter, 1 every other letter.
 ALPHABET = 62
 _SIZE, _ORDERS = 64, 3
@@ -119,11 +121,18 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """From text and lang of documents whose crc32(doc_id) mod 5 is not 0: at most `rows` of up to 20,000 characters, by least hash. Rows without a text, language or id are left out."""
+    """From text and lang of documents whose crc32(doc_id) mod 5 is not 0: at most `rows` of up to 20,000 characters, by least hash, and EACH_LANGUAGE of every language (longer texts last, by their first 20,000 characters). Rows without a text, language or id are left out."""
     own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    own = own.filter(own["lang"].isNotNull() & own["doc_id"].isNotNull() & own["text"].isNotNull() & ~held_out(own["doc_id"]) & F.length("text").between(1, TRAIN_CHARS))
-    ids = own.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
-    got = own.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(rows).collect()
+    own = own.filter(own["lang"].isNotNull() & own["doc_id"].isNotNull() & own["text"].isNotNull() & ~held_out(own["doc_id"]) & (F.length("text") > 0))
+    own = own.withColumn("long", F.length("text") > TRAIN_CHARS)
+    short = own.filter(~own["long"])
+    ids = short.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
+    got = short.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(rows).collect()
+    first = lambda *ties: F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", *ties))
+    some = own.select("doc_id", "lang", "long").withColumn("no", first()).filter(F.col("no") <= EACH_LANGUAGE).select("doc_id", "lang", "long").distinct()
+    each = own.join(F.broadcast(some), ["doc_id", "lang", "long"]).withColumn("text", F.substring("text", 1, TRAIN_CHARS)).withColumn("no", first("text")).filter(F.col("no") <= EACH_LANGUAGE).select("doc_id", "lang", "text").collect()
+    have = {(r["doc_id"], r["lang"]) for r in got}
+    got += sorted((r for r in each if (r["doc_id"], r["lang"]) not in have), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 

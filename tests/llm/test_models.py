@@ -86,3 +86,12 @@ def test_language_edges(spark):
     got = {r.doc_id: r.lang_pred for r in li.identify(good).collect()}
     assert got[None] == "en" and got[98] == "und" and got[99] in ("en", "fr", "xx")
     assert li.identify(docs.limit(0)).count() == 0
+
+
+def test_rare_and_long_languages_are_learned(spark):
+    docs = [(i, "the cat sat on the mat " * 3, "en") for i in range(400)]
+    docs += [(1000 + i, "der hund und die katze schlafen " * 3, "de") for i in range(5)]
+    docs += [(2000 + i, "el perro come muchas naranjas " * 900, "es") for i in range(10)]  # over 20,000 characters
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    assert li.train(df, rows=20).languages == ["de", "en", "es"]
+    assert {(r.doc_id // 1000, r.lang_pred) for r in li.identify(df).collect()} == {(0, "en"), (1, "de"), (2, "es")}
