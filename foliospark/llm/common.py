@@ -1,15 +1,15 @@
-"""What the training-data operators share: the shared folder, word hashing, chunked reading of long texts."""
+"""What the training-data operators share: stored tables, word hashing, chunked reading of long texts."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh_path, join_counted, materialise, shared_dir  # noqa: F401  for the operators
+
 #: Texts are cut into pieces of about this many characters wherever lists of words are made, so memory doesn't grow with a text.
 CHUNK_CHARS = 1 << 20
 
@@ -18,27 +18,6 @@ _SPACE = re.compile(r"\s")
 _NOT_WORD = re.compile(r"\W")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.foliospark.shared", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
-        spark.conf.set("spark.foliospark.shared", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here and lost executors don't matter."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores until df has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -2,13 +2,12 @@
 
 Only ids, digests and signatures are shuffled for all documents; texts move only for documents that
 share a band with another text. Exact copies are one text from the start. Groups meet through their
-smallest member, found by a partial aggregate, so no task ever holds a group.
+most central member, found by partial aggregates, so no task ever holds a group.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, ngram_hashes, unused
+from .common import WordHashes, join_counted, materialise, ngram_hashes, unused
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -26,14 +25,10 @@ DF_BITS = 18
 _TABLE = 1 << 12
 #: Members of a group that are verified against one text in one run.
 BLOCK = 256
-#: Buckets of at most so many texts are compared pair by pair (3.5 pairs a text at most); larger ones with their smallest text first, then all their texts that aren't in one class.
+#: Buckets of at most so many texts are compared pair by pair (3.5 pairs a text at most); larger ones with their most central text first, then all their texts that aren't in one class.
 SMALL = 8
-#: Texts of a large bucket on either side of one comparison of signatures.
-SIDE = 2048
-#: Pairs of a text and one side that are verified in the first round for large buckets, and the factor by which they grow from round to round until none is put off.
-PARTNERS, MORE_PARTNERS = 4, 8
-#: Pairs that agree in less than this part of their samples are not verified. At a similarity of 0.8 that loses 0.0044 % of the pairs, besides the 0.51 % that share no band.
-MIN_AGREEMENT = 0.55
+#: Shingles of the texts of a large bucket on either side of one block of comparisons.
+SIDE = 1 << 20
 
 
 class Sampler:
@@ -122,85 +117,120 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest, the hash of each band and one byte of each sample, for every row of docs(doc_id, text)."""
+    """doc_id, digest, size (shingles) and the hash of each band (band_0, band_1, ...), for every row of docs(doc_id, text)."""
+    names = [f"band_{no}" for no in range(bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sampler, seen = WordHashes(), Sampler(bands * rows), {}
         factor = np.random.default_rng(7).integers(1, 1 << 62, (bands, rows), np.int64).astype(np.uint64) | np.uint64(1)
         for batch in batches:
-            digests, bucket, low = [], np.zeros((batch.num_rows, bands), np.uint64), np.zeros((batch.num_rows, bands * rows), np.int8)
+            digests, size, bucket = [], np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, bands), np.uint64)
             for at, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                hashes = cache.of(text)
+                hashes = cache.of(text.as_py() or "")
                 key = digest(hashes)
                 got = seen.get(key)
                 if got is None:
                     shingles = weighted_shingles(hashes, idf.value)
-                    sig = sampler.signature(*shingles).view(np.uint32).astype(np.uint64)
-                    part = (sig.reshape(bands, rows) + np.uint64(1)) * factor
+                    part = (sampler.signature(*shingles).view(np.uint32).astype(np.uint64).reshape(bands, rows) + np.uint64(1)) * factor
                     part ^= part >> np.uint64(29)
-                    got = (part * np.uint64(0xD6E8FEB86659FD93)).sum(1, dtype=np.uint64), (sig * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+                    got = len(shingles[0]), (part * np.uint64(0xD6E8FEB86659FD93)).sum(1, dtype=np.uint64)
                     if len(seen) >= 20_000:
                         seen.clear()
                     seen[key] = got
                 digests.append(key)
-                bucket[at], low[at] = got
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in (bucket.view(np.int64), low)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *lists], ["doc_id", "digest", "bands", "samples"])
+                size[at], bucket[at] = got
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(size), *(pa.array(x) for x in np.ascontiguousarray(bucket.T).view(np.int64))], ["doc_id", "digest", "size", *names])
 
-    return docs.mapInArrow(run, "doc_id bigint, digest binary, bands array<bigint>, samples array<tinyint>")
+    return docs.mapInArrow(run, "doc_id bigint, digest binary, size bigint, " + ", ".join(f"{x} bigint" for x in names))
 
 
-def compared(groups: DataFrame, small: int, agreement: int) -> DataFrame:
-    """Pairs (node, head) to verify from groups(node, samples, bucket): all of a bucket of at most `small` texts, those with the smallest text of a larger one. That text comes from a partial aggregate."""
-    heads = groups.groupBy("bucket").agg(F.min(F.struct("node", "samples")).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rows = groups.join(heads, "bucket")
-    alike = F.size(F.filter(F.zip_with("samples", "others", lambda a, b: a == b), lambda x: x)) >= agreement
-    star = rows.filter(F.col("members") > small).select("node", "samples", F.col("first.node").alias("head"), F.col("first.samples").alias("others")).filter("node <> head")
-    few = rows.filter(F.col("members") <= small).select("bucket", "node", "samples")
-    pairs = few.join(few.select("bucket", F.col("node").alias("head"), F.col("samples").alias("others")), "bucket").filter("head < node").select("node", "samples", "head", "others")
-    return star.unionByName(pairs).filter(alike).select("node", "head").distinct()
+def compared(groups: DataFrame, small: int) -> DataFrame:
+    """Pairs (node, head) to verify from groups(node, bucket, members): all of a bucket of at most `small` texts; of a larger one, each with the text whose buckets have most members together (ties: the smallest), which is the one that most others are copies of."""
+    few = groups.filter(F.col("members") <= small).select("bucket", "node")
+    pairs = few.join(few.withColumnRenamed("node", "head"), "bucket").filter("head < node").select("node", "head")
+    large = groups.filter(F.col("members") > small)
+    central = groups.groupBy("node").agg(F.sum("members").alias("met"))
+    first = F.min(F.struct(-F.col("met"), "node"))["node"].alias("head")
+    heads = materialise(large.join(central, "node").groupBy("bucket").agg(first, F.count(F.lit(1)).alias("texts")), "heads")
+    star = join_counted(large.select("node", "bucket"), heads, "bucket", "texts").filter("node <> head").select("node", "head")
+    return star.unionByName(pairs).distinct()
 
 
 def divided(groups: DataFrame, labels: DataFrame, small: int, side: int) -> DataFrame:
-    """The texts of the buckets of more than `small` texts that aren't all of one class, dealt to blocks (bucket, i, j): all texts of the bucket in parts j (asks false), against those outside its largest class in parts i (asks true)."""
-    at = groups.join(labels, "node", "left").select("bucket", "node", "samples", F.coalesce("label", "node").alias("label"))
-    sizes = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("classes")).filter((F.col("classes") > 1) & (F.col("members") > small))
-    parts = tops.select("bucket", F.col("top.label").alias("most"), F.ceil((F.col("members") - F.col("top.n")) / side).cast("int").alias("rows"), F.ceil(F.col("members") / side).cast("int").alias("cols"))
-    rows = at.join(parts, "bucket")
+    """The texts of the buckets of more than `small` texts that aren't all of one class, dealt to blocks (bucket, i, j): all texts of the bucket in parts j (asks false), against those outside its largest class in parts i (asks true). A part has about `side` shingles."""
+    at = groups.filter(F.col("members") > small).join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
+    at = materialise(at, "classes")
+    sizes = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("texts"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    dealt = lambda size: F.greatest(F.lit(1), F.ceil(size / side)).cast("int")
+    parts = materialise(tops.select("bucket", "texts", F.col("top.label").alias("most"), dealt(F.col("size") - F.col("top.size")).alias("rows"), dealt(F.col("size")).alias("cols")), "parts")
+    rows = join_counted(at.select("bucket", "node", "label"), parts, "bucket", "texts")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    everyone = rows.select("bucket", each("rows").alias("i"), part("cols").alias("j"), "node", "samples", "label", F.lit(False).alias("asks"))
-    asking = rows.filter("label <> most").select("bucket", part("rows").alias("i"), each("cols").alias("j"), "node", "samples", "label", F.lit(True).alias("asks"))
+    everyone = rows.select("bucket", each("rows").alias("i"), part("cols").alias("j"), "node", "label", F.lit(False).alias("asks"))
+    asking = rows.filter("label <> most").select("bucket", part("rows").alias("i"), each("cols").alias("j"), "node", "label", F.lit(True).alias("asks"))
     return everyone.unionByName(asking)
 
 
-def crossing(blocks: DataFrame, agreement: int, partners: int) -> DataFrame:
-    """Pairs (node, head) of different classes that agree in enough samples, from divided(): of each asking text and block the `partners` that agree most (ties: the smallest), and whether some were put off (more)."""
+class Block:
+    """The texts of one block with their shingles by value, for exact comparisons of an asking text with all of them."""
+
+    def __init__(self, nodes: np.ndarray, shingles: list[tuple[np.ndarray, np.ndarray]]):
+        self.nodes, self.shingles = nodes, shingles
+        grams = np.concatenate([g for g, _ in shingles])
+        order = np.argsort(grams, kind="stable")
+        self.owner = np.repeat(np.arange(len(shingles)), [len(g) for g, _ in shingles])[order]
+        self.weight = np.concatenate([w for _, w in shingles])[order]
+        self.grams, self.start, self.count = np.unique(grams[order], return_index=True, return_counts=True)
+        self.total = np.array([w.sum() for _, w in shingles])
+
+    def alike(self, node: int, mine: tuple[np.ndarray, np.ndarray], open_: np.ndarray, least: float) -> np.ndarray:
+        """Places of the texts, among those that are open, of weighted Jaccard similarity >= least to `mine`.
+
+        What the text shares with any one other is at most the weight of its shingles that others have at
+        all, and at most the other's weight; only texts that could reach the similarity by that are measured.
+        """
+        grams, weights = mine
+        if not len(grams) or not len(self.grams):
+            return np.empty(0, np.intp)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        others = np.where(self.grams[at] == grams, self.count[at], 0)
+        for own in np.flatnonzero(self.nodes == node):
+            others -= np.isin(grams, self.shingles[own][0], assume_unique=True)
+        held, total = weights[others > 0].sum(), weights.sum()
+        most = np.minimum(held, self.total)
+        open_ = open_ & (most >= (least - 1e-9) * (total + self.total - most))
+        if not open_.any():
+            return np.empty(0, np.intp)
+        start, count = self.start[at[others > 0]], self.count[at[others > 0]]
+        place = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        shared = np.bincount(self.owner[place], np.minimum(self.weight[place], np.repeat(weights[others > 0], count)), len(self.nodes))
+        near = np.flatnonzero(open_ & (shared >= (least - 1e-9) * (total + self.total - shared)))
+        return np.array([x for x in near if weighted_jaccard(mine, self.shingles[x]) >= least], np.intp)
+
+
+def crossing(blocks: DataFrame, texts: DataFrame, idf, min_similarity: float) -> DataFrame:
+    """Links (node, head, score) between texts of different classes from divided(): every asking text is compared with all texts of its block, exactly. Links within what others of the block have joined are left out, so a block gives less links than it has classes."""
 
     def run(block: pa.Table) -> pa.Table:
-        node, label, asks = (block[c].to_numpy() for c in ("node", "label", "asks"))
-        samples = block["samples"].combine_chunks()
-        samples = samples.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
-        order = np.argsort(node, kind="stable")
-        order = order[~asks[order].astype(bool)]
-        theirs, classes, across = node[order], label[order], np.ascontiguousarray(samples[order].T)
-        out: list[np.ndarray] = []
-        more: list[np.ndarray] = []
-        for q in np.flatnonzero(asks):
-            same = (across == samples[q][:, None]).sum(0, dtype=np.int16)
-            found = np.flatnonzero((same >= agreement) & (classes != label[q]))
-            late = len(found) > partners
-            if late:
-                found = found[np.argsort(-same[found], kind="stable")[:partners]]
-            mine = np.full(len(found), node[q])
-            out.append(np.stack([np.maximum(mine, theirs[found]), np.minimum(mine, theirs[found])]))
-            more.append(np.full(len(found), late))
-        pairs = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"node": pairs[0], "head": pairs[1], "more": np.concatenate(more) if more else np.empty(0, bool)})
-
-    return blocks.groupBy("bucket", "i", "j").applyInArrow(run, "node bigint, head bigint, more boolean")
+        block = block.sort_by([("node", "ascending")])
+        cache, asks = WordHashes(), block["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        node, label = block["node"].to_numpy().copy(), block["label"].to_numpy().copy()
+        shingles: list = [None] * len(node)
+        for at, text in enumerate(block["text"]):
+            same = at and node[at] == node[at - 1] and text == block["text"][at - 1]
+            shingles[at] = shingles[at - 1] if same else weighted_shingles(cache.of(text.as_py() or ""), idf.value)
+        out, theirs = [], np.flatnonzero(~asks)
+        if len(theirs):
+            known = Block(node[theirs], [shingles[x] for x in theirs])
+            for q in np.flatnonzero(asks):
+                for x in known.alike(node[q], shingles[q], label[theirs] != label[q], min_similarity):
+                    if label[theirs[x]] != label[q]:
+                        out.append((max(node[q], node[theirs[x]]), min(node[q], node[theirs[x]]), min_similarity))
+                        label[label == label[theirs[x]]] = label[q]
+        return pa.table({"node": pa.array([x[0] for x in out], pa.int64()), "head": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
+
+    return blocks.join(texts, "node").select("bucket", "i", "j", "node", "label", "asks", "text").groupBy("bucket", "i", "j").applyInArrow(run, "node bigint, head bigint, score double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, min_similarity: float) -> DataFrame:
@@ -210,9 +240,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, min_similarity: float) ->
     its members, so a text with any number of partners fills no task.
     """
     spark = pairs.sparkSession
-    pairs = pairs.withColumn("members", F.lit(1))
-    heads = pairs.groupBy("head").agg(F.sum("members").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    placed = pairs.drop("members").join(heads.select("head", "blocks"), "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    heads = materialise(pairs.groupBy("head").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "heads")
+    placed = join_counted(pairs, heads, "head", "members").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.select("head", "block", "node").unionByName(heads.select("head", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.col("head").alias("node")))
     rows = wanted.join(texts, "node").select("head", "block", "node", "text")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "head", "block").sortWithinPartitions("head", "block", F.col("node") != F.col("head"))
@@ -263,10 +292,9 @@ def near_duplicates(
     linked. Classes are the connected components of those links. is_kept: doc_id = class_id.
 
     Texts meet in the buckets of their bands. A small bucket is compared pair by pair. In a large one
-    every text is compared with the smallest; then all pairs of texts in different classes are compared
-    by their signatures, in blocks, and those that agree are verified, the most alike first. Rounds go
-    on with more pairs each until none is put off, so the classes are those of all pairs of all
-    buckets. Each round is a table in the shared folder.
+    every text is compared with the most central; then the texts outside its largest class are compared
+    with all its texts, in blocks of bounded size and exactly, so the classes are those of all pairs of
+    all buckets. No bucket is capped, and nothing but the similarity itself drops a pair that meets.
 
     Null text counts as empty; all texts without a word are one class. Rows with a null doc_id come back
     with null class_id and is_kept true. Rows that repeat a doc_id come back each; if their texts differ,
@@ -278,32 +306,22 @@ def near_duplicates(
     idf = spark.sparkContext.broadcast(inverse_frequencies(plain.select("text")))
     signed = materialise(signatures(plain, idf, bands, rows), "signed")
     known = signed.filter("doc_id is not null")
-    nodes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    own = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(0)))
-    reps = known.join(nodes, "digest").filter("doc_id = node").withColumn("no", own).filter("no = 1").select("node", "bands", "samples")
-    start = reps.select("node", "samples", F.posexplode("bands").alias("band_no", "band")).select("node", "samples", F.xxhash64("band_no", "band").alias("bucket"))
-    shared = start.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
-    groups = materialise(start.join(shared, "bucket", "left_semi"), "groups")
-    at = known.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node")
+    names = [f"band_{no}" for no in range(bands)]
+    nodes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), *(F.max(x).alias(x) for x in names))
+    nodes = materialise(nodes, "nodes")
+    start = nodes.select("node", "size", F.posexplode(F.array(*names)).alias("band_no", "band")).select("node", "size", F.xxhash64("band_no", "band").alias("bucket"))
+    shared = materialise(start.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared")
+    groups = materialise(join_counted(start, shared, "bucket", "members"), "groups")
+    at = join_counted(known.select("doc_id", "digest"), nodes.select("digest", "node", "copies"), "digest", "copies").select("doc_id", "node")
     if groups.isEmpty():
         at = at.withColumn("label", F.lit(None).cast("bigint"))
     else:
         texts = materialise(plain.withColumnRenamed("doc_id", "node").join(groups.select("node").distinct(), "node", "left_semi"), "texts")
-        agreement = math.ceil(MIN_AGREEMENT * bands * rows)
-        tried = materialise(compared(groups, small, agreement), "pairs")
-        edges = materialise(verified(tried, texts, idf, min_similarity), "links")
+        edges = materialise(verified(materialise(compared(groups, small), "pairs"), texts, idf, min_similarity), "links")
         labels = components(edges)
-        partners, more = PARTNERS, True
-        while more:
-            found = materialise(crossing(divided(groups, labels, small, SIDE), agreement, partners), "crossing")
-            more = not found.filter("more").isEmpty()
-            pairs = materialise(found.select("node", "head").distinct().join(tried, ["node", "head"], "left_anti"), "pairs")
-            good = materialise(verified(pairs, texts, idf, min_similarity), "links")
-            tried = tried.unionByName(pairs)
-            if not good.isEmpty():
-                edges = edges.unionByName(good)
-                labels = components(edges)
-            partners *= MORE_PARTNERS
+        further = materialise(crossing(divided(groups, labels, small, SIDE), texts, idf, min_similarity), "links")
+        if not further.isEmpty():
+            labels = components(edges.unionByName(further))
         at = at.join(labels, "node", "left")
     out = at.select("doc_id", F.coalesce("label", "node").alias("class_id")).withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
     rest = signed.filter("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("is_kept"))
