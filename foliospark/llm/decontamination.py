@@ -1,67 +1,55 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
 
 Both passes read the documents once and shuffle nothing of them: the test items are the stated query
-set. They reach the executors in blocks of at most `block_chars` characters, each block a broadcast of
-proven size; a benchmark of any size is worked through block by block against all documents.
+set. They reach the executors in blocks of at most `block_chars` characters and one item more, each
+block a broadcast of that size; a benchmark of any size is worked through block by block against all
+documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _NOT_WORD, pieces, words
+from .common import WordHashes, ngram_hashes
 
 SEED_WORDS = 3
 #: Whatever its frequency, the rarest n-gram in every run of so many n-grams of an item is a seed.
 SEED_WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
-BLOCK_CHARS = 8 << 20
-FILTER_BITS = 20
+BLOCK_CHARS = 16 << 20
 
 SCHEMA = "doc_id bigint, item_id bigint, score double, alignment int, item_words int, seeds int"
 
 
 class Items:
-    """A block of test items with their words as numbers from 1 on; 0 stands for every other word."""
+    """A block of test items as sequences of 64-bit hashes of their words; items without an id or a word are left out."""
 
     def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.n, self.vocab = n, {}
-        self.ids, self.seqs = [], []
+        hashes = WordHashes()
+        self.n, self.ids, self.seqs = n, [], []
         for item_id, text in rows:
-            seq = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text or "")], np.int64)
-            if item_id is not None and len(seq) >= n:
+            seq = hashes.of(text or "")
+            if item_id is not None and len(seq):
                 self.ids.append(item_id)
                 self.seqs.append(seq)
-        self.base = len(self.vocab) + 1
-        if self.base**n >= 1 << 62:
-            raise ValueError("a block of items has too many different words")
+        #: Lengths of the n-grams that are looked up: n, and those of items that are shorter.
+        self.sizes = sorted({min(n, len(s)) for s in self.seqs})
 
     def grams(self, seq: np.ndarray) -> np.ndarray:
-        """A number for each n-gram; -1 for one with a word that no item has."""
-        m = len(seq) - self.n + 1
-        if m <= 0:
-            return np.empty(0, np.int64)
-        code, whole = np.zeros(m, np.int64), np.ones(m, bool)
-        for j in range(self.n):
-            part = seq[j : j + m]
-            code = code * self.base + part
-            whole &= part > 0
-        return np.where(whole, code, -1)
-
-    def numbers(self, text: str) -> np.ndarray:
-        """The words of a whole text as the items' numbers."""
-        out = []
-        for piece in pieces(text, cut=_NOT_WORD):
-            found = words(piece)
-            out.append(np.fromiter(map(self.vocab.get, found, repeat(0)), np.int64, len(found)))
-        return out[0] if len(out) == 1 else np.concatenate(out)
+        """Hashes of the n-grams of an item; one of the whole item if it is shorter."""
+        return ngram_hashes(seq, self.n)
+
+    def find(self, words: np.ndarray, look: Lookup) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a document's words of the n-grams that `look` has, and places of their keys."""
+        found = [look.find(ngram_hashes(words, n)) for n in self.sizes if len(words) >= n]
+        return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, np.intp),) * 2
 
 
 class Lookup:
@@ -69,23 +57,30 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = np.zeros(1 << FILTER_BITS, bool)
-        self.bits[self._slot(keys)] = True
-
-    @staticmethod
-    def _slot(x: np.ndarray) -> np.ndarray:
-        return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        self.shift = np.uint64(64 - max(16, (8 * len(keys)).bit_length()))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(keys >> self.shift).astype(np.intp)] = True
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in grams, positions in keys)"""
-        at = np.flatnonzero(grams >= 0)
-        at = at[self.bits[self._slot(grams[at])]]
-        k = np.searchsorted(self.keys, grams[at])
-        k[k == len(self.keys)] = 0
-        hit = self.keys[k] == grams[at] if len(self.keys) else np.zeros(0, bool)
+        at = np.flatnonzero(self.bits[(grams >> self.shift).astype(np.intp)])
+        if not len(at) or not len(self.keys):
+            return at[:0], at[:0]
+        k = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+        hit = self.keys[k] == grams[at]
         return at[hit], k[hit]
 
 
+@dataclass
+class Seeds:
+    """Seed n-grams; owners start[k] to start[k + 1] of key k are the items that have it and the places where."""
+
+    look: Lookup
+    start: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> int:
     """Best local alignment score of two sequences of word numbers (0 matches nothing), linear gaps; one vector step for each item word."""
     steps = np.arange(len(passage) + 1, dtype=np.int64) * -GAP
@@ -100,8 +95,8 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def choose_seeds(items: Items, df: dict[int, int], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted seed n-grams, and for each the items that have it, as rows (item, place).
+def choose_seeds(items: Items, grams: np.ndarray, df: np.ndarray, window: int) -> Seeds:
+    """Seeds of a block, by the document frequencies df of the n-grams in the sorted array grams (others: 0).
 
     N-grams that no document has (df 0) can join nothing and are left out throughout. Rare are those of
     at most twice the document frequency of the item's median one; all of them are seeds. Besides, every
@@ -109,81 +104,88 @@ def choose_seeds(items: Items, df: dict[int, int], window: int) -> tuple[np.ndar
     shares that is rare, or the rarest of a run, among those that documents have; a stretch of
     window + n - 1 unchanged words always holds one.
     """
-    seeds: dict[int, list] = {}
+    keys, owner, place = [], [], []
     for k, seq in enumerate(items.seqs):
-        grams = items.grams(seq)
-        rare = np.array([df.get(int(g), 0) for g in grams], float)
+        own = items.grams(seq)
+        at = np.minimum(np.searchsorted(grams, own), max(0, len(grams) - 1))
+        rare = np.where(grams[at] == own, df[at], 0).astype(float) if len(grams) else np.zeros(len(own))
         held = rare > 0
         if not held.any():
             continue
         limit = 2 * np.median(rare[held])
         rare[~held] = np.inf
-        runs = (s + int(np.argmin(rare[s : s + window])) for s in range(max(1, len(grams) - window + 1)))
-        chosen = {p for p in runs if held[p]}
-        chosen.update(np.flatnonzero(rare <= limit).tolist())
-        for p in sorted(chosen):
-            seeds.setdefault(int(grams[p]), []).append((k, p))
-    keys = np.array(sorted(seeds), np.int64)
-    return keys, [np.array(seeds[int(g)], np.int64) for g in keys]
-
-
-def aligned(items: Items, numbers: np.ndarray, at: np.ndarray, owners: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-    """(item, best score, seed hits) of every item with a seed in the document. at: places of seed hits, owners: their items. A hit opens a passage that reaches the item's length and a half around the place where the item would lie; overlapping passages are one."""
-    hits: dict[int, list[int]] = {}
-    for p, own in zip(at.tolist(), owners, strict=True):
-        for k, q in own.tolist():
-            hits.setdefault(k, []).append(p - q)
-    for k, starts in hits.items():
-        item = items.seqs[k]
+        chosen = rare <= limit
+        runs = np.lib.stride_tricks.sliding_window_view(rare, min(window, len(rare))).argmin(1)
+        chosen[np.arange(len(runs)) + runs] = True
+        chosen = np.flatnonzero(chosen & held)
+        keys.append(own[chosen])
+        owner.append(np.full(len(chosen), k))
+        place.append(chosen)
+    if not keys:
+        return Seeds(Lookup(np.empty(0, np.uint64)), np.zeros(1, np.intp), np.empty(0, np.intp), np.empty(0, np.intp))
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    one, start = np.unique(key[order], return_index=True)
+    return Seeds(Lookup(one), np.append(start, len(key)), np.concatenate(owner)[order], np.concatenate(place)[order])
+
+
+def aligned(items: Items, seeds: Seeds, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, best score, seed hits) of every item with a seed in the document. A hit opens a passage that reaches the item's length and a half around the place where the item would lie; overlapping passages are one."""
+    at, k = items.find(words, seeds.look)
+    if not len(at):
+        return
+    count = seeds.start[k + 1] - seeds.start[k]
+    owners = np.repeat(seeds.start[k] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    who, begin = seeds.item[owners], np.repeat(at, count) - seeds.place[owners]
+    order = np.lexsort((begin, who))
+    who, begin = who[order], begin[order]
+    cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+    for lo, hi in zip(cut, np.append(cut[1:], len(who)), strict=True):
+        item, starts = items.seqs[who[lo]], np.unique(begin[lo:hi])
         m, best = len(item), 0
         pad = m // 2 + 1
-        spans: list[list[int]] = []
-        for s in sorted(set(starts)):
-            lo, hi = max(0, s - pad), min(len(numbers), s + m + pad)
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = max(hi, spans[-1][1])
-            else:
-                spans.append([lo, hi])
-        if any(s >= 0 and s + m <= len(numbers) and np.array_equal(numbers[s : s + m], item) for s in set(starts)):
+        if any(s >= 0 and s + m <= len(words) and np.array_equal(words[s : s + m], item) for s in starts):
             best = MATCH * m  # an unchanged copy: no alignment can score more
         else:
-            for lo, hi in spans:
-                best = max(best, smith_waterman(item, numbers[lo:hi]))
-        yield k, best, len(starts)
+            far = np.flatnonzero(np.diff(starts) > m + 2 * pad)
+            for first, last in zip(np.append(0, far + 1), np.append(far, len(starts) - 1), strict=True):
+                best = max(best, smith_waterman(item, words[max(0, starts[first] - pad) : starts[last] + m + pad]))
+        yield int(who[lo]), best, int(hi - lo)
 
 
 def _blocks(texts: DataFrame, benchmark: DataFrame, n: int, window: int, block_chars: int) -> Iterator:
-    """For each block of the benchmark a broadcast of its items, seeds and the seeds' owners; the frequencies are of all of texts(text)."""
-    spark = texts.sparkSession
+    """For each block of the benchmark a broadcast of its items and seeds; the frequencies are of all of texts(text). The driver reads the benchmark a partition at a time, and holds a block."""
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
-    for b in range(blocks):
-        rows = [(r[0], r[1]) for r in bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        items = Items(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n)
-        if not items.seqs:
-            continue
-        sent = spark.sparkContext.broadcast((items, Lookup(np.unique(np.concatenate([items.grams(s) for s in items.seqs])))))
-
-        def count(batches, sent=sent):
-            its, look = sent.value
-            total = np.zeros(len(look.keys), np.int64)
-            for batch in batches:
-                for text in batch.column(0):
-                    total[np.unique(look.find(its.grams(its.numbers(text.as_py() or "")))[1])] += 1
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(look.keys[at]), pa.array(total[at])], ["gram", "df"])
+    held, chars = [], 0
+    for row in bench.filter("item_id is not null and text is not null").distinct().toLocalIterator():
+        held.append((row[0], row[1]))
+        chars += len(row[1])
+        if chars >= block_chars:
+            yield from _block(texts, held, n, window)
+            held, chars = [], 0
+    yield from _block(texts, held, n, window)
 
-        df = {r[0]: r[1] for r in texts.mapInArrow(count, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df")).collect()}
-        keys, owners = choose_seeds(items, df, window)
-        yield spark.sparkContext.broadcast((items, Lookup(keys), owners))
 
-
-def _scores(block, text: str) -> Iterator[tuple[int, int, int]]:
-    items, look, owners = block
-    numbers = items.numbers(text)
-    at, k = look.find(items.grams(numbers))
-    return aligned(items, numbers, at, [owners[x] for x in k.tolist()])
+def _block(texts: DataFrame, rows: list[tuple[int, str]], n: int, window: int) -> Iterator:
+    spark = texts.sparkSession
+    items = Items(sorted(rows), n)
+    if not items.seqs:
+        return
+    sent = spark.sparkContext.broadcast((items, Lookup(np.unique(np.concatenate([items.grams(s) for s in items.seqs])))))
+
+    def count(batches):
+        its, look = sent.value
+        hashes, total = WordHashes(), np.zeros(len(look.keys), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                total[np.unique(its.find(hashes.of(text.as_py() or ""), look)[1])] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(look.keys[at].view(np.int64)), pa.array(total[at])], ["gram", "df"])
+
+    got = texts.mapInArrow(count, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()  # no more rows than the block has n-grams
+    grams, df = got["gram"].to_numpy().view(np.uint64), got["df"].to_numpy()
+    order = np.argsort(grams)
+    yield spark.sparkContext.broadcast((items, choose_seeds(items, grams[order], df[order], window)))
 
 
 def find_leaks(
@@ -201,10 +203,11 @@ def find_leaks(
        before the shuffle). 2. The rare n-grams of an item are seeds (see choose_seeds); documents that
        hold one are aligned with the item around it, in the same task.
 
-    Words are runs of letters, digits and underscores in lower case. Null text is empty; a null doc_id
-    or item_id is not searched; an item of fewer than n words has no seed and is never reported.
-    Repeated rows of one id give one pair with the best score. Ties in rarity: the first n-gram. Empty
-    tables: no pairs. Other columns are ignored.
+    Words are runs of letters, digits and underscores in lower case, compared by 64-bit hashes. An item of
+    fewer than n words has one seed, all of it, so it is found where its words stand in a row. Null or
+    empty texts match nothing; a null doc_id or item_id is not searched. Repeated rows of one id give one
+    pair with the best score. Ties in rarity: the first n-gram. Empty tables: no pairs. Other columns are
+    ignored.
     """
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
@@ -212,11 +215,11 @@ def find_leaks(
     for block in _blocks(texts.select("text"), benchmark, n, window, block_chars):
 
         def align(batches, block=block):
-            items = block.value[0]
+            (items, seeds), hashes = block.value, WordHashes()
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for i, best, hits in _scores(block.value, text.as_py() or "") if doc_id is not None else ():
+                    for i, best, hits in aligned(items, seeds, hashes.of(text.as_py() or "")) if doc_id is not None else ():
                         m = len(items.seqs[i])
                         if best >= min_score * MATCH * m:
                             out.append((doc_id, items.ids[i], best / (MATCH * m), best, m, hits))
@@ -245,12 +248,12 @@ def remove_leaks(
     """
     at = docs.columns.index("text")
     out = docs
-    for block in _blocks(docs.select(docs["text"].cast("string")), benchmark, n, window, block_chars):
+    for block in _blocks(docs.select(docs["text"].cast("string").alias("text")), benchmark, n, window, block_chars):
 
         def keep(batches, block=block):
-            items = block.value[0]
+            (items, seeds), hashes = block.value, WordHashes()
             for batch in batches:
-                clean = [all(best < min_score * MATCH * len(items.seqs[i]) for i, best, _ in _scores(block.value, text.as_py() or "")) for text in batch.column(at)]
+                clean = [all(best < min_score * MATCH * len(items.seqs[i]) for i, best, _ in aligned(items, seeds, hashes.of(text.as_py() or ""))) for text in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(keep, docs.schema)
