@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The marks of the template.
@@ -32,13 +32,14 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     text = escape(F.coalesce(conversations["text"].cast("string"), F.lit("")))
     role = F.coalesce(conversations["role"].cast("string"), F.lit(""))
     marked = F.concat(F.lit(START), escape_role(role), F.lit("\n"), text, F.lit(f"{END}\n"))
-    turn = F.struct(conversations["turn"].cast("bigint").alias("turn"), role.alias("role"), marked.alias("marked"), F.length(text).alias("chars"))
-    turns = conversations.select(conversations["conv_id"].cast("bigint").alias("conv_id"), turn.alias("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    rows = conversations.select(conversations["conv_id"].cast("bigint").alias("conv_id"), conversations["turn"].cast("bigint").alias("turn"), role.alias("role"), marked.alias("marked"), F.length(text).alias("chars"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "marked")
+    upto = F.sum(F.length("marked")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    rows = rows.select("conv_id", F.struct(F.row_number().over(order).alias("no"), upto.alias("end"), "role", "marked", "chars").alias("turn"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: t["marked"]), "")
-    # the running end of each turn, then the place of an assistant's text before its closing mark
-    ends = F.aggregate("turns", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t["marked"]))))
-    placed = F.arrays_zip("turns", F.slice(ends, F.lit(2), F.size("turns")).alias("end"))
-    spans = F.transform(F.filter(placed, lambda x: x["turns"]["role"] == "assistant"), lambda x: F.struct((x["end"] - len(END) - 1 - x["turns"]["chars"]).alias("start"), x["turns"]["chars"].alias("length")))
+    # an assistant's text lies before its closing mark
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct((t["end"] - len(END) - 1 - t["chars"]).alias("start"), t["chars"].alias("length")))
     return turns.select("conv_id", formatted.alias("formatted"), spans.alias("spans"))
 
 
