@@ -4,7 +4,7 @@ Each task writes the payloads of its own input split to shards of its own in the
 name no other attempt has, and returns their places; the table of places is written through Spark's
 committer, so shards of failed attempts are never referred to. A payload that several tasks stored is
 then read from its smallest place only. No text is shuffled, and no digest is hot: the places are
-reduced by a partial aggregate.
+reduced by a partial aggregate, and those of hot digests are broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise
+from .common import fresh_path, join_counted, materialise
 
 #: Bytes after which a task begins another shard, and digests that it remembers to store equal payloads once.
 SHARD_BYTES = 128 << 20
@@ -111,12 +111,8 @@ def _filesystem(uri: str):
     return FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
-def store_media(docs: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, digest (sha256 of the payload, 32 bytes), shard, offset and length for every row of docs(doc_id, text, ...), after storing the payloads as PNG members of tar shards below root (a folder that all executors share; default: a new one in spark.checkpoint.dir).
-
-    Null text: empty, a payload of 64 zero bytes. Null doc_id: kept. Repeated rows: a row each, of one
-    place. Empty table: no rows. Other columns are ignored. Equal texts have equal places.
-    """
+def _stored(docs: DataFrame, root: str | None, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The stored payloads: (doc_id, n_bytes, digest) of every row, and the place and number of copies of every digest."""
     spark = docs.sparkSession
     root = root or fresh_path(spark, "media")
     fs, base = _filesystem(root)
@@ -149,8 +145,18 @@ def store_media(docs: DataFrame, root: str | None = None, shard_bytes: int = SHA
             shard.close()
 
     stored = materialise(docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(write, PLACES), "places")
-    first = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    return stored.select("doc_id", "n_bytes", "digest").join(first, "digest").select("doc_id", "n_bytes", "digest", F.concat(F.lit(f"{root}/"), "place.shard").alias("shard"), "place.offset", "place.length")
+    first = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"), F.count(F.lit(1)).alias("copies"))
+    return stored.select("doc_id", "n_bytes", "digest"), first.select("digest", F.concat(F.lit(f"{root}/"), "place.shard").alias("shard"), "place.offset", "place.length", "copies")
+
+
+def store_media(docs: DataFrame, root: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_bytes, digest (sha256 of the payload, 32 bytes), shard, offset and length for every row of docs(doc_id, text, ...), after storing the payloads as PNG members of tar shards below root (a folder that all executors share; default: a new one in spark.checkpoint.dir).
+
+    Null text: empty, a payload of 64 zero bytes. Null doc_id: kept. Repeated rows: a row each, of one
+    place. Empty table: no rows. Other columns are ignored. Equal texts have equal places.
+    """
+    rows, first = _stored(docs, root, shard_bytes)
+    return join_counted(rows, materialise(first, "first"), "digest", "copies").select("doc_id", "n_bytes", "digest", "shard", "offset", "length")
 
 
 def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, object]]:
@@ -168,8 +174,9 @@ def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
         source.close()
 
 
-def _sorted_places(places: DataFrame) -> DataFrame:
-    one = places.select("digest", "shard", "offset", "length").distinct()
+def _sorted_places(places: DataFrame, distinct: bool = True) -> DataFrame:
+    one = places.select("digest", "shard", "offset", "length")
+    one = one.distinct() if distinct else one
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return one.repartition(n, "shard", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("shard", "offset")
 
@@ -207,8 +214,8 @@ def feature_of(head: dict, lines: np.ndarray) -> str:
     return f"{head['width']}x{head['height']}x{head['depth']};mean={mean:.4f};std={float(share @ (level - mean) ** 2) ** 0.5:.4f};zero={share[0]:.4f}"
 
 
-def read_media(places: DataFrame) -> DataFrame:
-    """One row of READ for each digest of places, from its stored bytes: the header by a range read of its own, then the whole image."""
+def read_media(places: DataFrame, distinct: bool = True) -> DataFrame:
+    """One row of READ for each digest of places, from its stored bytes: the header by a range read of its own, then the whole image. distinct false: places has no digest twice."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for digest, offset, length, source in _readers(batches):
@@ -219,7 +226,7 @@ def read_media(places: DataFrame) -> DataFrame:
             row = [digest, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).digest(), feature_of(head, lines)]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [c.split()[0] for c in READ.split(", ")])
 
-    return _sorted_places(places).mapInArrow(_batched(read), READ)
+    return _sorted_places(places, distinct).mapInArrow(_batched(read), READ)
 
 
 def tar_members(data: bytes) -> list[tuple[str, bytes]]:
@@ -230,6 +237,8 @@ def tar_members(data: bytes) -> list[tuple[str, bytes]]:
 
 def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     """Stores the payload of every row and returns doc_id, n_bytes and the columns of READ and place, read back from the shards."""
-    places = store_media(docs, root)
+    rows, first = _stored(docs, root, SHARD_BYTES)
+    first = materialise(first, "first")
+    media = materialise(read_media(first, distinct=False).join(first, "digest"), "media")  # a row of either for each digest
     hexed = lambda c: F.lower(F.hex(c)).alias(c)
-    return places.join(read_media(places), "digest").select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha256"), "feature", hexed("digest"), "shard", "offset", "length")
+    return join_counted(rows, media, "digest", "copies").select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha256"), "feature", hexed("digest"), "shard", "offset", "length")
