@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, unused
+from .common import CHUNK_CHARS, held_out, pieces, unused
 
 #: Labelled rows that a model is fitted on at most: those of the least hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -25,24 +25,36 @@ FEATURES = [
 ]
 
 
-def statistics(text: str | None) -> np.ndarray:
-    """The statistics of a whole text; zeros for an empty one. Long texts are counted in pieces."""
+def statistics(text: str | None, size: int = CHUNK_CHARS) -> np.ndarray:
+    """The statistics of a whole text; zeros for an empty one. Long texts are counted in pieces of `size` characters or more; the last word and the open line of a piece go on into the next, so the pieces change nothing."""
     text = text or ""
     counts = np.zeros(256, np.int64)
-    n_words = repeats = long = lines = ended = 0
+    n_words = repeats = lines = ended = 0
     seen: set[int] = set()
+    long: set[int] = set()
     seen_lines: set[int] = set()
-    for piece in pieces(text):
+    last, line = None, [""]
+
+    def close(rows: list[str]) -> tuple[int, int]:
+        rows = [r for r in map(str.strip, rows) if r]
+        seen_lines.update(map(hash, rows))
+        return len(rows), sum(r[-1] in ".!?:;\"'" for r in rows)
+
+    for piece in pieces(text, size):
         counts += np.bincount(np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         found = piece.split()
         n_words += len(found)
-        repeats += sum(map(eq, found, found[1:]))
+        repeats += sum(map(eq, found, found[1:])) + (bool(found) and found[0] == last)
+        last = found[-1] if found else last
         seen.update(map(hash, set(found)))
-        long += sum(len(w) > 25 for w in set(found))
-        rows = [r for r in map(str.strip, piece.split("\n")) if r]
-        lines += len(rows)
-        seen_lines.update(map(hash, rows))
-        ended += sum(r[-1] in ".!?:;\"'" for r in rows)
+        long.update(hash(w) for w in set(found) if len(w) > 25)
+        rows = piece.split("\n")
+        if len(rows) > 1:
+            n, e = close(["".join([*line, rows[0]]), *rows[1:-1]])
+            lines, ended, line = lines + n, ended + e, []
+        line.append(rows[-1])
+    n, e = close(["".join(line)])
+    lines, ended = lines + n, ended + e
     total = int(counts.sum())
     if not total:
         return np.zeros(len(FEATURES), np.float32)
@@ -50,7 +62,7 @@ def statistics(text: str | None) -> np.ndarray:
     some = share[share > 0]
     return np.array(
         [
-            np.log1p(len(text)), np.log1p(n_words), np.log1p(lines), (total - counts[32] - counts[9:14].sum()) / max(1, n_words), n_words / max(1, lines), len(seen) / max(1, n_words), len(seen_lines) / max(1, lines), repeats / max(1, n_words), long / max(1, n_words),
+            np.log1p(len(text)), np.log1p(n_words), np.log1p(lines), (total - counts[32] - counts[9:14].sum()) / max(1, n_words), n_words / max(1, lines), len(seen) / max(1, n_words), len(seen_lines) / max(1, lines), repeats / max(1, n_words), len(long) / max(1, n_words),
             share[97:123].sum(), share[65:91].sum(), share[48:58].sum(), share[32] + share[9:14].sum(), share[128:].sum(), share[:9].sum() + share[14:32].sum(), -(some * np.log(some)).sum(), ended / max(1, lines), *share[list(_MARKS)],
         ],
         np.float32,
@@ -126,7 +138,7 @@ def _statistics_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[t
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Trees for labels(doc_id, quality), from the labelled documents whose crc32(doc_id) mod 5 is not 0: at most `rows` labels, by least hash. Rows with a null id or label are left out."""
+    """Trees for labels(doc_id, quality), from the labelled documents whose crc32(doc_id) mod 5 is not 0: at most `rows` labels, by least hash, and 2 * `rows` documents with them. Only the statistics of those come to the driver. Rows with a null id or label are left out."""
     good = labels.filter(labels["doc_id"].isNotNull() & labels["quality"].isin(0, 1) & ~held_out(labels["doc_id"]))
     chosen = good.select(good["doc_id"].cast("bigint").alias("doc_id"), good["quality"].cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -136,13 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
         for batch, x in _statistics_of(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
-    got = joined.select("doc_id", "text", "quality").mapInArrow(run, "doc_id bigint, quality int, x array<float>").toArrow()
+    got = joined.select("doc_id", "text", "quality").mapInArrow(run, "doc_id bigint, quality int, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(2 * rows).toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
-    y, ids = got["quality"].to_numpy(), got["doc_id"].to_numpy()
-    order = np.lexsort((*x.T[:8], y, ids))[: 2 * rows]
-    return fit(x[order], y[order].astype(float))
+    return fit(x, got["quality"].to_numpy().astype(float))
 
 
 def score_quality(docs: DataFrame, model: Trees) -> DataFrame:
