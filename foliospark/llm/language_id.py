@@ -18,11 +18,11 @@ from .common import held_out
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 3000, 20_000, 48, 1e-2
 #: Rows of each language that are drawn in any case, as far as it has so many.
 EACH_LANGUAGE = 16
-#: Letters that have a number of their own; 0 is every non-letter, 1 every other letter.
-ALPHABET = 62
-_SIZE, _ORDERS = 64, 3
-_OFFSETS = (0, _SIZE, _SIZE + _SIZE**2)
-_CODES = _SIZE + _SIZE**2 + _SIZE**3
+#: N-grams go by hash to 2**CODE_BITS codes; two that share one count as the same.
+CODE_BITS, _ORDERS = 20, 3
+_CODES = 1 << CODE_BITS
+# Odd factors for the characters of an n-gram, last first, for n = 1, 2, 3.
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (_ORDERS, _ORDERS), np.int64).astype(np.uint64) | np.uint64(1)
 #: Code points read at a time.
 STEP = 1 << 18
 
@@ -35,47 +35,42 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Alphabet:
-    """Numbers of characters: a table for the first 65,536 code points, 1 for the letters beyond them."""
+class Letters:
+    """The code points of a text's letters, in lower case; 0 stands for everything else, which tells no language from another."""
 
-    def __init__(self, texts: list[str]):
-        letter = _is_letter()
-        count: Counter[str] = Counter()
-        for t in texts:
-            count.update(t.lower())
-        mine = sorted((c for c in count if ord(c) < 1 << 16 and letter[ord(c)]), key=lambda c: (-count[c], c))[:ALPHABET]
-        self.table = letter.astype(np.uint8)
-        for no, c in enumerate(mine):
-            self.table[ord(c)] = no + 2
+    def __init__(self):
+        self.table = np.where(_is_letter(), np.arange(1 << 16), 0).astype(np.uint64)
 
     def numbers(self, points: np.ndarray) -> np.ndarray:
         far = points >= 1 << 16
         if not far.any():
             return self.table[points]
         out = self.table[np.where(far, 0, points)]
-        out[far] = [unicodedata.category(chr(c))[0] == "L" for c in points[far]]
+        out[far] = [c if unicodedata.category(chr(c))[0] == "L" else 0 for c in points[far]]
         return out
 
 
-def present(text: str, alphabet: Alphabet, slots: np.ndarray, n_slots: int) -> tuple[np.ndarray, bool]:
-    """Which slots (of n_slots; slots[code] or n_slots for none) have an n-gram of 1 to 3 characters of the whole text, and whether it has a letter."""
-    out, letters = np.zeros(n_slots + 1, bool), False
+def present(text: str, letters: Letters, slots: np.ndarray, n_slots: int) -> tuple[np.ndarray, bool]:
+    """Which slots (of n_slots; slots[code] or n_slots for none) have an n-gram of 1 to 3 characters of the whole text, and whether it has a letter. N-grams without a letter have code 0."""
+    out, some = np.zeros(n_slots + 1, bool), False
     for at in range(0, len(text), STEP):
-        s = alphabet.numbers(code_points(text[max(0, at - _ORDERS + 1) : at + STEP])).astype(np.int32)
-        letters = letters or bool(s.any())
+        s = letters.numbers(code_points(text[max(0, at - _ORDERS + 1) : at + STEP]))
+        some = some or bool(s.any())
         for n in range(_ORDERS):
             if len(s) > n:
-                code = s[: len(s) - n]
+                code = s[n:] * _FACTORS[n, 0]
                 for j in range(1, n + 1):
-                    code = code * _SIZE + s[j : len(s) - n + j]
-                out[slots[code + _OFFSETS[n]]] = True
-    return out[:n_slots], letters
+                    code += s[n - j : len(s) - j] * _FACTORS[n, j]
+                code ^= code >> np.uint64(32)
+                code *= np.uint64(0x9E3779B97F4A7C15)
+                out[slots[(code >> np.uint64(64 - CODE_BITS)).astype(np.intp)]] = True
+    return out[:n_slots], some
 
 
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: Alphabet
+    letters: Letters
     slots: np.ndarray  # n-gram code -> column of the landmarks' n-grams
     n_slots: int
     landmarks: np.ndarray  # normalised presence of each n-gram in each landmark: slots x landmarks
@@ -91,11 +86,11 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Kernel k(x, y) = |shared n-grams of 1 to 3 characters| / sqrt(|x| |y|), over n-grams that a landmark has. Landmarks: the first texts of each language. Weights: the Nyström form of ridge regression on targets 1 (the language) and -1, (K'K + ridge n Kmm) w = K'y. None without a text."""
+    """Kernel k(x, y) = |shared n-grams of 1 to 3 characters| / sqrt(|x| |y|), over n-grams that a landmark has, of all letters there are. Landmarks: the first texts of each language. Weights: the Nyström form of ridge regression on targets 1 (the language) and -1, (K'K + ridge n Kmm) w = K'y. None without a text."""
     if not texts:
         return None
     languages = sorted(set(langs))
-    alphabet = Alphabet(texts)
+    letters = Letters()
     every = np.arange(_CODES)
     took: Counter[str] = Counter()
     chosen = []
@@ -105,19 +100,19 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
             chosen.append(i)
     has = np.zeros(_CODES, bool)
     for i in chosen:
-        has |= present(texts[i], alphabet, every, _CODES)[0]
-    has[[0, _OFFSETS[1], _OFFSETS[2]]] = False  # without a letter
+        has |= present(texts[i], letters, every, _CODES)[0]
+    has[0] = False  # without a letter
     n_slots = int(has.sum())
     slots = np.full(_CODES, n_slots, np.int32)
     slots[has] = np.arange(n_slots)
-    x = np.stack([present(t, alphabet, slots, n_slots)[0] for t in texts]).astype(np.float32)
+    x = np.stack([present(t, letters, slots, n_slots)[0] for t in texts]).astype(np.float32)
     x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
     marks = x[chosen].T
     k, y = x @ marks, np.where(np.array(langs)[:, None] == np.array(languages), 1.0, -1.0)
     kmm = k[chosen].astype(np.float64)
     k = k.astype(np.float64)
     weights = np.linalg.solve(k.T @ k + ridge * len(texts) * kmm / len(chosen) + 1e-6 * np.eye(len(chosen)), k.T @ y)
-    return Model(languages, alphabet, slots, n_slots, marks, weights)
+    return Model(languages, letters, slots, n_slots, marks, weights)
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
@@ -156,12 +151,12 @@ def identify(docs: DataFrame) -> DataFrame:
                     langs += ["und"] * len(texts)
                     values += [0.0] * len(texts)
                     continue
-                found = [present(t, m.alphabet, m.slots, m.n_slots) for t in texts]
+                found = [present(t, m.letters, m.slots, m.n_slots) for t in texts]
                 scores = m.scores(np.stack([p for p, _ in found]))
-                for (_, letters), row in zip(found, scores, strict=True):
+                for (_, some), row in zip(found, scores, strict=True):
                     best = int(row.argmax())
-                    langs.append(m.languages[best] if letters else "und")
-                    values.append(float(min(1.0, max(0.0, (row[best] + 1) / 2))) if letters else 0.0)
+                    langs.append(m.languages[best] if some else "und")
+                    values.append(float(min(1.0, max(0.0, (row[best] + 1) / 2))) if some else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     id_type = docs.schema["doc_id"].dataType
