@@ -20,6 +20,7 @@ NOISE = frozenset("nav header footer aside form button select input dialog menu
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ENDS_BEFORE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl select article section div main aside nav form body html blockquote button td th".split())
 
@@ -151,7 +152,7 @@ class Page:
             links[p] += links[i]
             link_tags[p] += link_tags[i]
         #: Blocks of links only, three at least: menus that no tag or class marks.
-        self.menu = [self.tag[i] in BLOCK and self.tag[i] not in ("body", "article", "main") and link_tags[i] >= 3 and links[i] >= 0.8 * self.chars[i] for i in range(n)]
+        self.menu = [self.tag[i] in BLOCK and self.tag[i] != "body" and link_tags[i] >= 3 and links[i] >= 0.8 * self.chars[i] for i in range(n)]
         for i in range(1, n):
             self.menu[i] |= self.menu[self.parent[i]]
         share = links[0] / self.chars[0] if self.chars[0] else 0.0
@@ -174,21 +175,21 @@ class Page:
         return out
 
     def root(self) -> int:
-        """The node whose subtree is the article: that of the greatest density sum in the body, or the outermost article or main element around it; then up to the highest node that has a further branch as dense as the least dense node between the body and the maximum."""
+        """The node whose subtree is the article: that of the greatest density sum in the body; then up to the highest node that has a further branch as dense as the least dense node between the body and the maximum, or a heading ahead of the branch that leads down (a title block)."""
         self.measure()
         best = max((i for i in range(len(self.tag)) if not self.noise[i]), key=lambda i: (self.total[i], -i), default=0)
+        if best:  # lists of links that follow text within the densest node are text too
+            begun = next((node for node, _, text in self.texts if best <= node <= self.last[best] and not self.noise[node] and not self.menu[node] and text.strip()), self.last[best])
+            self.menu[begun : self.last[best] + 1] = [False] * (self.last[best] + 1 - begun)
         up = self.path(best)
         threshold = min(self.density[i] for i in up)
-        least = next((at for at in range(len(up) - 1, -1, -1) if self.tag[up[at]] in ("article", "main")), 0)
-        up = up[least:]
-        if up[0]:  # lists of links within the article are text
-            self.menu[up[0] : self.last[up[0]] + 1] = [False] * (self.last[up[0]] + 1 - up[0])
         children: dict[int, list[int]] = {}
         for i in range(1, len(self.tag)):
             children.setdefault(self.parent[i], []).append(i)
         top = up[0]
         for child, node in zip(up, up[1:], strict=False):
-            if any(c != child and not self.noise[c] and self.chars[c] and self.density[c] >= threshold for c in children[node]) or self.tag[top] not in BLOCK:
+            others = [c for c in children[node] if c != child and not self.noise[c] and not self.menu[c] and self.chars[c]]
+            if any(self.density[c] >= threshold or c < child and self.tag[c] in HEADINGS for c in others) or self.tag[top] not in BLOCK:
                 top = node
         return top
 
