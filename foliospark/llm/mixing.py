@@ -67,12 +67,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     names = [c for c in docs.columns if c not in ("copy_no", "mix_key")]
-    ident = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
+    docs = docs.withColumn(source, F.coalesce(docs["source"].cast("string"), F.lit("")))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     draw = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
     further = F.aggregate(F.sequence(F.lit(2), F.col(parts)), F.lit(0), lambda acc, no: acc + draw(uniform(F.concat(no.cast("string"), F.lit(":"), ident), f"{seed}/")))
-    joined = docs.join(rates, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(source))
+    joined = docs.join(rates, source)
     counted = joined.withColumn(count, draw(uniform(ident, seed)) + F.when(F.col(parts) > 1, further).otherwise(0))
-    copies = counted.filter(F.col(count) > 0).select(*[docs[c] for c in names], ident.alias(name), F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy_no"))
+    copies = counted.filter(F.col(count) > 0).select(*names, ident.alias(name), F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy_no"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name), F.lit(":"), F.col("copy_no").cast("string")))
     keyed = copies.withColumn("mix_key", key).select(*names, "copy_no", "mix_key")
     return keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mix_key").sortWithinPartitions("mix_key")
@@ -84,15 +85,23 @@ def mixing_sql(epochs: float = 1.0, seed: int = 17) -> str:
 with recursive s as (
   select coalesce(source, '') source_key, count(*) docs from documents group by 1),
 t as (select sum(docs) n, count(*) w from s),
-r as (select source_key, least({float(epochs)}::double * 1.0::double / w::double * n::double / docs, {MAX_RATE}::double) rate from s, t),
+m as (select source_key, {float(epochs)}::double * 1.0::double / w::double * n::double / docs mean from s, t),
+r as (select source_key, greatest(1, ceil(mean / {MAX_RATE}::double))::int parts, mean / greatest(1, ceil(mean / {MAX_RATE}::double)) rate from m),
 c as (
   select source_key, rate, 0 k, exp(-rate) p, exp(-rate) cdf from r
   union all
   select source_key, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) from c where k < ceil(rate + 10 * sqrt(rate) + 20)),
 d as (
-  select *, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0::double u from documents),
+  select *, row_number() over () row_no, coalesce(source, '') source_key, coalesce(doc_id::varchar, '') ident from documents),
+p as (
+  select row_no, d.source_key, case when no = 1 then '{seed}:' else '{seed}/:' || no || ':' end || ident draw
+  from d join r using (source_key), lateral (select unnest(generate_series(1, parts)) no)),
+u as (
+  select row_no, source_key, ('0x' || substr(md5(draw), 1, 13))::bigint::double / 4503599627370496.0::double u from p),
+k as (
+  select row_no, sum((select count(*) from c where c.source_key = u.source_key and c.cdf <= u.u))::bigint cnt from u group by row_no),
 n as (
-  select d.*, (select count(*) from c where c.source_key = coalesce(d.source, '') and c.cdf <= d.u) cnt from d)
+  select d.*, cnt from d join k using (row_no))
 select doc_id, text, lang, source, n_chars, copy_no::int copy_no,
   md5('{seed}:' || coalesce(doc_id::varchar, '') || ':' || copy_no) mix_key
 from n, lateral (select unnest(generate_series(1, cnt)) copy_no)
