@@ -5,7 +5,8 @@ With the labels of the host reversed, `host/path` becomes a key (`net.example/`
 rule covers are those that start with its own, an interval of the sorted order, and intervals of rules
 nest or are disjoint. A url has one such key for each ending of its host, so all rules that fit it are
 prefixes of one of its keys. In sorted order the rule that was passed last carries the stack of rules
-that enclose it; every rule that fits a key is in the stack of the last rule before it.
+that enclose it; every rule that fits a key is in the stack of the last rule before it. A rule and the
+keys that it fits have the same host part, so no other rules and keys need to be sorted together.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_counted, materialise
+
 DEFAULT_VERDICT = "allow"
+#: Urls of one host part in one sweep, unless it has more rules; hosts with rules that are broadcast at most.
+PART_ROWS, BROADCAST_SITES = 100_000, 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -57,29 +62,36 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     """page_id, host, path, rule and verdict for every row of pages(page_id, url, ...).
 
     The fitting rule with the longest host and path wins (ties: the longer host, then block); without one
-    rule is null and the verdict the default. Urls are dealt by hash to as many buckets as there are
-    shuffle partitions, and the rules to every bucket; each bucket is sorted once and swept with a running
-    `last`. So no host is hot, and no rule set is broadcast.
+    rule is null and the verdict the default. Keys whose host part has no rule go at once. The others are
+    dealt by host part, one that many urls have in several salted parts of about PART_ROWS or as many
+    urls as it has rules, and rules go to the parts of their host only, so there are never more copies of
+    rules than urls and rules together. Each part is sorted once and swept with a running `last`.
 
     Null url or one without ://: host and path are empty and no rule fits. Null rule host or path: empty
     (an empty host fits nothing). Null page_id: kept. Repeated rows: a row each. Empty tables: no rows, or
     the default for all. Other columns are ignored.
     """
-    buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    depth = rules.agg(F.max(F.size(F.split(F.coalesce(rules["host"], F.lit("")), r"\.")))).first()[0] or 0
     url = pages["url"].cast("string")
-    own = pages.select(pages["page_id"].cast("bigint").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.monotonically_increasing_id().alias("row"))
-    own = own.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    own = pages.select(pages["page_id"].cast("bigint").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    own = materialise(own.withColumn("row", F.monotonically_increasing_id()), "urls")
+    stacks = materialise(rule_stacks(rules).withColumn("site", F.substring_index("key", "/", 1)).filter("site <> ''"), "rules")
+    depth = stacks.agg(F.max(F.size(F.split("site", r"\.")))).first()[0] or 0
     labels = F.split("host", r"\.")
-    levels = F.sequence(F.lit(0), F.least(F.size(labels), F.lit(depth)))  # level 0 keeps a row of every url, whatever rules there are
-    keys = own.withColumn("level", F.explode(levels)).select("bucket", F.when(F.col("level") == 0, F.lit("")).otherwise(_key(labels, F.col("level"), F.col("path"))).alias("key"), F.lit(1).alias("kind"), "row", "level", "page_id", "host", "path")
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("row", "bigint"), ("level", "int"), ("page_id", "bigint"), ("host", "string"), ("path", "string"))]
-    dealt = rule_stacks(rules).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).select("bucket", "key", F.lit(0).alias("kind"), *none, "stack")
-    stack_type = dealt.schema["stack"].dataType
-    events = keys.withColumn("stack", F.lit(None).cast(stack_type)).unionByName(dealt)
-    sweep = Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = own.filter("host <> ''").withColumn("level", F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth))))).select("row", "level", _key(labels, F.col("level"), F.col("path")).alias("key"))
+    keys = keys.withColumn("site", F.substring_index("key", "/", 1))
+    ruled = stacks.groupBy("site").agg(F.count(F.lit(1)).alias("rules"))
+    few = depth and stacks.select("site").distinct().count() <= BROADCAST_SITES
+    met = keys.join(F.broadcast(ruled.select("site")) if few else ruled.select("site"), "site", "left_semi").groupBy("site").agg(F.count(F.lit(1)).alias("urls"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("urls") / F.greatest(F.lit(PART_ROWS), F.col("rules")))).cast("int").alias("parts")
+    sites = materialise(met.join(ruled, "site").select("site", "urls", parts), "sites")
+    asked = join_counted(keys, sites, "site", "urls").select("site", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), "key", F.lit(1).alias("kind"), "row", "level")
+    dealt = stacks.join(sites, "site").select("site", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("int").alias("level"), "stack")
+    events = asked.withColumn("stack", F.lit(None).cast(dealt.schema["stack"].dataType)).unionByName(dealt)
+    sweep = Window.partitionBy("site", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    fits = F.filter("active", lambda r: (F.col("level") > 0) & (F.col("host") != "") & F.startswith(F.col("key"), r["key"]))
+    fits = F.filter("active", lambda r: F.startswith(F.col("key"), r["key"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["length"], F.col("level"), r["verdict"], r["rule"])))
-    found = swept.withColumn("best", best).groupBy("bucket", "row").agg(F.max("best").alias("best"), F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"))
-    return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    found = swept.select("row", best.alias("best")).filter("best is not null")
+    none = own.select("row", F.lit(None).cast(found.schema["best"].dataType).alias("best"), "page_id", "host", "path")
+    every = none.unionByName(found, allowMissingColumns=True).groupBy("row").agg(F.max("best").alias("best"), *(F.max(c).alias(c) for c in ("page_id", "host", "path")))
+    return every.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
