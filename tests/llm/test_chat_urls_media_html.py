@@ -1,6 +1,7 @@
 import hashlib
 import html as html_lib
 import io
+import math
 import random
 import re
 import tarfile
@@ -72,6 +73,20 @@ def test_rules_against_brute_force(spark):
         assert got[i] == brute_rule(u, rules), u
 
 
+def test_rules_in_several_parts(spark, monkeypatch):
+    """A host part with most urls is dealt to several parts, with and without broadcasts; rules of other hosts stay away."""
+    rules = [("net", "/", "block"), ("hot.net", "/a/", "allow"), ("hot.net", "/a/b/", "block"), ("rare.org", "/", "block"), ("unused.com", "/", "block")]
+    urls = [f"http://{h}/{p}" for i in range(200) for h, p in (("hot.net", "a/b/c"), ("www.hot.net", "a/x"), ("x.rare.org", ""), ("other.de", "a/"))]
+    urls.append("http://hot.net/a/" + "b/" * 20_000)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    r = spark.createDataFrame(rules, "host string, path string, verdict string")
+    monkeypatch.setattr(url_rules, "PART_ROWS", 7)
+    for sites in (0, 10_000):
+        monkeypatch.setattr(url_rules, "BROADCAST_SITES", sites)
+        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_rules.judge(df, r).collect()}
+        assert got == {i: brute_rule(u, rules) for i, u in enumerate(urls)}
+
+
 def test_rule_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x")], "page_id bigint, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
@@ -83,8 +98,18 @@ def test_rule_edges(spark):
 
 def test_native_plans(spark):
     for f in (queries.op3_chat_formatting, queries.op4_url_filters):
-        plan = f(spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+        run = f(spark, SF)._jdf.queryExecution()
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD|CartesianProduct|NestedLoop", run.executedPlan().toString())
+        assert "PythonRDD" not in run.toRdd().toDebugString()
+
+
+def test_a_long_conversation_and_clashing_columns(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(600)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("no", F.lit(1)).withColumn("marked", F.lit("x")).withColumn("end", F.lit(2))
+    r = chat.read_back(chat.format_conversations(df)).first()
+    want = "".join(f"{a}\n{t}\n" for _, _, a, t in turns)
+    assert r.n_turns == 600 and r.n_examples == 300 and r.turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert r.loss_sha256 == hashlib.sha256("".join(t for _, _, a, t in turns if a == "assistant").encode()).hexdigest()
 
 
 # -- media
@@ -121,7 +146,17 @@ def test_small_shards(spark):
 def test_media_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op5_media_columns(spark, SF).collect()
-    assert {r.doc_id: r.n_bytes for r in got} == {d: len((t or "").encode()) for d, t in docs.items()}
+    assert len(got) == len(docs)
+    for r in got:
+        raw = (docs[r.doc_id] or "").encode()
+        data = raw + bytes(-len(raw) % 64 if raw else 64)
+        media_bytes = media.to_png(data)
+        lines = media.from_png(media_bytes)
+        want = (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want and lines.tobytes() == data
+        mean = sum(data) / len(data)
+        std = (sum((x - mean) ** 2 for x in data) / len(data)) ** 0.5
+        assert r.feature == f"64x{len(data) // 64}x8;mean={mean:.4f};std={std:.4f};zero={data.count(0) / len(data):.4f}"
 
 
 # -- html
@@ -208,3 +243,60 @@ def test_html_edges(spark):
     df = spark.createDataFrame([(None, None, None), (1, "u", "<p>x"), (1, "u", "<p>x")], "page_id bigint, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.text, r.n_chars) for r in html_text.extract(df).collect()) == [("", 0), ("x", 1), ("x", 1)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def brute_measures(page):
+    """Density and density sum of every node, by sums over all pairs of nodes."""
+    n = len(page.tag)
+
+    def under(i, j):
+        while j > i:
+            j = page.parent[j]
+        return j == i
+
+    seen = [[j for j in range(n) if under(i, j) and (j == i or not page.noise[j])] for i in range(n)]
+    own = [sum(len("".join(t.split())) for node, _, t in page.texts if node == i and not page.noise[i]) for i in range(n)]
+    chars = [sum(own[j] for j in seen[i]) for i in range(n)]
+    tags = [len(seen[i]) - 1 for i in range(n)]
+    anchors = [[j for j in seen[i] if page.tag[j] == "a" and not page.noise[j]] for i in range(n)]
+    links = [sum(own[j] for j in seen[i] if any(under(a, j) for a in anchors[i])) for i in range(n)]
+    share = links[0] / chars[0] if chars[0] else 0.0
+    density = [0.0] * n
+    for i in range(n):
+        if chars[i] and not page.noise[i]:
+            c, lc = chars[i], links[i]
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            density[i] = c / max(1, tags[i]) * (max(0.0, math.log(c / max(1, lc) * max(1, tags[i]) / max(1, len(anchors[i])))) / math.log(base) if base > math.e else max(1.0, math.log(c)))
+    total = [own[i] + sum(density[j] for j in range(n) if j and page.parent[j] == i) for i in range(n)]
+    return chars, density, total
+
+
+def test_densities_against_brute_force():
+    rng = random.Random(8)
+    word = lambda: rng.choice(["word", "longer", "x", "&amp;"])
+
+    def element(depth):
+        name = rng.choice(["div", "p", "a", "b", "section", "ul", "nav", "h2"])
+        inside = "".join(rng.choice([lambda: f" {word()} ", lambda: element(depth - 1) if depth else word()])() for _ in range(rng.randint(0, 5)))
+        return f"<{name}>{inside}</{name}>"
+
+    for _ in range(60):
+        page = html_text.Page("".join(element(4) for _ in range(rng.randint(1, 5))))
+        page.measure()
+        chars, density, total = brute_measures(page)
+        for i in range(len(page.tag)):
+            if not page.noise[i]:
+                assert page.chars[i] == chars[i] and page.density[i] == pytest.approx(density[i]) and page.total[i] == pytest.approx(total[i])
+
+
+def test_pages_whose_article_has_no_tag_of_its_own(spark):
+    """The given pages with their article elements turned into plain ones: densities alone find the same texts."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for name in ("div", "section", "span"):
+        renamed = {i: re.sub(r"<(/?)article>", rf"<\1{name}>", h) for i, h in pages.items()}
+        assert {i: main_text(h) for i, h in renamed.items()} == {i: brute_article(h) for i, h in pages.items()}
+
+
+def test_equal_densities_take_the_first():
+    page = f"<div>{MAIN}</div><div class='ad'>{MAIN}</div>"
+    assert main_text(page) == "\n\n".join(LONG) and main_text(page + page).startswith(LONG[0])

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pytest
 
 from foliospark.llm import language_id as li
 from foliospark.llm import quality as q
@@ -33,6 +35,78 @@ def test_statistics_of_odd_texts(monkeypatch):
     assert len(q.statistics("x")) == len(q.FEATURES)
 
 
+def brute_statistics(text):
+    """The statistics by plain counting over the whole text."""
+    raw = text.encode()
+    words, lines = text.split(), [x.strip() for x in text.split("\n") if x.strip()]
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / len(raw)
+    white = [32, *range(9, 14)]
+    n, m = max(1, len(words)), max(1, len(lines))
+    entropy = -sum(p * np.log(p) for p in (raw.count(bytes([c])) / len(raw) for c in set(raw)))
+    return [
+        np.log1p(len(text)), np.log1p(len(words)), np.log1p(len(lines)), len(raw) * (1 - share(white)) / n, len(words) / m, len(set(words)) / n, len(set(lines)) / m,
+        sum(words[i] == words[i - 1] for i in range(1, len(words))) / n, sum(len(w) > 25 for w in set(words)) / n, share(range(97, 123)), share(range(65, 91)), share(range(48, 58)), share(white), share(range(128, 256)),
+        share([c for c in range(32) if not 9 <= c <= 13]), entropy, sum(x[-1] in ".!?:;\"'" for x in lines) / m, *(share([c]) for c in q._MARKS),
+    ]
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 1 << 20])
+def test_statistics_against_brute_force(size):
+    rng = random.Random(size)
+    for _ in range(30):
+        words = [rng.choice(["a", "the", "the", "Wörter", "x" * 30, "x" * 30, "9,", "end.", "\x00"]) for _ in range(rng.randint(1, 80))]
+        text = "".join(w + rng.choice([" ", "  ", "\n", "\n\n", " \n", "\t"]) for w in words) + rng.choice(["", "the end."])
+        assert np.allclose(q.statistics(text, size), brute_statistics(text), atol=1e-5)
+
+
+def brute_stump(x, y, rate):
+    """The best first split of a tree of depth 1 by trying every value as a threshold; its two leaf values."""
+    p = y.mean()
+    grad, hess = p - y, np.full(len(y), p * (1 - p))
+    part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + q.L2)
+    gains = {(j, t): part(x[:, j] <= t) + part(x[:, j] > t) - part(x[:, j] > -np.inf) for j in range(x.shape[1]) for t in np.unique(x[:, j]) if min((x[:, j] <= t).sum(), (x[:, j] > t).sum()) >= q.MIN_ROWS}
+    j, t = max(gains, key=gains.get)
+    low = x[:, j] <= t
+    return j, [-rate * grad[m].sum() / (hess[m].sum() + q.L2) for m in (low, ~low)], low
+
+
+def test_fit_against_brute_force():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 20, (300, 4)).astype(np.float32)  # fewer values than bins, so every threshold is tried
+        y = (x[:, seed % 4] + rng.normal(0, 3, 300) > 9).astype(float)
+        model = q.fit(x, y, trees=1, depth=1, rate=0.3)
+        j, leaves, low = brute_stump(x, y, 0.3)
+        assert model.feature[0, 0] == j and ((x[:, j] <= model.threshold[0, 0]) == low).all() and np.allclose(model.leaf[0], leaves)
+
+
+def test_boosting_steps_against_gradients():
+    """Each tree's leaves hold the Newton step of the rows that reach them, at the margins of the trees before."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)).astype(np.float32)
+    y = (x.sum(1) > 0).astype(float)
+    model = q.fit(x, y, trees=6, depth=2, rate=0.2)
+    margin = np.full(400, model.base)
+    for k in range(6):
+        leaf = np.zeros(400, int)
+        for _ in range(2):
+            leaf = 2 * leaf + 1 + (x[np.arange(400), model.feature[k, leaf]] > model.threshold[k, leaf])
+        leaf -= 3
+        p = 1 / (1 + np.exp(-margin))
+        want = [-0.2 * (p - y)[leaf == i].sum() / ((p * (1 - p))[leaf == i].sum() + q.L2) for i in range(4)]
+        assert np.allclose(model.leaf[k], want)
+        margin += model.leaf[k][leaf]
+
+
+def test_one_id_with_many_rows_sends_a_bounded_number(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(7, 1)], "doc_id bigint, quality int")
+    sent = []
+    monkeypatch.setattr(q, "fit", lambda x, y: sent.append(len(x)))
+    q.train(docs, labels, rows=10)
+    assert sent == [20]
+
+
 def test_quality_held_out(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.op6_quality_classifier(spark, SF).collect()
@@ -58,7 +132,7 @@ def test_kernel_scores_against_sets():
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
     used = set().union(*map(grams, texts)) - {" ", "  ", "   "}
     want = np.array([[len(grams(a) & grams(b) & used) / np.sqrt(len(grams(a) & used) * len(grams(b) & used)) for b in texts] for a in texts])
-    p = np.stack([li.present(t, m.alphabet, m.slots, m.n_slots)[0] for t in texts])
+    p = np.stack([li.present(t, m.letters, m.slots, m.n_slots)[0] for t in texts])
     x = p / np.sqrt(p.sum(1, keepdims=True))
     assert np.allclose(x @ m.landmarks, want, atol=1e-6)
     assert np.allclose(m.scores(p), want @ m.weights, atol=1e-4)
@@ -67,9 +141,9 @@ def test_kernel_scores_against_sets():
 def test_long_text_is_read_in_steps(monkeypatch):
     m = li.fit(["abc def ghi jkl", "xyz xyw vvv"], ["a", "b"])
     text = "abc def xyz ghi"
-    whole = li.present(text, m.alphabet, m.slots, m.n_slots)[0]
+    whole = li.present(text, m.letters, m.slots, m.n_slots)[0]
     monkeypatch.setattr(li, "STEP", 4)
-    assert (li.present(text, m.alphabet, m.slots, m.n_slots)[0] == whole).all()
+    assert (li.present(text, m.letters, m.slots, m.n_slots)[0] == whole).all()
 
 
 def test_languages_held_out(spark):
@@ -79,6 +153,30 @@ def test_languages_held_out(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if r.held_out]) > 0.97
 
 
+def test_every_letter_has_its_own_grams():
+    """Scripts with more letters than any small alphabet, that share all but their order."""
+    rng = random.Random(4)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+    for no in range(2):
+        rng.shuffle(signs)
+    pairs = {"x": [a + b for a, b in zip(signs[::2], signs[1::2], strict=True)], "y": [b + a for a, b in zip(signs[::2], signs[1::2], strict=True)]}
+    say = lambda lang: "".join(rng.choice(pairs[lang]) for _ in range(150))
+    train = [(say(k), k) for _ in range(40) for k in pairs]
+    m = li.fit([t for t, _ in train], [k for _, k in train])
+    tests = [(say(k), k) for _ in range(40) for k in pairs]
+    scores = m.scores(np.stack([li.present(t, m.letters, m.slots, m.n_slots)[0] for t, _ in tests]))
+    assert [m.languages[i] for i in scores.argmax(1)] == [k for _, k in tests]
+
+
+def test_language_repeated_rows_ties_and_clashing_columns(spark):
+    rows = [(i % 20, "hello there you" if i % 2 else "bonjour mes amis", "en" if i % 2 else "fr", "c", 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows + [(50, "xyz qqq", None, None, None)], "doc_id bigint, text string, lang string, lang_pred string, score double")
+    got = li.identify(df).collect()
+    assert len(got) == 41 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 21
+    tied = spark.createDataFrame([(i, "same words", "b" if i % 2 else "a") for i in range(40)], "doc_id bigint, text string, lang string")
+    assert len({r.lang_pred for r in li.identify(tied).collect()}) == 1
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["123 !", None, "", "text"])], "doc_id bigint, text string, lang string")
     assert [r.lang_pred for r in li.identify(docs).collect()] == ["und"] * 4

@@ -72,6 +72,8 @@ def test_whole_table_and_edges(spark):
     got = unpacked(queries.op1_token_packing(spark, SF).collect())
     assert got == reference_ids([(r.doc_id, r.text) for r in docs.collect()])
     assert tp.pack_documents(docs.limit(0)).count() == 0
+    nobody = tp.pack_documents(spark.createDataFrame([(None, "hello", None, None, 0)], DOCS)).collect()
+    assert unpacked(nobody) == reference_ids([(None, "hello")])
     odd = docs.limit(3).withColumnRenamed("n_chars", "ids").withColumn("doc_id", docs["doc_id"] * 0)
     assert sum(len(r.doc_ids) for r in tp.pack_documents(odd).collect()) >= 3
 
@@ -134,6 +136,23 @@ def test_shares_meet_the_weights(spark):
     assert abs(got["small"] / sum(got.values()) - 0.5) < 0.03
 
 
+def test_same_as_sql_at_rates_above_one_draw(spark):
+    import duckdb
+
+    rows = [(i, "t", None, "big" if i > 1 else None, 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, DOCS)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    sql = con.sql(f"select doc_id, count(*) n from ({mixing.mixing_sql()}) group by 1").fetchall()
+    assert dict(sql) == Counter(r.doc_id for r in mixing.mix_sources(df).select("doc_id").collect())
+    assert dict(sql)[0] > 1000
+
+
+def test_a_source_made_of_other_columns(spark):
+    df = spark.range(200).selectExpr("id as doc_id", "cast(id as string) as text", "concat('s', id % 3) as source")
+    assert {r.source for r in mixing.mix_sources(df).collect()} == {"s0", "s1", "s2"}
+
+
 def test_rates_above_one_draw_are_not_cut(spark):
     df = spark.createDataFrame([(i, "t", None, "big" if i > 1 else None, 0) for i in range(6000)], DOCS)
     got = Counter((r.source, r.doc_id if r.source is None else 0) for r in mixing.mix_sources(df).select("source", "doc_id").collect())
