@@ -51,11 +51,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_counted(rows: DataFrame, keys: DataFrame, on: str | list[str], count: str) -> DataFrame:
-    """rows joined with the stored table keys, which has one row for each value of `on` and its number of rows in `count`. Keys that hold more than one in HOT_KEYS of the counted rows, so less than HOT_KEYS keys, are broadcast; only the others are shuffled, so no key fills a task. A null never matches."""
+    """rows joined with the stored table keys, which has one row for each value of `on` and its number of rows in `count`. Keys that hold more than one in HOT_KEYS of the counted rows, so less than HOT_KEYS keys, are broadcast; only the others are shuffled, by sort-merge at every size, so no key fills a task. A null never matches."""
     total = keys.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) * HOT_KEYS > total
     hot = keys.filter(is_hot)
-    far = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keys.filter(~is_hot), on)
+    far = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keys.filter(~is_hot).hint("merge"), on)
     return rows.join(F.broadcast(hot), on).unionByName(far)
 
 
