@@ -230,7 +230,7 @@ def crossing(blocks: DataFrame, texts: DataFrame, idf, min_similarity: float) ->
                         label[label == label[theirs[x]]] = label[q]
         return pa.table({"node": pa.array([x[0] for x in out], pa.int64()), "head": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.float64())})
 
-    return blocks.join(texts, "node").select("bucket", "i", "j", "node", "label", "asks", "text").groupBy("bucket", "i", "j").applyInArrow(run, "node bigint, head bigint, score double")
+    return blocks.hint("merge").join(texts, "node").select("bucket", "i", "j", "node", "label", "asks", "text").groupBy("bucket", "i", "j").applyInArrow(run, "node bigint, head bigint, score double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, min_similarity: float) -> DataFrame:
@@ -243,7 +243,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, min_similarity: float) ->
     heads = materialise(pairs.groupBy("head").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "heads")
     placed = join_counted(pairs, heads, "head", "members").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.select("head", "block", "node").unionByName(heads.select("head", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.col("head").alias("node")))
-    rows = wanted.join(texts, "node").select("head", "block", "node", "text")
+    rows = wanted.hint("merge").join(texts, "node").select("head", "block", "node", "text")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "head", "block").sortWithinPartitions("head", "block", F.col("node") != F.col("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,8 @@ def near_duplicates(
     if groups.isEmpty():
         at = at.withColumn("label", F.lit(None).cast("bigint"))
     else:
-        texts = materialise(plain.withColumnRenamed("doc_id", "node").join(groups.select("node").distinct(), "node", "left_semi"), "texts")
+        # sort-merge joins at every size: what has to move on a cluster moves here too
+        texts = materialise(plain.withColumnRenamed("doc_id", "node").join(groups.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
         edges = materialise(verified(materialise(compared(groups, small), "pairs"), texts, idf, min_similarity), "links")
         labels = components(edges)
         further = materialise(crossing(divided(groups, labels, small, SIDE), texts, idf, min_similarity), "links")
