@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -124,5 +123,8 @@ def parse_boolean(c: Column) -> Column:
     return F.when(t.isin("1", "true", "yes", "on"), True).when(t.isin("0", "false", "no", "off"), False)
 
 
-#: &, < and > of a text as references; quotes stay.
-escape_markup = per_value(lambda s: html.escape(s, quote=False), "string")
+def escape_markup(c: Column) -> Column:
+    """&, < and > of a text as references; quotes stay."""
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(sign), F.lit(reference))
+    return c

@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..errors import ContentError
 from ..functions.formulas import equation_span, formula_spans, rebuild_raw, repair, suspicions
 from ..functions.tables import table_formulas
 from ..functions.text import per_value
+from ..session import join_counted, materialise
 
 CANDIDATE_COLUMNS = [
     "doc_id", "item_index", "formula_id", "page_idx", "bbox", "source_type", "field_path", "table_row_idx", "table_col_idx", "cell_tag", "formula_index",
-    "raw_formula", "katex_formula", "katex_start", "katex_end", "is_block", "content_hash",
+    "raw_start", "raw_formula", "katex_formula", "katex_start", "katex_end", "is_block", "content_hash",
 ]
 
 
-def _identity(page: int | None, bbox: str | None, source: str, path: str, row: int | None, col: int | None, number: int, digest: str) -> str:
-    values = {
-        "page_idx": page, "bbox": None if bbox is None else json.loads(bbox), "source_type": source, "field_path": path,
-        "table_row_idx": row, "table_col_idx": col, "formula_index": number, "content_hash": digest,
-    }
-    text = json.dumps(values, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-    return "formula_" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:24]
+_EXAMINED = ["syntax_status", "suspicious", "statuses", "suspicion_rules"]
+RECORD_COLUMNS = [*CANDIDATE_COLUMNS, *_EXAMINED, "raw_validation_error", "normalized_formula", "normalization_rules", "normalization_status", "validation_error"]
+LEGACY_COLUMNS = [*CANDIDATE_COLUMNS, *_EXAMINED, "validation_error", "normalized_formula", "normalization_rule", "confidence"]
 
+#: JSON text in one form: no spaces, sorted keys.
+_one_form = per_value(lambda v: json.dumps(json.loads(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")), "string")
 
-_ids = per_value(lambda x: _identity(x["page"], x["bbox"], x["source"], x["path"], x["row"], x["col"], x["number"], x["digest"]), "string")
+
+def _ids(page: Column, bbox: Column, source: Column, path: Column, row: Column, col: Column, number: Column, digest: Column) -> Column:
+    """formula_ and 24 hex digits of a hash of place and content, written as JSON in one form. Only boxes that aren't plain lists of integers go through Python."""
+    plain = bbox.rlike(r"\A\[\s*(?:-?(?:0|[1-9][0-9]*)(?:\s*,\s*-?(?:0|[1-9][0-9]*))*)?\s*\]\z")
+    box = F.when(plain, F.regexp_replace(bbox, r"\s", "")).otherwise(_one_form(F.when(~plain, bbox)))
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    members = {"bbox": shown(box), "content_hash": quoted(digest), "field_path": quoted(path), "formula_index": shown(number), "page_idx": shown(page), "source_type": quoted(source), "table_col_idx": shown(col), "table_row_idx": shown(row)}
+    parts = [x for k, v in members.items() for x in (F.lit(f'{"," if k != "bbox" else "{"}"{k}":'), v)]
+    return F.concat(F.lit("formula_"), F.left(F.sha2(F.concat(*parts, F.lit("}")), 256), F.lit(24)))
 
 
 def scan_items(items: DataFrame) -> DataFrame:
@@ -50,10 +59,10 @@ def scan_items(items: DataFrame) -> DataFrame:
     found = equations.unionByName(spans).unionByName(cells)
     digest = F.sha2(F.col("span.raw_formula"), 256)
     rows = found.withColumn("content_hash", digest)
-    keys = F.struct(F.col("page_idx").alias("page"), "bbox", F.col("source_type").alias("source"), F.col("field_path").alias("path"), "row", "col", F.col("formula_index").alias("number"), F.col("content_hash").alias("digest"))
-    return rows.withColumn("formula_id", _ids(keys)).select(
+    ids = _ids(F.col("page_idx"), F.col("bbox"), F.col("source_type"), F.col("field_path"), F.col("row"), F.col("col"), F.col("formula_index"), F.col("content_hash"))
+    return rows.withColumn("formula_id", ids).select(
         "doc_id", "item_index", "formula_id", "page_idx", "bbox", "source_type", "field_path", F.col("row").alias("table_row_idx"), F.col("col").alias("table_col_idx"), "cell_tag", F.col("formula_index").cast("int").alias("formula_index"),
-        "span.raw_formula", "span.katex_formula", (F.col("span.katex_start") - F.col("span.start")).alias("katex_start"), (F.col("span.katex_end") - F.col("span.start")).alias("katex_end"), "span.is_block", "content_hash",
+        F.col("span.start").alias("raw_start"), "span.raw_formula", "span.katex_formula", (F.col("span.katex_start") - F.col("span.start")).alias("katex_start"), (F.col("span.katex_end") - F.col("span.start")).alias("katex_end"), "span.is_block", "content_hash",
     )
 
 
@@ -92,51 +101,60 @@ def structural_validator(formulas: list[tuple[str, bool]]) -> list[str | None]:
     return out
 
 
+def checked(validator: Validator, pairs: list[tuple[str, bool]]) -> list[str | None]:
+    """The validator's results for pairs; a wrong number of results or an empty error is an error of the run."""
+    errors = validator(pairs) if pairs else []
+    if len(errors) != len(pairs) or any(e is not None and not (isinstance(e, str) and e) for e in errors):
+        raise ValueError("the validator broke its contract")
+    return errors
+
+
 def validate(formulas: DataFrame, validator: Validator) -> DataFrame:
-    """formulas(formula, is_block) distinct, with syntax_status and validation_error. One call a batch; a wrong number of results or an empty error fails the query."""
+    """formulas(formula, is_block, fixed, ...) with raw_validation_error and, where fixed differs from formula, fixed_error, null for valid ones. One call a batch for the formulas and one for the changed ones; nothing is shuffled."""
+    names, types = formulas.columns, formulas.schema
+    at = {c: names.index(c) for c in ("formula", "is_block", "fixed")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            errors = validator(pairs) if pairs else []
-            if len(errors) != len(pairs) or any(e is not None and not (isinstance(e, str) and e) for e in errors):
-                raise ValueError("the validator broke its contract")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["valid" if e is None else "invalid_syntax" for e in errors], pa.string()), pa.array(errors, pa.string())], ["formula", "is_block", "syntax_status", "validation_error"])
+            formula, is_block, fixed = (batch.column(at[c]).to_pylist() for c in ("formula", "is_block", "fixed"))
+            changed = [i for i, f in enumerate(formula) if fixed[i] != f]
+            errors = checked(validator, list(zip(formula, is_block, strict=True)))
+            again: list[str | None] = [None] * len(formula)
+            for i, e in zip(changed, checked(validator, [(fixed[i], is_block[i]) for i in changed]), strict=True):
+                again[i] = e
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(errors, pa.string()), pa.array(again, pa.string())], [*names, "raw_validation_error", "fixed_error"])
 
-    return formulas.select("formula", "is_block").distinct().mapInArrow(run, "formula string, is_block boolean, syntax_status string, validation_error string")
+    return formulas.mapInArrow(run, StructType([*types.fields]).add("raw_validation_error", "string").add("fixed_error", "string"))
 
 
 def audit(candidates: DataFrame, validator: Validator = structural_validator) -> DataFrame:
     """candidates with syntax_status, suspicion_rules, suspicious, statuses, normalized_formula, normalization_rules, normalization_status and validation_error.
 
-    Each distinct formula is validated once; of the repaired ones only those that changed. A repair is
-    accepted if the validator passes it, else rejected; not_applicable without one.
+    Each distinct formula is examined, repaired and validated once; of the repaired ones only those that
+    changed. A repair is accepted if the validator passes it, else rejected; not_applicable without one.
+    Candidates are a table in the shared folder before they are used twice, and a formula that many of
+    them have is joined by broadcast.
     """
-    distinct = candidates.select("katex_formula", "is_block").distinct()
-    raw = validate(distinct.withColumnRenamed("katex_formula", "formula"), validator)
-    fixed = repair(distinct, "katex_formula", "fixed", "normalization_rules")
-    changed = fixed.filter("fixed <> katex_formula").select(F.col("fixed").alias("formula"), "is_block")
-    again = validate(changed, validator)
-    known = (
-        fixed.withColumn("suspicion_rules", suspicions(F.col("katex_formula")))
-        .join(raw.withColumnsRenamed({"formula": "katex_formula", "validation_error": "raw_validation_error"}), ["katex_formula", "is_block"])
-        .join(again.withColumnsRenamed({"formula": "fixed", "syntax_status": "fixed_status"}), ["fixed", "is_block"], "left")
-    )
-    rows = candidates.join(known, ["katex_formula", "is_block"])
+    candidates = materialise(candidates.select(*CANDIDATE_COLUMNS), "candidates")
+    distinct = candidates.groupBy("katex_formula", "is_block").agg(F.count(F.lit(1)).alias("uses")).withColumnRenamed("katex_formula", "formula")
+    examined = repair(distinct, "formula", "fixed", "normalization_rules").withColumn("suspicion_rules", suspicions(F.col("formula")))
+    known = materialise(validate(examined, validator).withColumnRenamed("formula", "katex_formula"), "formulas")
+    rows = join_counted(candidates, known, ["katex_formula", "is_block"], "uses")
     is_changed = F.col("fixed") != F.col("katex_formula")
-    status = F.when(~is_changed, "not_applicable").when(F.col("fixed_status") == "valid", "accepted").otherwise("rejected")
+    status = F.when(~is_changed, "not_applicable").when(F.col("fixed_error").isNull(), "accepted").otherwise("rejected")
+    syntax = F.when(F.col("raw_validation_error").isNull(), "valid").otherwise("invalid_syntax")
     suspicious = F.size("suspicion_rules") > 0
     return rows.select(
         *CANDIDATE_COLUMNS,
-        "syntax_status",
+        syntax.alias("syntax_status"),
         suspicious.alias("suspicious"),
-        F.array_compact(F.array("syntax_status", F.when(suspicious, "suspicious"))).alias("statuses"),
+        F.array_compact(F.array(syntax, F.when(suspicious, "suspicious"))).alias("statuses"),
         "suspicion_rules",
         "raw_validation_error",
         F.when(is_changed, rebuild_raw(F.col("raw_formula"), F.col("katex_start"), F.col("katex_end"), F.col("fixed"))).alias("normalized_formula"),
         "normalization_rules",
         status.alias("normalization_status"),
-        F.when(is_changed, F.col("validation_error")).alias("validation_error"),
+        F.when(is_changed, F.col("fixed_error")).alias("validation_error"),
     )
 
 
@@ -179,28 +197,81 @@ def replacement_lists(replacements: DataFrame) -> DataFrame:
     return replacements.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("replacements"))
 
 
-def record_errors(records: DataFrame) -> DataFrame:
-    """formula records that contradict themselves, with error: unknown status, statuses that don't match, an error with a valid formula or none with an invalid one, a repair without text, rule or verdict, repeated rules, an id given twice. Columns a version 2 record has; version 1 records (no raw_validation_error) are told by legacy_records."""
-    from pyspark.sql import Window
+def replace_in_items(items: DataFrame, records: DataFrame) -> DataFrame:
+    """items with their texts' accepted repairs put in at the places that the records name, for items that are as they were when they were audited. An equation is one formula; others are spliced from left to right, in built-in functions."""
+    own = records.filter("normalization_status = 'accepted' and source_type in ('text', 'equation')")
+    edit = F.struct(F.col("raw_start").alias("start"), (F.col("raw_start") + F.length("raw_formula")).alias("end"), F.col("normalized_formula").alias("new"))
+    edits = own.groupBy("doc_id", "item_index").agg(F.array_sort(F.collect_list(edit)).alias("__edits"))
+    joined = items.join(edits, ["doc_id", "item_index"], "left")
+    before = lambda i: F.when(i > 0, F.get("__edits", i - 1)["end"]).otherwise(F.lit(0))
+    parts = F.transform("__edits", lambda e, i: F.concat(F.substring("text", before(i) + 1, e["start"] - before(i)), e["new"]))
+    tail = F.substring(F.col("text"), F.element_at("__edits", -1)["end"] + 1, F.length("text"))
+    text = F.when(F.col("__edits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))
+    return joined.withColumn("text", text).select(*items.columns)
+
 
+def record_errors(records: DataFrame) -> DataFrame:
+    """formula records that contradict themselves, with error: an incomplete place, an unknown status, statuses that don't match, an error with a valid formula or none with an invalid one, a repair without text, rule or verdict, repeated rules, an id given twice. Columns a version 2 record has; report_version tells the older ones."""
     per_id = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "formula_id"))
     status, norm = F.col("syntax_status"), F.col("normalization_status")
-    expected = F.array_compact(F.array(status, F.when(F.col("suspicious"), "suspicious")))
-    error = (
-        F.when(~status.isin("valid", "invalid_syntax") | status.isNull(), "unknown syntax status")
-        .when(F.col("suspicious") != (F.size("suspicion_rules") > 0), "suspicious does not match its rules")
-        .when(F.col("statuses") != expected, "statuses do not match")
-        .when((status == "valid") & F.col("raw_validation_error").isNotNull(), "an error with a valid formula")
+    rest = (
+        F.when((status == "valid") & F.col("raw_validation_error").isNotNull(), "an error with a valid formula")
         .when((status == "invalid_syntax") & (F.coalesce(F.col("raw_validation_error"), F.lit("")) == ""), "no error with an invalid formula")
         .when(~norm.isin("not_applicable", "accepted", "rejected") | norm.isNull(), "unknown normalization status")
         .when((norm == "not_applicable") & (F.col("normalized_formula").isNotNull() | (F.size("normalization_rules") > 0) | F.col("validation_error").isNotNull()), "a repair that is not applicable")
-        .when((norm != "not_applicable") & (F.col("normalized_formula").isNull() | (F.size("normalization_rules") == 0)), "a repair without text or rule")
+        .when((norm != "not_applicable") & ((F.coalesce(F.col("normalized_formula"), F.lit("")) == "") | (F.size("normalization_rules") == 0)), "a repair without text or rule")
+        .when((norm != "not_applicable") & (F.col("normalized_formula") == F.col("raw_formula")), "a repair that changes nothing")
+        .when(F.exists("normalization_rules", lambda r: r.isNull() | (r == "")), "a rule without a name")
         .when((norm == "accepted") & F.col("validation_error").isNotNull(), "an error with an accepted repair")
         .when((norm == "rejected") & (F.coalesce(F.col("validation_error"), F.lit("")) == ""), "no error with a rejected repair")
         .when(F.size(F.array_distinct("normalization_rules")) < F.size("normalization_rules"), "a rule is named twice")
         .when(F.col("content_hash") != F.sha2("raw_formula", 256), "wrong content hash")
         .when(per_id > 1, "formula_id given twice")
     )
+    error = F.coalesce(_location_error(), _suspicion_error(), rest)
+    return records.withColumn("error", error).filter("error is not null").select("doc_id", "formula_id", "error")
+
+
+def _location_error() -> Column:
+    """What is wrong with the place and kind of a formula record, whichever version it has; null if nothing."""
+    cell = F.col("source_type") == "table_cell"
+    count = lambda c: F.coalesce(F.col(c) >= 0, F.lit(False))
+    none = F.col("table_row_idx").isNull() & F.col("table_col_idx").isNull() & F.col("cell_tag").isNull()
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return (
+        F.when(no(F.col("formula_id").rlike(r"\Aformula_[0-9a-f]{24}\z")), "no formula_id")
+        .when(no(F.col("content_hash").rlike(r"\A[0-9a-f]{64}\z")), "no content hash")
+        .when(no(F.col("source_type").isin("equation", "text", "table_cell")), "unknown source type")
+        .when(no(F.startswith("field_path", F.lit("/"))) | ~count("formula_index") | F.col("raw_formula").isNull() | F.col("is_block").isNull() | F.col("suspicious").isNull(), "an incomplete place")
+        .when(cell & no(count("table_row_idx") & count("table_col_idx") & F.col("cell_tag").isin("td", "th")), "a table cell without its place")
+        .when(~cell & ~none, "a place in a table without a table")
+    )
+
+
+def _suspicion_error() -> Column:
+    status = F.col("syntax_status")
+    expected = F.array_compact(F.array(status, F.when(F.col("suspicious"), "suspicious")))
+    blank = F.exists("suspicion_rules", lambda r: r["rule"].isNull() | r["message"].isNull() | r["matched_text"].isNull())
+    return (
+        F.when(status.isNull() | ~status.isin("valid", "invalid_syntax"), "unknown syntax status")
+        .when(F.coalesce(F.col("suspicious") != (F.size("suspicion_rules") > 0), F.lit(True)), "suspicious does not match its rules")
+        .when(F.coalesce(F.col("statuses") != expected, F.lit(True)), "statuses do not match")
+        .when(blank, "an incomplete suspicion")
+    )
+
+
+def legacy_record_errors(records: DataFrame) -> DataFrame:
+    """doc_id, formula_id, error of version 1 records that contradict themselves. They name one repair at most, which version 1 never made: normalized_formula, normalization_rule and confidence are null, validation_error is that of the formula."""
+    per_id = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "formula_id"))
+    valid = F.col("syntax_status") == "valid"
+    error = F.coalesce(
+        _location_error(),
+        _suspicion_error(),
+        F.when(valid & F.col("validation_error").isNotNull(), "an error with a valid formula")
+        .when(~valid & (F.coalesce(F.col("validation_error"), F.lit("")) == ""), "no error with an invalid formula")
+        .when(F.col("normalized_formula").isNotNull() | F.col("normalization_rule").isNotNull() | F.col("confidence").isNotNull(), "a repair in a version without repairs")
+        .when(per_id > 1, "formula_id given twice"),
+    )
     return records.withColumn("error", error).filter("error is not null").select("doc_id", "formula_id", "error")
 
 
@@ -213,11 +284,10 @@ def report_errors(records: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def report_version(columns: list[str]) -> int:
-    """2 for the columns of a current record, 1 for those before raw_validation_error; else an error."""
-    from ..errors import ContentError
-
-    if "raw_validation_error" in columns:
+    """2 for exactly the columns of a current record, 1 for those of a record with one normalization_rule and confidence; other columns, missing ones or more, are an error."""
+    own = set(columns)
+    if own == set(RECORD_COLUMNS):
         return 2
-    if {"formula_id", "syntax_status", "normalization_status"} <= set(columns):
+    if own == set(LEGACY_COLUMNS):
         return 1
-    raise ContentError("not an audit report")
+    raise ContentError("not an audit report: " + ", ".join(sorted(own ^ set(RECORD_COLUMNS))))

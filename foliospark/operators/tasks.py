@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidTaskState, TaskNotFound
 from ..functions.text import beijing_time, truncated
+from ..session import materialise
 
 # States, limits.
 STATES = ("queued", "running", "succeeded", "failed", "interrupted")
@@ -38,8 +39,18 @@ def latest_states(events: DataFrame, key: str = "task_id", order: str = "id", st
 
 
 def queue_order(tasks: DataFrame) -> DataFrame:
-    """Queued tasks with claim_no: the oldest first (ties by id). For a whole queue; a claim takes only the first."""
-    return tasks.filter("status = 'queued'").select("id", "created_at").withColumn("claim_no", F.row_number().over(Window.orderBy("created_at", "id")))
+    """Queued tasks with claim_no: the oldest first (ties by id). For a whole queue; a claim takes only the first.
+
+    The queue is dealt by ranges of (created_at, id) and stored; numbers within a range and the sizes of
+    the ranges before it, one row a partition, give the whole order without one task for all.
+    """
+    queued = tasks.filter("status = 'queued'").select("id", "created_at")
+    n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(queued.repartitionByRange(n, "created_at", "id").withColumn("part", F.spark_partition_id()), "queue")
+    inside = dealt.withColumn("no", F.row_number().over(Window.partitionBy("part").orderBy("created_at", "id")))
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(F.broadcast(before), "part").select("id", "created_at", (F.col("no") + F.col("before")).cast("int").alias("claim_no"))
 
 
 def claim_next(tasks: DataFrame, now: Column) -> tuple[DataFrame, str | None]:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas, markdown, protect, sentences, tables
@@ -14,24 +13,10 @@ from ..operators import content, formula_audit, render, tasks, translate
 from ..session import shared_dir, spread
 from ..sources import content as sources
 from ..streaming import tasks as streams
-from . import views
+from . import branches, views
+from .registry import QUERIES, SQL, query  # noqa: F401  the lists that the entry reads
 from .views import BLOCKS_SQL, CLEAN_SQL, EDGES_SQL, FORMULA_SQL, LOGS_SQL, ltrim_sql, rtrim_sql
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- content
 
 
@@ -201,46 +186,38 @@ def q_repair(spark, sf):
 
 
 def _audited(spark, sf):
-    return formula_audit.audit(formula_audit.scan_items(views.formula_texts(spark, sf)))
+    return formula_audit.audit(formula_audit.scan_items(views.formula_texts(spark, sf)), branches.odd_validator)
 
 
-_AUDIT_SQL = f"""{FORMULA_SQL},
-a as (select *, kind between 2 and 6 repaired, kind in (2, 3, 4, 5, 7) suspicious, {_REPAIRED} fixed from v5)"""
+_AUDIT_SQL = f"""{branches.AUDIT_SQL},
+a as (select *, {_REPAIRED} fixed from r)"""
 
 
 @query(f"""with {_AUDIT_SQL}
-select doc_id, count(*) total_formulas, count(*) valid_count, 0::bigint invalid_syntax_count, count(*) filter (suspicious) suspicious_count,
-  count(*) filter (suspicious or repaired) issue_formula_count, count(*) filter (repaired) matched_formula_count, count(*) filter (repaired) normalization_accepted_count, 0::bigint normalization_rejected_count from a group by 1""")
+select doc_id, count(*) total_formulas, count(*) filter (not invalid) valid_count, count(*) filter (invalid) invalid_syntax_count, count(*) filter (suspicious) suspicious_count,
+  count(*) filter (suspicious or accepted or rejected) issue_formula_count, count(*) filter (accepted or rejected) matched_formula_count, count(*) filter (accepted) normalization_accepted_count, count(*) filter (rejected) normalization_rejected_count from a group by 1""")
 def q_audit_summary(spark, sf):
     drop = ("scanned_formula_count", "problem_page_indices", "invalid_syntax_page_indices", "suspicious_page_indices")
     return formula_audit.summary(_audited(spark, sf)).drop(*drop)
 
 
 @query(f"""with {_AUDIT_SQL}
-select doc_id, coalesce(array_to_string(list_sort(list(distinct page_idx) filter (suspicious or repaired)), ','), '') problem_pages,
-  coalesce(array_to_string(list_sort(list(distinct page_idx) filter (suspicious)), ','), '') suspicious_pages from a group by 1""")
+select doc_id, coalesce(array_to_string(list_sort(list(distinct page_idx) filter (suspicious or accepted or rejected)), ','), '') problem_pages,
+  coalesce(array_to_string(list_sort(list(distinct page_idx) filter (suspicious)), ','), '') suspicious_pages, coalesce(array_to_string(list_sort(list(distinct page_idx) filter (invalid)), ','), '') invalid_pages from a group by 1""")
 def q_audit_pages(spark, sf):
     pages = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return formula_audit.summary(_audited(spark, sf)).select("doc_id", pages("problem_page_indices").alias("problem_pages"), pages("suspicious_page_indices").alias("suspicious_pages"))
+    return formula_audit.summary(_audited(spark, sf)).select("doc_id", pages("problem_page_indices").alias("problem_pages"), pages("suspicious_page_indices").alias("suspicious_pages"), pages("invalid_syntax_page_indices").alias("invalid_pages"))
 
 
-@query(f"with {_AUDIT_SQL} select distinct doc_id, '$' || formula || '$' raw_formula, false is_block, '$' || fixed || '$' normalized from a where repaired")
+@query(f"with {_AUDIT_SQL} select distinct doc_id, '$' || formula || '$' raw_formula, false is_block, '$' || fixed || '$' normalized from a where accepted")
 def q_accepted_replacements(spark, sf):
     return formula_audit.accepted_replacements(_audited(spark, sf))
 
 
-@query("""select 'x' doc_id, 'x' error where false""")
-def q_audit_report_errors(spark, sf):
-    rows = _audited(spark, sf)
-    bad = formula_audit.record_errors(rows).select(F.col("doc_id").cast("string").alias("doc_id"), "error")
-    return bad.unionByName(formula_audit.report_errors(rows, formula_audit.summary(rows)).select(F.col("doc_id").cast("string").alias("doc_id"), "error"))
-
-
-@query(f"with {_AUDIT_SQL} select doc_id, item_index, 'Row ' || p || ': $' || fixed || '$ costs $' || s || ' now.' as text from a")
+@query(f"with {_AUDIT_SQL} select doc_id, item_index, 'Row ' || p || ': $' || case when accepted then fixed else formula end || '$ costs $' || s || ' now.' as text from a")
 def q_replace_spans(spark, sf):
     items = views.formula_texts(spark, sf)
-    fixed = formula_audit.replacement_lists(formula_audit.accepted_replacements(_audited(spark, sf)))
-    return items.join(fixed, "doc_id", "left").select("doc_id", "item_index", formulas.replace_spans(F.col("text"), F.col("replacements")).alias("text"))
+    return formula_audit.replace_in_items(items, formula_audit.audit(formula_audit.scan_items(items), branches.odd_validator)).select("doc_id", "item_index", "text")
 
 
 # -- tables

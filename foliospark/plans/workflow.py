@@ -24,6 +24,7 @@ class Services:
     validator: formula_audit.Validator = formula_audit.structural_validator
     max_retries: int = 1
     concurrency: int = 5
+    timeout_s: float | None = 600.0
 
 
 @dataclass
@@ -54,20 +55,33 @@ def _none(bad: DataFrame, what: str) -> None:
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
     sinks.write_stage(df, path)
-    return df.sparkSession.read.parquet(path)
+    return sinks.read_stage(df.sparkSession, path)
+
+
+def _there(spark: SparkSession, path: str) -> DataFrame:
+    found = sinks.read_stage(spark, path)
+    if found is None:
+        raise ContentError(f"{path}: no finished stage")
+    return found
 
 
 def ensure_audit(items: DataFrame, out: str, services: Services) -> DataFrame:
-    """The audit records below out: those that are there if they are current and consistent, new ones if they are of version 1 or missing; current ones that contradict themselves are an error."""
-    spark = items.sparkSession
-    try:
-        known = spark.read.parquet(f"{out}/formula_audit")
-    except Exception:  # there is no table yet
-        known = None
-    if known is not None and formula_audit.report_version(known.columns) == 2:
-        _none(formula_audit.record_errors(known), "a formula record contradicts itself")
-        return known
-    return _stored(formula_audit.audit(formula_audit.scan_items(items), services.validator), f"{out}/formula_audit")
+    """The audit records below out: those that are there if they are current and consistent, new ones if they are of version 1 or were never written. Current ones that contradict themselves, version 1 ones that do, and records that can't be read are errors, and nothing is written over them."""
+    known = sinks.read_stage(items.sparkSession, f"{out}/formula_audit")
+    if known is not None:
+        version = formula_audit.report_version(known.columns)
+        _none(formula_audit.record_errors(known) if version == 2 else formula_audit.legacy_record_errors(known), "a formula record contradicts itself")
+        if version == 2:
+            return known
+    return write_audit(items, f"{out}/content", f"{out}/formula_audit", services)
+
+
+def write_audit(items: DataFrame, source: str, target: str, services: Services) -> DataFrame:
+    """The audit of items, stored at target. target must not be the folder that the items come from, nor lie above or in it."""
+    a, b = (x.rstrip("/") + "/" for x in (source, target))
+    if a.startswith(b) or b.startswith(a):
+        raise ContentError("an audit must not overwrite its source")
+    return _stored(formula_audit.audit(formula_audit.scan_items(items), services.validator), target)
 
 
 def normalise(items: DataFrame, out: str, log: StageLog) -> DataFrame:
@@ -83,7 +97,7 @@ def normalise(items: DataFrame, out: str, log: StageLog) -> DataFrame:
 
 def _translate(states: DataFrame, auxiliary: DataFrame, out: str, services: Services) -> DataFrame:
     units = translate.work_units(states, auxiliary)
-    sinks.append_outcomes(translate.run_units(units, services.translator, services.max_retries, services.concurrency).withColumn("written_at", F.current_timestamp()), f"{out}/outcomes")
+    sinks.append_outcomes(translate.run_units(units, services.translator, services.max_retries, services.concurrency, services.timeout_s).withColumn("written_at", F.current_timestamp()), f"{out}/outcomes")
     outcomes = states.sparkSession.read.parquet(f"{out}/outcomes")
     keys = ["doc_id", "kind", "item_index", "field", "pos"]
     newest = outcomes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in outcomes.columns if c not in keys]), "written_at").alias("x")).select(*keys, "x.*")
@@ -117,11 +131,11 @@ def process(members: DataFrame, out: str, services: Services | None = None, log:
 def resume(spark: SparkSession, out: str, services: Services | None = None, log: StageLog | None = None) -> DataFrame:
     """doc_id, markdown from the normalized items below out, translating only what hasn't succeeded. A checkpoint that doesn't fit the items is an error and stays as it is."""
     services, log = services or Services(), log or StageLog()
-    normalized = spark.read.parquet(f"{out}/normalized")
+    normalized = _there(spark, f"{out}/normalized")
     with log.stage("audit"):
-        records = ensure_audit(spark.read.parquet(f"{out}/content"), out, services)
+        records = ensure_audit(_there(spark, f"{out}/content"), out, services)
     with log.stage("translate"):
-        stored = spark.read.parquet(f"{out}/translated")
+        stored = _there(spark, f"{out}/translated")
         _none(translate.resume_errors(normalized, stored), "the checkpoint does not fit")
         states = _stored(translate.resume_states(normalized, stored), f"{out}/resumed")
         outcomes = _translate(states, translate.auxiliary_units(normalized), out, services)

@@ -32,19 +32,27 @@ def latest_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").agg(F.max_by("status", "id").alias("status"), F.max("id").alias("last_id"))
 
 
-def snapshots(events: DataFrame, checkpoint: str, emit: Callable[[list[dict]], None], limit: int = 100, available_now: bool = True) -> StreamingQuery:
-    """Calls emit with the newest `limit` task states whenever they changed."""
+def snapshots(events: DataFrame, checkpoint: str, emit: Callable[[list[dict] | None], None], limit: int = 100, available_now: bool = True, keepalive_s: float = KEEPALIVE_S) -> StreamingQuery:
+    """Calls emit with the newest `limit` task states whenever they changed, and with None (a keepalive) each time that nothing was sent for keepalive_s.
+
+    No batch runs while no event comes, so the time is told by a rate stream of one row a second; its
+    rows have no task and make no state. With available_now the query ends with what is there, and there
+    are no keepalives.
+    """
     last: list = [None, time.monotonic()]
 
     def each(batch: DataFrame, _: int) -> None:
-        rows = [r.asDict() for r in batch.orderBy(F.col("last_id").desc()).limit(limit).collect()]
+        rows = [r.asDict() for r in batch.filter("task_id is not null").orderBy(F.col("last_id").desc()).limit(limit).collect()]
         if rows != last[0]:
             last[:] = rows, time.monotonic()
             emit(rows)
-        elif time.monotonic() - last[1] >= KEEPALIVE_S:
+        elif not available_now and time.monotonic() - last[1] >= keepalive_s:
             last[1] = time.monotonic()
-            emit([])
+            emit(None)
 
+    if not available_now:
+        clock = events.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        events = events.select("task_id", "status", "id").unionByName(clock.select(*(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("task_id", "status", "id"))))
     writer = latest_stream(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="500 milliseconds")).start()
 

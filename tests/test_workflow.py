@@ -7,6 +7,7 @@ import pytest
 from foliospark.operators import settings
 from foliospark.operators.translate import UppercaseTranslator
 from foliospark.plans import workflow
+from foliospark.sources import sinks
 from foliospark.sources.content import unzip
 
 from .test_sources_tasks_streams import base
@@ -45,7 +46,7 @@ def test_a_run_and_its_resume(spark, tmp_path):
     again = workflow.resume(spark, out, services).first().markdown
     assert again.startswith("# HEAD\n\nOPEN $\\mathrm{FIC1}$ REST.\n\nCAP")
     assert spark.read.parquet(f"{out}/outcomes").filter("kind = 'text'").count() == 3
-    report = workflow.cross_page_report(spark.read.parquet(f"{out}/cleaned")).first()
+    report = workflow.cross_page_report(sinks.read_stage(spark, f"{out}/cleaned")).first()
     assert (report.previous_number, report.next_number, report.previous_section, report.next_section) == (2, 3, 2, 3)
 
 
