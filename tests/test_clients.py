@@ -1,0 +1,156 @@
+"""The plug-ins against small services of their protocols."""
+
+import hashlib
+import io
+import json
+import sys
+import threading
+import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+
+from foliospark.operators import formula_audit as fa
+from foliospark.operators import settings, translate
+from foliospark.sources import clients
+
+
+def archive():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("x_content_list.json", "[]")
+    return out.getvalue()
+
+
+class Service(BaseHTTPRequestHandler):
+    seen: list = []
+    polls: dict = {}
+
+    def log_message(self, *_):
+        pass
+
+    def answer(self, value, status=200):
+        raw = value if isinstance(value, bytes) else json.dumps(value).encode()
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(raw)
+
+    def handle_any(self):
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+        path = self.path.split("?")[0]
+        self.seen.append((self.command, self.path, self.headers.get("Authorization"), body))
+        if path == "/chat/completions":
+            asked = json.loads(body)
+            text = asked["messages"][1]["content"]
+            if "down" in text:
+                return self.answer({}, 500)
+            if "moved" in text:
+                self.send_response(302)
+                self.send_header("Location", "/v1/health")
+                return self.end_headers()
+            return self.answer({"choices": [{"message": {"content": " " if "blank" in text else translate.UppercaseTranslator().translate(text, response_format=asked.get("response_format"))}}]})
+        if path == "/v1/health":
+            return self.answer({"status": "ok", "version": "1.2.3"})
+        if path == "/v2/instances":
+            return self.answer({"items": [{"id": self.path[-13], "model_id": "m", "endpoint": "e", "state": "running"}, 5], "pagination": {"totalPage": 2}})
+        if path == "/v1/uploads":
+            known = json.loads(body)["filename"] == "known.pdf"
+            return self.answer({"id": "u1", "status": "completed" if known else "pending", "file": {"id": "f0"} if known else None})
+        if path.endswith("/complete"):
+            return self.answer({"file": {"id": "f1"}}, 202)
+        if path == "/v1/parse/jobs":
+            return self.answer({"job_id": "j-" + json.loads(body)["files"][0]["source"]["file_id"]}, 202)
+        if path.startswith("/v1/parse/jobs/"):
+            self.polls[path] = self.polls.get(path, 0) + 1
+            return self.answer({"status": "running"} if self.polls[path] == 1 else {"status": "completed", "files": [{"output_files": {"zip": {"file_id": "z"}}}]})
+        if path == "/v1/files/z/content":
+            return self.answer(archive())
+        return self.answer(b"")
+
+    do_GET = do_POST = do_PUT = do_DELETE = handle_any
+
+
+@pytest.fixture
+def service():
+    Service.seen, Service.polls = [], {}
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_translations_over_http(spark, service):
+    tr = clients.ChatTranslator(service + "/", "key", "m", 5.0, enable_thinking=False)
+    rows = [("d", "text", i, "", 0, t, False) for i, t in enumerate(["one $x$", "down", "blank", "moved"])] + [("d", "table", 9, "", 0, "<table><tr><td>cell</td></tr></table>", False)]
+    units = spark.createDataFrame(rows, "doc_id string, kind string, item_index bigint, field string, pos int, text string, is_empty boolean")
+    got = {r.item_index: (r.status, r.translated, r.error) for r in translate.run_units(units, tr, 0, 2).collect()}
+    assert got[0] == ("success", "ONE $x$", None) and got[9][:2] == ("success", "<table><tr><td>CELL</td></tr></table>")
+    assert [got[i][0] for i in (1, 2, 3)] == ["failed"] * 3 and "HTTP 500" in got[1][2] and got[2][2] == "an empty translation" and "HTTP 302" in got[3][2]
+    asked = [json.loads(b) for _, p, a, b in Service.seen if p == "/chat/completions" and a == "Bearer key"]
+    assert len(asked) == 5 and all(a["model"] == "m" and a["chat_template_kwargs"] == {"enable_thinking": False} for a in asked)
+    assert sum("response_format" in a for a in asked) == 1
+    tr.translate("x", strict=True)
+    assert json.loads(Service.seen[-1][3])["messages"][0]["content"].endswith(clients.STRICT)
+    for bad in (("", "k", "m"), ("u", " ", "m"), ("u", "k", "m", 0.0), ("u", "k", "m", float("nan"))):
+        with pytest.raises(ValueError):
+            clients.ChatTranslator(*bad)
+
+
+def test_parsed_files(spark, service):
+    rows = [("a", "known.pdf", b"%PDF-1"), ("b", "new.pdf", b"%PDF-2")]
+    got = {r.doc_id: (bytes(r.content or b""), r.error) for r in clients.parse_files(spark.createDataFrame(rows, "doc_id string, filename string, content binary"), clients.Parser(service, "k", poll_s=0.01)).collect()}
+    assert got["a"] == got["b"] == (archive(), None)
+    calls = [(m, p) for m, p, *_ in Service.seen]
+    assert calls.count(("PUT", "/v1/uploads/u1/content")) == 1 and ("DELETE", "/v1/files/f1") in calls and ("DELETE", "/v1/files/f0") not in calls and calls.count(("DELETE", "/v1/files/z")) == 2
+    assert hashlib.sha256(b"%PDF-2").hexdigest() in str(Service.seen)
+    nobody = clients.parse_files(spark.createDataFrame(rows[:1], "doc_id string, filename string, content binary"), clients.Parser("http://127.0.0.1:9")).first()
+    assert nobody.content is None and "/v1/uploads" in nobody.error
+    assert clients.Parser(service).health() == "1.2.3"
+
+
+def test_listing_and_choice(spark, service):
+    found = clients.listed(spark, clients.Http(service), "/v2/instances", "id string, model_id string, endpoint string, state string", state="running")
+    assert sorted(r.id for r in found.collect()) == ["1", "2"]
+    routes = spark.createDataFrame([], "name string, target_model_id string")
+    assert settings.choose_endpoint(found, routes, "m").first() == ("1", "e")
+
+
+SCRIPT = """
+import json, sys
+asked = json.load(sys.stdin)
+if any("crash" in f["formula"] for f in asked["formulas"]):
+    sys.exit("failed on " + asked["formulas"][0]["formula"])
+out = [{"formula_id": f["formula_id"], "syntax_status": "invalid_syntax" if "bad" in f["formula"] else "valid", "validation_error": "e" if "bad" in f["formula"] else None} for f in asked["formulas"]]
+if any("swap" in f["formula"] for f in asked["formulas"]):
+    out.reverse()
+json.dump({"version": asked["version"], "config": asked["config"] if not any("config" in f["formula"] for f in asked["formulas"]) else {}, "results": out}, sys.stdout)
+"""
+
+
+def test_a_process_validates(spark, items):
+    v = clients.ProcessValidator((sys.executable, "-c", SCRIPT), "0.1")
+    assert v([("x", True), ("bad", False)]) == [None, "e"]
+    for formulas, said in ([("crash \\secret", True)], "<formula>"), ([("swap", True), ("y", True)], "match"), ([("config", True)], "configuration"):
+        with pytest.raises(clients.ServiceError, match=said) as e:
+            v(formulas)
+        assert "secret" not in str(e.value)
+    for command in ((sys.executable, "-c", "print(5)"), (sys.executable, "-c", "print('{')"), ("/no/such/program",)):
+        with pytest.raises(clients.ServiceError):
+            clients.ProcessValidator(command, "0.1")([("x", True)])
+    with pytest.raises(clients.ServiceError, match="did not run"):
+        clients.ProcessValidator((sys.executable, "-c", "import time; time.sleep(9)"), "0.1", timeout_s=0.2)([("x", True)])
+    records = fa.audit(fa.scan_items(items([{"type": "text", "text": "$x$ and $bad$"}])), v)
+    assert {r.katex_formula: r.syntax_status for r in records.collect()} == {"x": "valid", "bad": "invalid_syntax"}
+
+
+def test_store_over_jdbc_names_its_parts(monkeypatch):
+    asked = []
+
+    class Reader:
+        def jdbc(self, *a, **k):
+            asked.append((a, k))
+
+    session = type("S", (), {"read": Reader()})()
+    clients.read_store(session, "jdbc:x", "tasks", user="u")
+    clients.read_store(session, "jdbc:x", "task_logs", 8, "id", (1, 100))
+    assert asked == [(("jdbc:x", "tasks"), {"properties": {"user": "u"}}), (("jdbc:x", "task_logs"), {"column": "id", "lowerBound": 1, "upperBound": 100, "numPartitions": 8, "properties": {}})]
