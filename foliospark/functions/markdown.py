@@ -15,6 +15,11 @@ ALLOWED_TAGS = frozenset("a blockquote br code del em h1 h2 h3 h4 h5 h6 hr img l
 ALLOWED_ATTRIBUTES = {"a": ("href", "title"), "img": ("src", "alt", "title"), "td": ("rowspan", "colspan"), "th": ("rowspan", "colspan")}
 DROPPED_WITH_CONTENT = frozenset("script style iframe form object".split())
 SCHEMES = ("http", "https")
+# What a reader's math renderer is given, so that it shows the formulas that are scanned and validated here.
+MATH_SETTINGS = {
+    "delimiters": [{"left": "$$", "right": "$$", "display": True}, {"left": "$", "right": "$", "display": False}, {"left": "\\(", "right": "\\)", "display": False}, {"left": "\\[", "right": "\\]", "display": True}],
+    "throwOnError": False, "trust": False, "maxSize": 20, "maxExpand": 500,
+}
 LINK_REL = "noopener noreferrer"
 VOID = frozenset(("br", "hr", "img"))
 

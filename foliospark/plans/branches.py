@@ -142,11 +142,13 @@ _REST = "' IT COSTS ' || s || ' NOW.'"
 
 @query(f"""with {FORMULA_SQL}
 select doc_id::varchar doc_id, item_index, case m when 0 then 'failed' else 'success' end status, case m when 0 then null when 3 then {_ROW} || {_REST} else {_LEFT} || {_REST} end translated,
-  case m when 0 then 'down' end error, case m when 0 then 2 when 1 then 2 when 4 then 1 else 4 end model_calls, case m when 1 then 'full_retry' when 2 then 'split_retry' when 3 then 'split_retry' when 4 then 'normal' end as level
+  case m when 0 then 'down' end error, case m when 0 then 2 when 1 then 2 when 4 then 1 else 4 end model_calls, case m when 1 then 'full_retry' when 2 then 'split_retry' when 3 then 'split_retry' when 4 then 'normal' end as level,
+  case m when 1 then 'normal: a placeholder is missing' when 2 then 'normal: a placeholder is missing, full_retry: a placeholder is missing' when 3 then 'normal: a placeholder is missing, full_retry: a placeholder is missing' end diagnostics
 from (select *, p::bigint % 5 m from v5)""")
 def q_translate_retries(spark, sf):
     states, _, outcomes = _outcomes(spark, sf, False)
-    return outcomes.select("doc_id", "item_index", "status", "translated", "error", "model_calls", "level")
+    told = F.array_join(F.transform("diagnostics", lambda d: F.concat(d["phase"], F.lit(": "), d["error"])), ", ")
+    return outcomes.select("doc_id", "item_index", "status", "translated", "error", "model_calls", "level", told.alias("diagnostics"))
 
 
 COUNTERS_SQL = f"""{FORMULA_SQL},

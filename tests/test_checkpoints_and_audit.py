@@ -220,3 +220,23 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Spark())
+
+
+def test_diagnostics_name_the_placeholders(spark):
+    class Doubles(translate.UppercaseTranslator):
+        def translate(self, text, *, strict=False, response_format=None):
+            return text if strict else text + text
+
+    got = translate.translate_text("see $x$ here", "0" * 16, Doubles(), 1)
+    assert got["status"] == "success" and [d["phase"] for d in got["diagnostics"]] == ["normal"]
+    d = got["diagnostics"][0]
+    assert d["error"] == "a placeholder is repeated" and d["duplicate"] == d["expected"] and len(d["actual"]) == 2 and d["missing"] == d["unknown"] == d["tampered"] == []
+
+
+def test_math_settings_name_the_delimiters_that_are_scanned():
+    from foliospark.functions.formulas import scan_spans
+    from foliospark.functions.markdown import MATH_SETTINGS
+
+    for d in MATH_SETTINGS["delimiters"]:
+        raw = f"{d['left']}x{d['right']}"
+        assert [(s[0], s[2]) for s in scan_spans(f"a {raw} b")] == [(raw, d["display"])]

@@ -23,7 +23,7 @@ class Scripted:
 
 def test_text_retries():
     t = Scripted(ValueError("down"), lambda x: x.upper() if "⟪" not in x else x)
-    assert translate_text("abc", NONCE, t, 1) | {"x": 1} == {"status": "success", "translated": "ABC", "error": None, "model_calls": 2, "level": "full_retry", "success_cells": None, "fallbacks": None, "x": 1}
+    assert translate_text("abc", NONCE, t, 1) | {"x": 1} == {"status": "success", "translated": "ABC", "error": None, "model_calls": 2, "level": "full_retry", "success_cells": None, "fallbacks": None, "diagnostics": None, "x": 1}
     assert translate_text("abc", NONCE, Scripted(" "), 2)["error"] == "an empty translation"
     assert translate_text(None, NONCE, t, 1)["model_calls"] == 0
 
