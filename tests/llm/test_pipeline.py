@@ -36,3 +36,46 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[0] == "matrix_id" and out.count() > 0
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """The chain over the small table, with each decision after the classifier's made anew: all pairs for copies, alignments of whole documents for leaks, quantiles by hand for the mix, the reference tokenizer for the ids."""
+    import hashlib
+
+    from foliospark.llm import common
+
+    from .test_leaks_and_copies import brute_classes
+    from .test_packing_and_mixing import brute_poisson, reference_ids
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    good = {r.doc_id for r in quality.classify(docs, labels).filter("score >= 0.3").collect()}
+    assert 0 < len(good) < len(rows)
+    left = docs.filter(docs["doc_id"].isin(*good))
+    classes = brute_classes([(d, rows[d].text) for d in sorted(good)], near_dedup.inverse_frequencies(left.select("text")))
+    kept = sorted(set(classes.values()))
+    hashes = common.WordHashes()
+    items = [hashes.of(r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaks = {d for d in kept if any(decontamination.smith_waterman(x, hashes.of(rows[d].text or "")) >= decontamination.MIN_SCORE * decontamination.MATCH * len(x) for x in items)}
+    clean = [d for d in kept if d not in leaks]
+    assert leaks
+    sources = {rows[d].source or "" for d in clean}
+    of = {s: sum((rows[d].source or "") == s for d in clean) for s in sources}
+    copies = {d: brute_poisson(int(hashlib.md5(f"17:{d}".encode()).hexdigest()[:13], 16) / (1 << 52), len(clean) / len(sources) / of[rows[d].source or ""]) for d in clean}
+    want = reference_ids([(d, rows[d].text) for d in clean if copies[d]])
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert unpacked(got) == want
+    assert sum(r.n_tokens for r in got) == sum(copies[d] * len(ids) for d, ids in want.items())
+
+
+def test_stages_with_nulls_repeats_and_nothing(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    text = "It is a plain sentence of a good document that says something. " * 5
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, text, "en", None, 1), (1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, "", None, "b", 0), (3, text + "And more.", None, None, None)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+        got = stage(spark, odd, SF)
+        assert got.count() >= 1, name
+        if name != "token_packing":
+            assert got.columns == corpus_pipeline.COLUMNS and got.filter("doc_id is null").count() <= 2 * (10 if name == "source_mixing" else 1)
