@@ -155,6 +155,7 @@ SUSPICIONS = (
     ("split_instrument_tag", r"(?<![A-Za-z])(?:F|H)\s+I\s+C(?![A-Za-z])", "an instrument tag may have been split by spaces"),
     ("split_cubic_meter_fraction", r"\\frac\s*\{\s*m\s+3\s*\}\s*\{\s*h\s*\}", "cubic metres an hour may have been misread as \\frac{m 3}{h}"),
 )
+# Where a text group begins, the sign that is suspicious in one.
 _TEXT_OPEN = re.compile(r"\\text(?![A-Za-z])\s*\{")
 _BRACE = re.compile(r"(\\*)([{}])")
 
@@ -196,10 +197,18 @@ def _spaced(word: str) -> str:
 
 # The repairs, in this order; a rule is named once however many of its patterns hit.
 _CARBON = r"(?:\\mathsf\s*\{\s*C\s*\}|C)\s*_\s*\{\s*(\d+)\s*\}"
-_METER_MAX = _spaced("MeterMa") + r"\s+(?:x|\\max(?![A-Za-z])|\^\s*\{\s*(?:\\max(?![A-Za-z])|" + _spaced("max") + r")\s*\})"
-_FIELD_BODIES = ((_METER_MAX, "MeterMax"), (_spaced("SetPoint"), "SetPoint"), (_spaced("Output"), "Output"), (_spaced("Equation"), "Equation"))
-_IN_TEXT = [(rf"(?<![A-Za-z])\\text\s*\{{\s*(?:{body})\s*\}}(?![A-Za-z])", rf"\mathrm{{{name}}}") for body, name in _FIELD_BODIES]
-_BARE = [(re.compile(rf"(?<![A-Za-z])(?:{body})(?![A-Za-z])"), rf"\mathrm{{{name}}}") for body, name in _FIELD_BODIES]
+# The field names that are put right, with the letters that are read apart and what may stand for the rest.
+FIELDS = (("MeterMax", "MeterMa", r"\s+(?:x|\\max(?![A-Za-z])|\^\s*\{\s*(?:\\max(?![A-Za-z])|" + _spaced("max") + r")\s*\})"), ("SetPoint", "SetPoint", ""), ("Output", "Output", ""), ("Equation", "Equation", ""))
+
+
+def _fields(before: str, after: str) -> list[tuple[str, str]]:
+    """(pattern, repair) of each field between two patterns, and no letter next to either."""
+    return [(rf"(?<![A-Za-z]){before}(?:{_spaced(letters)}{rest}){after}(?![A-Za-z])", rf"\mathrm{{{name}}}") for name, letters, rest in FIELDS]
+
+
+_IN_TEXT = _fields(r"\\text\s*\{\s*", r"\s*\}")
+_BARE = [(re.compile(pattern), new) for pattern, new in _fields("", "")]
+# A labelled equation.
 _LABEL = r"(?<![A-Za-z])\\text\s*\{\s*" + _spaced("Equation") + r"\s+(\d+)\s*\}(?![A-Za-z])"
 REPAIRS = (
     ("mineru_complement_subscript_c", r"\\complement(?![A-Za-z])\s*_\s*\{\s*(\d+)\s*\}", r"\\mathrm{C}_{$1}"),
@@ -207,6 +216,7 @@ REPAIRS = (
     ("alkene_carbon_count_equality_pair", _CARBON + r"\s*\\neqq(?![A-Za-z])\s*/\s*" + _CARBON + r"\s*\\neq(?:q)?(?![A-Za-z])", r"\\mathrm{C}_{$1}^{=} / \\mathrm{C}_{$2}^{=}"),
 )
 FIELD_RULE, TAG_RULE, UNIT_RULE = "fixed_process_control_field", "numbered_instrument_tag", "cubic_metre_per_hour"
+# Instrument tags and cubic metres an hour, as they are misread.
 _TAG_NUMBER = r"(?<![A-Za-z0-9])([FH])\s+I\s+C\s+(\d(?:[ \t\r\n]*\d)*)(?![A-Za-z0-9])"
 _UNIT = r"\\frac(?![A-Za-z])\s*\{\s*m\s+3\s*\}\s*\{\s*h\s*\}"
 
