@@ -16,8 +16,8 @@ from .common import held_out
 
 #: Rows that a model is fitted on at most (those of the least hash of the id, besides some of each language), characters of such a row at most, landmarks of a language, ridge.
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 3000, 20_000, 48, 1e-2
-#: Rows of each language that are drawn in any case, as far as it has so many.
-EACH_LANGUAGE = 16
+#: Rows of each language that are drawn in any case, as far as it has so many; languages at most, those of most rows.
+EACH_LANGUAGE, LANGUAGES = 16, 1000
 #: N-grams go by hash to 2**CODE_BITS codes; two that share one count as the same.
 CODE_BITS, _ORDERS = 20, 3
 _CODES = 1 << CODE_BITS
@@ -116,10 +116,11 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """From text and lang of documents whose crc32(doc_id) mod 5 is not 0: at most `rows` of up to 20,000 characters, by least hash, and EACH_LANGUAGE of every language (longer texts last, by their first 20,000 characters). Rows without a text, language or id are left out."""
+    """From text and lang of documents whose crc32(doc_id) mod 5 is not 0: at most `rows` of up to 20,000 characters, by least hash, and EACH_LANGUAGE of every language, of LANGUAGES at most (longer texts last, by their first 20,000 characters). So no more rows come to the driver than those numbers allow. Rows without a text, language or id are left out."""
     own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     own = own.filter(own["lang"].isNotNull() & own["doc_id"].isNotNull() & own["text"].isNotNull() & ~held_out(own["doc_id"]) & (F.length("text") > 0))
-    own = own.withColumn("long", F.length("text") > TRAIN_CHARS)
+    named = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    own = own.join(F.broadcast(named.select("lang")), "lang", "left_semi").withColumn("long", F.length("text") > TRAIN_CHARS)
     short = own.filter(~own["long"])
     ids = short.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
     got = short.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(rows).collect()

@@ -186,6 +186,16 @@ def test_language_edges(spark):
     assert li.identify(docs.limit(0)).count() == 0
 
 
+def test_no_more_rows_are_drawn_than_the_bounds_allow(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id as doc_id", "concat('some words ', id % 7) as text", "concat('l', id % 40) as lang")
+    drawn = []
+    monkeypatch.setattr(li, "fit", lambda texts, langs: drawn.append(langs))
+    monkeypatch.setattr(li, "LANGUAGES", 5)
+    monkeypatch.setattr(li, "EACH_LANGUAGE", 3)
+    li.train(df, rows=10)
+    assert len(set(drawn[0])) == 5 and len(drawn[0]) <= 10 + 5 * 3
+
+
 def test_rare_and_long_languages_are_learned(spark):
     docs = [(i, "the cat sat on the mat " * 3, "en") for i in range(400)]
     docs += [(1000 + i, "der hund und die katze schlafen " * 3, "de") for i in range(5)]
