@@ -16,6 +16,7 @@ import tarfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -159,24 +160,25 @@ def store_media(docs: DataFrame, root: str | None = None, shard_bytes: int = SHA
     return join_counted(rows, materialise(first, "first"), "digest", "copies").select("doc_id", "n_bytes", "digest", "shard", "offset", "length")
 
 
-def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, object]]:
-    """(digest, offset, length, open shard) of each row; a shard is opened once while its rows follow each other."""
+def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, object, tuple]]:
+    """(digest, offset, length, open shard, (shard, offset, length, further columns)) of each row; a shard is opened once while its rows follow each other."""
     name, source = None, None
     for batch in batches:
-        for digest, shard, offset, length in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for digest, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shard, offset, length = place[:3]
             if shard != name:
                 if source is not None:
                     source.close()
                 fs, path = _filesystem(shard)
                 name, source = shard, fs.open_input_file(path)
-            yield digest, offset, length, source
+            yield digest, offset, length, source, tuple(place)
     if source is not None:
         source.close()
 
 
-def _sorted_places(places: DataFrame, distinct: bool = True) -> DataFrame:
-    one = places.select("digest", "shard", "offset", "length")
-    one = one.distinct() if distinct else one
+def _sorted_places(places: DataFrame, *more: str) -> DataFrame:
+    one = places.select("digest", "shard", "offset", "length", *more)
+    one = one if more else one.distinct()
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return one.repartition(n, "shard", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("shard", "offset")
 
@@ -184,26 +186,18 @@ def _sorted_places(places: DataFrame, distinct: bool = True) -> DataFrame:
 def media_headers(places: DataFrame) -> DataFrame:
     """digest, width, height, depth of each stored payload, from a read of the first 33 bytes of its range only."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for digest, offset, _, source in _readers(batches):
-            meta = png_header(source.read_at(HEADER_BYTES, offset))
-            yield pa.RecordBatch.from_arrays([pa.array([digest], pa.binary()), *(pa.array([meta[k]], pa.int32()) for k in ("width", "height", "depth"))], ["digest", "width", "height", "depth"])
+    schema = pa.schema([("digest", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("depth", pa.int32())])
 
-    return _sorted_places(places).mapInArrow(_batched(read), "digest binary, width int, height int, depth int")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        metas = ((digest, png_header(source.read_at(HEADER_BYTES, offset))) for digest, offset, _, source, _ in _readers(batches))
+        return _batched(((digest, m["width"], m["height"], m["depth"]) for digest, m in metas), schema)
 
+    return _sorted_places(places).mapInArrow(read, "digest binary, width int, height int, depth int")
 
-def _batched(read, rows: int = 2000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for x in read(batches):
-            held.append(x)
-            if len(held) >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return run
+def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def feature_of(head: dict, lines: np.ndarray) -> str:
@@ -214,19 +208,21 @@ def feature_of(head: dict, lines: np.ndarray) -> str:
     return f"{head['width']}x{head['height']}x{head['depth']};mean={mean:.4f};std={float(share @ (level - mean) ** 2) ** 0.5:.4f};zero={share[0]:.4f}"
 
 
-def read_media(places: DataFrame, distinct: bool = True) -> DataFrame:
-    """One row of READ for each digest of places, from its stored bytes: the header by a range read of its own, then the whole image. distinct false: places has no digest twice."""
+def read_media(places: DataFrame, *more: str) -> DataFrame:
+    """One row of READ for each digest of places, from its stored bytes: the header by a range read of its own, then the whole image. With names of further columns, places must have no digest twice, and its place and those columns follow."""
+    fields = [c.split() for c in READ.split(", ")] + ([["shard", "string"], ["offset", "bigint"], ["length", "bigint"], *([c, places.schema[c].dataType.simpleString()] for c in more)] if more else [])
+    kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}
+    schema = pa.schema([(n, kinds[t]) for n, t in fields])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for digest, offset, length, source in _readers(batches):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for digest, offset, length, source, place in _readers(batches):
             head = png_header(source.read_at(HEADER_BYTES, offset))
             media = source.read_at(length, offset)
             lines = from_png(media)
             data = lines.tobytes()
-            row = [digest, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).digest(), feature_of(head, lines)]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [c.split()[0] for c in READ.split(", ")])
+            yield digest, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).digest(), feature_of(head, lines), *(place if more else ())
 
-    return _sorted_places(places, distinct).mapInArrow(_batched(read), READ)
+    return _sorted_places(places, *more).mapInArrow(lambda batches: _batched(rows(batches), schema), ", ".join(f"{n} {t}" for n, t in fields))
 
 
 def tar_members(data: bytes) -> list[tuple[str, bytes]]:
@@ -238,7 +234,6 @@ def tar_members(data: bytes) -> list[tuple[str, bytes]]:
 def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     """Stores the payload of every row and returns doc_id, n_bytes and the columns of READ and place, read back from the shards."""
     rows, first = _stored(docs, root, SHARD_BYTES)
-    first = materialise(first, "first")
-    media = materialise(read_media(first, distinct=False).join(first, "digest"), "media")  # a row of either for each digest
+    media = materialise(read_media(first, "copies"), "media")
     hexed = lambda c: F.lower(F.hex(c)).alias(c)
     return join_counted(rows, media, "digest", "copies").select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha256"), "feature", hexed("digest"), "shard", "offset", "length")
