@@ -149,11 +149,36 @@ def run_next(task_table: DataFrame, run: Callable[[str], tuple[str, str]]) -> tu
     claimed, task_id = tasks.claim_next(task_table, now)
     if task_id is None:
         return task_table, None
+    return _finished(claimed, task_id, run), task_id
+
+
+def _finished(claimed: DataFrame, task_id: str, run: Callable[[str], tuple[str, str]]) -> DataFrame:
+    now = F.current_timestamp()
     try:
         normalized, markdown = run(task_id)
-    except Exception as e:
-        return tasks.fail(claimed, task_id, str(e) or type(e).__name__, now), task_id
-    return tasks.succeed(claimed, task_id, normalized, markdown, now), task_id
+    except Exception as e:  # the task's failure
+        return tasks.fail(claimed, task_id, str(e) or type(e).__name__, now)
+    return tasks.succeed(claimed, task_id, normalized, markdown, now)
+
+
+def work(spark: SparkSession, path: str, run: Callable[[str], tuple[str, str]], stopped: Callable[[], bool], wait_s: float = 1.0) -> int:
+    """Runs the tasks of the table at path (see sinks.write_stage) one at a time, the oldest first, until stopped() says so, and returns how many. One driver works on a table.
+
+    What was running when the last worker ended is interrupted at the start and can be resumed. A claim is
+    stored before its task runs and the outcome after it, so a worker that dies leaves a running task; a
+    task that fails doesn't end the worker. Without a queued task it looks again after wait_s.
+    """
+    sinks.write_stage(tasks.interrupt_running(_there(spark, path), F.current_timestamp()), path)
+    n = 0
+    while not stopped():
+        claimed, task_id = tasks.claim_next(_there(spark, path), F.current_timestamp())
+        if task_id is None:
+            time.sleep(wait_s)
+            continue
+        sinks.write_stage(claimed, path)
+        sinks.write_stage(_finished(_there(spark, path), task_id, run), path)
+        n += 1
+    return n
 
 
 def cross_page_report(cleaned: DataFrame) -> DataFrame:

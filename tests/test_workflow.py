@@ -67,6 +67,33 @@ def test_worker_step(spark):
     assert {r.id: (r.status, r.error_message) for r in failed.collect()}["a"] == ("failed", "no")
 
 
+def test_a_worker_runs_the_queue_and_waits(spark, tmp_path):
+    path, ran, looks = str(tmp_path / "tasks"), [], []
+
+    def run(task_id):
+        now = {r.id: r.status for r in sinks.read_stage(spark, path).collect()}
+        ran.append((task_id, now[task_id]))
+        if task_id == "b":
+            raise ValueError("no")
+        return f"/n/{task_id}", f"/m/{task_id}"
+
+    sinks.write_stage(base(spark), path)
+    assert workflow.work(spark, path, run, lambda: looks.append(1) or len(looks) > 4, wait_s=0.01) == 2
+    assert ran == [("a", "running"), ("b", "running")]  # the claim is stored before the task runs
+    got = {r.id: (r.status, r.attempt_count, r.error_message) for r in sinks.read_stage(spark, path).collect()}
+    assert got["a"] == ("succeeded", 1, None) and got["b"] == ("failed", 1, "no") and got["c"][0] == "failed" and got["d"][0] == "interrupted"
+    with pytest.raises(KeyboardInterrupt):  # a worker that dies leaves its task to be interrupted
+
+        def die(_):
+            raise KeyboardInterrupt
+
+        sinks.write_stage(base(spark).filter("id = 'a'"), path)
+        workflow.work(spark, path, die, lambda: False)
+    assert [r.status for r in sinks.read_stage(spark, path).collect()] == ["running"]
+    workflow.work(spark, path, run, lambda: True)
+    assert [r.status for r in sinks.read_stage(spark, path).collect()] == ["interrupted"]
+
+
 def test_settings(spark):
     kv = lambda **x: spark.createDataFrame([(k, v) for k, v in x.items()], "key string, value string")
     values = lambda df: {r.key: r.value for r in df.collect()}
