@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: documents in slices of 40 words as content items, three a page; some are headers, tables or headings."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("ws")).filter("ws is not null")
-    slices = F.transform(F.sequence(F.lit(0), F.ceil(F.size("ws") / WORDS).cast("int") - 1), lambda i: F.array_join(F.slice("ws", i * WORDS + 1, F.lit(WORDS)), " "))
-    rows = words.select("doc_id", F.posexplode(slices).alias("i", "text")).select("doc_id", F.col("i").cast("bigint").alias("item_index"), "text")
+    # slices end before a blank, so the text gets one more; one pass over a text, whatever its length
+    slices = F.regexp_extract_all(F.concat("text", F.lit(" ")), F.lit(rf"([^ ]*(?: [^ ]*){{0,{WORDS - 1}}}) "), F.lit(1))
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(slices).alias("i", "text")).select("doc_id", F.col("i").cast("bigint").alias("item_index"), "text")
     i = F.col("item_index")
     return rows.select(
         "doc_id",
