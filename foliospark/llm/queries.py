@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, language_id, media, mixing, near_dedup, quality, token_packing, url_rules
+from . import best_fit, chat, decontamination, html_text, importance, language_id, media, mixing, near_dedup, quality, token_alignment, token_packing, url_rules
 
 # The rules of op4.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -61,6 +61,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned, _, scores = token_alignment.alignment(table(spark, sf_dir, "documents"))
+    counted = aligned.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links").join(scores.hint("merge"), "row")
+    return counted.join(token_alignment.group_digests(aligned).hint("merge"), "row").drop("row")
+
+
 def url_sql() -> str:
     """op4 in DuckDB."""
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -81,8 +96,8 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from f wher
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_packing, op2_decontamination, op3_chat_formatting, op4_url_filters, op5_media_columns, op6_quality_classifier, op7_language_id, op8_near_dedup, op9_html_extraction, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_token_packing, op2_decontamination, op3_chat_formatting, op4_url_filters, op5_media_columns, op6_quality_classifier, op7_language_id, op8_near_dedup, op9_html_extraction, op10_source_mixing, op11_best_fit_packing, op12_importance_resampling, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.chat_sql(), "op4_url_filters": url_sql(), "op10_source_mixing": mixing.mixing_sql()}
+    return {"op3_chat_formatting": chat.chat_sql(), "op4_url_filters": url_sql(), "op10_source_mixing": mixing.mixing_sql(), "op12_importance_resampling": importance.resampling_sql()}
