@@ -19,6 +19,8 @@ from ..functions.text import boundary_whitespace, canonical_positive_int, escape
 from ..operators import content, formula_audit, render, settings, tasks, translate
 from ..session import shared_dir
 from ..sources import content as sources
+from ..sources import sinks
+from ..streaming import changes
 from ..streaming import tasks as streams
 from . import views
 from .registry import query
@@ -465,12 +467,67 @@ def q_task_json(spark, sf):
     return made.select("id", at("id").alias("j_id"), at("status").alias("status"), at("created_at_display").alias("shown"), F.contains("json", F.lit('"finished_at":null')).alias("named"))
 
 
+# -- streams
+
+
 @query("select user_id::varchar task_id, max_by(event_type, event_id) status, max(event_id) last_id from events group by 1 order by last_id desc limit 100")
 def q_stream_snapshots(spark, sf):
-    """The newest 100 task states, as a snapshot stream sends them last."""
+    """The newest 100 task states, as a snapshot stream sends and stores them last."""
     from .catalogue import _event_stream
 
     rows = _event_stream(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("task_id"), F.col("event_type").alias("status"))
-    seen: list = [[]]
-    streams.snapshots(rows, f"{shared_dir(spark)}/foliospark/snapshots-{uuid.uuid4().hex}", seen.append).awaitTermination()
-    return spark.createDataFrame(seen[-1], "task_id string, status string, last_id bigint")
+    checkpoint = f"{shared_dir(spark)}/foliospark/snapshots-{uuid.uuid4().hex}"
+    streams.snapshots(rows, checkpoint, lambda _: None).awaitTermination()
+    return sinks.read_stage(spark, f"{checkpoint}.newest")
+
+
+def _logs(spark, sf) -> DataFrame:
+    return views.task_logs(spark, sf).select("id", "task_id", "level", "message", F.col("created_at").cast("timestamp").alias("created_at"))
+
+
+def _logs_back(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "task_id", "level", "message", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query(f"with {LOGS_SQL} select id, task_id, level, message, created_at from v4 where id > 100")
+def q_log_pages(spark, sf):
+    """Pages of 500 after a cursor, by a query that stops after each of two parts of the table and goes on from its checkpoint."""
+    base = f"{shared_dir(spark)}/foliospark/pages-{uuid.uuid4().hex}"
+    logs = _logs(spark, sf)
+    half = logs.agg((F.max("id") / 2).cast("bigint")).first()[0]
+    for part in (logs.filter(F.col("id") <= half), logs.filter(F.col("id") > half)):
+        part.repartitionByRange(4, "id").write.mode("append").parquet(f"{base}/logs")
+        query = streams.tail_pages(streams.log_pages(spark, f"{base}/logs", last_event_id="100", after_id=7), f"{base}/checkpoint", f"{base}/rows")
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return _logs_back(spark.read.parquet(f"{base}/rows"))
+
+
+@query(f"with {LOGS_SQL} select id, task_id, level, message, created_at from v4")
+def q_stream_new_ids(spark, sf):
+    """Every third id comes again in a later file."""
+    base = f"{shared_dir(spark)}/foliospark/repeats-{uuid.uuid4().hex}"
+    logs = _logs(spark, sf)
+    logs.repartitionByRange(4, "id").write.parquet(f"{base}/logs")
+    logs.filter("id % 3 = 0").repartition(2).write.mode("append").parquet(f"{base}/logs")
+    stream = streams.log_stream(spark, f"{base}/logs", logs.schema, 2)
+    writer = streams.drop_seen(stream, "3650 days").writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _logs_back(spark.read.parquet(f"{base}/rows"))
+
+
+@query(f"""with {LOGS_SQL}, e as (select task_id, status, id, lag(status) over (partition by task_id order by id) before from v4)
+select task_id, 'change' kind, status, id last_id from e where before is distinct from status""")
+def q_stream_changes(spark, sf):
+    """What changed of each task, in order; events that leave its state as it was are suppressed, and so are ids that come again."""
+    base = f"{shared_dir(spark)}/foliospark/changes-{uuid.uuid4().hex}"
+    events = views.task_logs(spark, sf).select("task_id", "id", "status")
+    bounds = [r[0] for r in events.agg(F.expr("percentile_approx(id, array(0.3, 0.7))")).collect()][0]
+    for low, high in ((-1, bounds[0]), (bounds[0] // 2, bounds[1]), (bounds[1], 1 << 62)):
+        events.filter(F.col("id").between(low + 1, high)).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        stream = streams.log_stream(spark, f"{base}/events", events.schema, 1)
+        writer = changes.changes(stream, keepalive_s=None).writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
+        writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows").drop("batch")

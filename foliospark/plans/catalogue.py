@@ -396,15 +396,17 @@ def q_stream_log_tail(spark, sf):
 
 @query("select user_id::varchar task_id, max_by(event_type, event_id) status, max(event_id) last_id from events group by 1")
 def q_stream_snapshot(spark, sf):
+    """Only the states that a batch changed are written; the newest of each task is the snapshot."""
     rows = _event_stream(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("task_id"), F.col("event_type").alias("status"))
     base = f"{shared_dir(spark)}/foliospark/snapshot-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/rows")
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")
 
-    writer = streams.latest_stream(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint")
-    writer.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/rows")
+    writer = streams.latest_stream(rows).writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
+    writer.foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(f"{base}/rows").select("task_id", "status", F.col("last_id").alias("id"))
+    return streams.latest_stream(written)
 
 
 @query("select time_bucket(interval 1 hour, ts) window_start, event_type, count(*) n from events group by 1, 2")
