@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ContentError
-from ..operators import content, formula_audit, render, tasks, translate
+from ..operators import content, formula_audit, render, table_rounds, tasks, translate
 from ..sources import content as sources
 from ..sources import sinks
 
@@ -97,7 +97,11 @@ def normalise(items: DataFrame, out: str, log: StageLog) -> DataFrame:
 
 def _translate(states: DataFrame, auxiliary: DataFrame, out: str, services: Services) -> DataFrame:
     units = translate.work_units(states, auxiliary)
-    sinks.append_outcomes(translate.run_units(units, services.translator, services.max_retries, services.concurrency, services.timeout_s).withColumn("written_at", F.current_timestamp()), f"{out}/outcomes")
+    how = services.translator, services.max_retries, services.concurrency, services.timeout_s
+    open_tables = f"{out}/table_answers"  # those of a run that died before its end are used
+    done = translate.run_units(units.filter("kind <> 'table'"), *how).unionByName(table_rounds.run_tables(units, open_tables, *how))
+    sinks.append_outcomes(done.withColumn("written_at", F.current_timestamp()), f"{out}/outcomes")
+    sinks.remove(states.sparkSession, open_tables)
     outcomes = states.sparkSession.read.parquet(f"{out}/outcomes")
     keys = ["doc_id", "kind", "item_index", "field", "pos"]
     newest = outcomes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in outcomes.columns if c not in keys]), "written_at").alias("x")).select(*keys, "x.*")
