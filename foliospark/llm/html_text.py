@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 # Names of HTML elements, and words in class, id or role that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr caption ul".split())
 CLOSES_P = BLOCK - frozenset("body head html li dd dt tr tbody thead tfoot caption legend option optgroup".split())
-NOISE = frozenset("nav header footer aside form button select input dialog menu object embed canvas audio video map head label fieldset".split()) | RAW
+NOISE = frozenset("nav header footer aside button select input dialog menu object embed canvas audio video map head fieldset".split()) | RAW
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+COMMENTS = "comments? commentaires? comentarios? kommentare? replies responses discussion réponses respuestas antworten".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ENDS_BEFORE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl select article section div main aside nav form body html blockquote button td th".split())
@@ -28,6 +29,10 @@ _TOKEN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^
 _MARKING = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
+_FOR = re.compile(r"(?:^|[\s\"'/])for\s*=", re.I)
+_COMMENTS = re.compile(rf"\W*(?:\d+\W+)?(?:{'|'.join(COMMENTS)})\W*\d*\W*", re.I)
+#: Words in a block that make it running text; a branch with a greater share of links isn't.
+RUNNING_WORDS, LINK_SHARE = 5, 0.4
 
 
 class Page:
@@ -35,6 +40,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.noise, self.texts = ["body"], [-1], [False], []
+        self.titled: set[int] = set()  # headers of articles, whose headings are titles
         doubtful: list[int] = []
         stack, block, at = [0], 0, 0
         end = len(source)
@@ -70,9 +76,13 @@ class Page:
             self.tag.append(name)
             self.parent.append(stack[-1])
             mark = 0 if name in ("article", "main") else self._marked(attrs)
+            if name == "form" or name == "label" and (_FOR.search(attrs) or any(self.tag[x] == "form" for x in stack)):
+                mark = max(mark, 1 if name == "form" else 2)
             self.noise.append(name in NOISE or mark > 0)
             if mark == 1 and name not in NOISE:
                 doubtful.append(len(self.tag) - 1)
+            if name == "header" and not mark and any(self.tag[x] == "article" for x in stack):
+                self.titled.add(len(self.tag) - 1)
             if name in RAW:
                 over = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
                 at = over.start() if over else end
@@ -86,7 +96,7 @@ class Page:
         self._settle(doubtful)
 
     def _settle(self, doubtful: list[int]) -> None:
-        """Noise words that are a part of a class, id or role only ('has-sidebar') don't count for elements that hold an article or main element or most of the text outside links and noise; then noise goes down to all descendants."""
+        """Forms, and noise words that are a part of a class, id or role only ('has-sidebar'), don't count for elements that hold an article or main element or most of the text outside links and noise; then noise goes down to all descendants, but not from an article's header to the headings in it."""
         if doubtful:
             n, maybe = len(self.tag), set(doubtful)
             sure = [self.noise[i] and i not in maybe for i in range(n)]
@@ -101,8 +111,34 @@ class Page:
                 held[self.parent[i]] |= held[i]
             for i in doubtful:
                 self.noise[i] = not (held[i] or 2 * chars[i] > chars[0])
+        heads: set[int] = set()  # headers of articles, and what is in them outside headings
         for i in range(1, len(self.tag)):
-            self.noise[i] |= self.noise[self.parent[i]]
+            p = self.parent[i]
+            if i in self.titled and not self.noise[p]:
+                heads.add(i)
+            elif p in heads:
+                if not self.noise[i] and self.tag[i] not in HEADINGS:
+                    heads.add(i)
+                    self.noise[i] = True
+            else:
+                self.noise[i] |= self.noise[p]
+        self._drop_comments()
+
+    def _drop_comments(self) -> None:
+        """A heading that only says that comments follow, and what follows it in the same element, is noise."""
+        said: dict[int, list[str]] = {}
+        for node, _, text in self.texts:
+            while node and self.tag[node] not in HEADINGS:
+                node = self.parent[node]
+            if node:
+                said.setdefault(node, []).append(text)
+        begun: set[int] = set()  # elements whose further children are comments
+        for i in range(1, len(self.tag)):
+            if i in said and _COMMENTS.fullmatch(" ".join("".join(said[i]).split())):
+                begun.add(self.parent[i])
+            if self.parent[i] in begun:
+                self.noise[i] = True
+                begun.add(i)
 
     def _imply(self, stack: list[int], ends: set[str]) -> None:
         """Closes the open element of `ends` nearest to the top, unless a scope lies between."""
@@ -132,7 +168,8 @@ class Page:
     def measure(self) -> None:
         """Characters, tags, characters and tags of links, density, and density sum of every node; noise counts nothing."""
         n = len(self.tag)
-        own, self.chars, self.tags, links, link_tags = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        own, self.chars, self.tags, self.links, link_tags = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        links = self.links
         for node, _, text in self.texts:
             if not self.noise[node]:
                 own[node] += len("".join(text.split()))
@@ -174,8 +211,32 @@ class Page:
             out.append(self.parent[out[-1]])
         return out
 
+    def _runs(self) -> list[bool]:
+        """Whether a node has running text in it: a paragraph, or a block of some words, that isn't noise, a menu or mostly links."""
+        words: dict[int, int] = {}
+        runs = [False] * len(self.tag)
+        for node, block, text in self.texts:
+            if not self.noise[node] and not self.menu[node] and self.tag[node] != "a":
+                words[block] = words.get(block, 0) + len(text.split())
+        for node, block, text in self.texts:
+            if not self.noise[node] and not self.menu[node] and text.strip():
+                at, in_p = node, False
+                while at and not in_p:
+                    in_p, at = self.tag[at] in ("p", "pre", "blockquote"), self.parent[at]
+                runs[node] |= in_p or words.get(block, 0) >= RUNNING_WORDS
+        for i in range(len(self.tag) - 1, 0, -1):
+            runs[self.parent[i]] |= runs[i] and not self.noise[i]
+        return [r and links <= LINK_SHARE * max(1, chars) for r, links, chars in zip(runs, self.links, self.chars, strict=True)]
+
     def root(self) -> int:
-        """The node whose subtree is the article: that of the greatest density sum in the body; then up to the highest node that has a further branch as dense as the least dense node between the body and the maximum, or a heading ahead of the branch that leads down (a title block)."""
+        """The node whose subtree is the article.
+
+        The node of the greatest density sum in the body begins it. From there up to the highest node below
+        the body, and within the nearest article or main element if there is one, that has a further branch
+        with running text, however short; and to the highest node at all that has a further branch as dense as
+        the least dense node between the body and the maximum, or a heading ahead of the branch that leads
+        down (a title block). Above an article element only other articles and headings ahead of it count.
+        """
         self.measure()
         best = max((i for i in range(len(self.tag)) if not self.noise[i]), key=lambda i: (self.total[i], -i), default=0)
         if best:  # lists of links that follow text within the densest node are text too
@@ -186,11 +247,18 @@ class Page:
         children: dict[int, list[int]] = {}
         for i in range(1, len(self.tag)):
             children.setdefault(self.parent[i], []).append(i)
-        top = up[0]
+        runs, top, bounded, in_article = self._runs(), up[0], self.tag[best] in ("article", "main"), self.tag[best] == "article"
         for child, node in zip(up, up[1:], strict=False):
             others = [c for c in children[node] if c != child and not self.noise[c] and not self.menu[c] and self.chars[c]]
-            if any(self.density[c] >= threshold or c < child and self.tag[c] in HEADINGS for c in others) or self.tag[top] not in BLOCK:
+            dense = [c for c in others if self.density[c] >= threshold and (not in_article or self.tag[c] == "article")]
+            title = any(c < child and self.tag[c] in HEADINGS for c in others)
+            more = not bounded and any(runs[c] and (node or self.tag[c] == self.tag[child] == "section") for c in others)
+            if dense or title or more or self.tag[top] not in BLOCK:
+                top = node
+            if self.tag[node] == "article":
                 top = node
+                in_article = True
+            bounded |= self.tag[node] in ("article", "main")
         return top
 
 

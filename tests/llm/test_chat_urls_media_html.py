@@ -297,6 +297,59 @@ def test_pages_whose_article_has_no_tag_of_its_own(spark):
         assert {i: main_text(h) for i, h in renamed.items()} == {i: brute_article(h) for i, h in pages.items()}
 
 
+def dealt(source, groups, name):
+    """The article's paragraphs in several elements of their own, the article itself a plain one."""
+    head, inside, rest = re.match(r"(.*)<article>(.*)</article>(.*)", source, re.S).groups()
+    title, paragraphs = re.match(r"(\s*(?:<h1>.*?</h1>)?)(.*)", inside, re.S).groups()
+    blocks = re.findall(r"<p>.*?</p>", paragraphs, re.S)
+    if re.sub(r"<p>.*?</p>|\s", "", paragraphs, flags=re.S):
+        return source  # not of paragraphs alone
+    cut = [blocks[len(blocks) * k // groups : len(blocks) * (k + 1) // groups] for k in range(groups)]
+    return f"{head}<div>{title}{''.join(f'<{name}>{chr(10).join(b)}</{name}>' for b in cut if b)}</div>{rest}"
+
+
+@pytest.mark.parametrize("name,groups", [("div", 2), ("section", 3), ("div", 5)])
+def test_pages_whose_paragraphs_are_dealt_to_several_elements(spark, name, groups):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for page in pages:
+        assert main_text(dealt(page, groups, name)) == brute_article(page)
+
+
+@pytest.mark.parametrize("around", ["{}", "<article>{}</article>", "<div id=main>{}</div>", "<form action=/x><input type=hidden>{}</form>"])
+def test_lead_and_end_and_short_sections_stay(around):
+    lead, end = "<p>A lead.</p>", "<p>The end.</p>"
+    page = around.format(f'<div class="all"><div class="lead">{lead}</div><div class="text">{MAIN}</div><div class="end">{end}</div></div>')
+    assert main_text(f"<nav>menu</nav>{page}<footer>f</footer>") == "\n\n".join(["A lead.", *LONG, "The end."])
+    parts = f"<section><h2>One</h2>{lead}</section><section><h2>Two</h2>{MAIN}</section><section>{end}</section>"
+    assert main_text(f"<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul>{around.format(parts)}") == "\n\n".join(["One", "A lead.", "Two", *LONG, "The end."])
+
+
+def test_forms():
+    assert main_text(f"<form><div><label for=q>Search</label><input id=q></div><div>{MAIN}</div></form>") == "\n\n".join(LONG)
+    assert main_text(f"<div>{MAIN}</div><form><p>Write to us today, we would like it.</p><label>Name</label><input></form>") == "\n\n".join(LONG)
+    assert main_text(f"<article>{MAIN}<form><p>Your mail</p></form></article>") == "\n\n".join(LONG)
+
+
+def test_formulas_labels_and_titles_in_the_article_stay():
+    page = "<article><header><h1>Title</h1><p>By A. Writer</p><div><h2>Second</h2>Share</div></header>" + MAIN
+    page += "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=t>x=1</annotation></math> holds, see <label>note</label> one.</p></article>"
+    assert main_text(f"<header><h1>Site</h1></header>{page}") == "\n\n".join(["Title", "Second", *LONG, "So x=1 holds, see note one."])
+
+
+@pytest.mark.parametrize(
+    "comments",
+    [
+        "<h3>3 Comments</h3><div><p>A reader says that this is well said, thank you.</p></div><p>Another one is of the same mind, he says.</p>",
+        "<div><h2>Kommentare</h2><p>Ein Leser meint, das sei gut gesagt, und dankt sehr.</p></div>",
+        "<div class=x><p>A reader says that this is well said, thank you.</p><p>Another one is of the same mind, he says.</p></div>",
+    ],
+)
+def test_unmarked_comments_after_the_article_are_out(comments):
+    assert main_text(f"<main><article><h1>Head</h1>{MAIN}</article>{comments}</main>") == "\n\n".join(["Head", *LONG])
+    if "<h" in comments:
+        assert main_text(f"<div><div><h1>Head</h1>{MAIN}</div>{comments}</div>") == "\n\n".join(["Head", *LONG])
+
+
 def test_equal_densities_take_the_first():
     page = f"<div>{MAIN}</div><div class='ad'>{MAIN}</div>"
     assert main_text(page) == "\n\n".join(LONG) and main_text(page + page).startswith(LONG[0])
