@@ -10,7 +10,7 @@ groups and counts are read from it.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 
@@ -28,8 +28,8 @@ B_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 VOCAB_BYTES = 16 << 20
 #: Pairs whose counts are broadcast: the most frequent ones, 17 bytes each. All others are joined by shuffle.
 HOT_PAIRS = 1 << 18
-#: Remembered transitions of a worker, characters that are encoded at once, and links that are counted at once.
-MEMO, ENCODE_CHARS, COUNT_LINKS = 1 << 20, 1 << 18, 1 << 20
+#: Remembered transitions of a worker, links that are counted at once, and tokens and rows of a batch of results.
+MEMO, COUNT_LINKS, BATCH_TOKENS, BATCH_ROWS = 1 << 19, 1 << 20, 1 << 20, 4096
 
 #: What a step of a walk takes: a token of A that opens a group, one of A that follows a longer one of B, or one of B.
 OPEN, TAKE_A, TAKE_B = 0, 1, 2
@@ -40,7 +40,11 @@ ALIGNED = pa.schema(
 )
 ALIGNED_SQL = "row bigint, doc_id bigint, a_ids binary, b_ids binary, steps binary, n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 
+# Fixed value: the split pattern of byte-level BPE.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_INSIDE = re.compile(r"\S ")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -52,21 +56,26 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Side A: a byte-level BPE file; its texts get a space in front, special tokens in them are plain text."""
+    """Side A: a byte-level BPE file in JSON; its texts get a space in front, special tokens in them are plain text. Merges have to be in the order of the ids they make, as then ids are ranks and any encoder by ranks gives the file's own result."""
 
     def __init__(self, file: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_str(file.decode())
-        self.tokenizer.encode_special_tokens = True
-        letters, vocab = byte_letters(), self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes = [b""] * (self.tokenizer.get_vocab_size() + 1)
-        for token, i in vocab.items():
-            self.bytes[i] = bytes(map(letters.__getitem__, token))
+        made = json.loads(file)
+        vocab, letters = made["model"]["vocab"], byte_letters()
+        special = {t["content"] for t in made["added_tokens"]}
+        ranks = {bytes(map(letters.__getitem__, token)): i for token, i in vocab.items() if token not in special}
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in made["model"]["merges"]]
+        plain = made["normalizer"] is None and made["pre_tokenizer"]["type"] == "ByteLevel" and made["pre_tokenizer"]["use_regex"] and not made["pre_tokenizer"]["add_prefix_space"]
+        if not plain or merged != sorted(merged) or len(merged) + 256 != len(ranks):
+            raise ValueError("not a byte-level BPE file with merges in the order of ids")
+        self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes[i] = token
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(f" {text}")
 
 
 class Pieces:
@@ -82,66 +91,85 @@ class Pieces:
             byte = _BYTE_PIECE.fullmatch(piece)
             self.bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
 class Transducer:
-    """Walks two token sequences; remembers what a token does to a state. State 0 is the empty suffix."""
+    """Walks two token sequences; remembers what a token does to a state. State 0 is the empty suffix, where a token of each side is taken."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.tokens = (a, b)
         self.forget()
 
     def forget(self) -> None:
-        self.next: dict[int, int] = {}
-        self.numbers: dict[tuple[int, bytes], int] = {(1, b""): 0}
-        self.takes, self.suffixes = [0], [b""]  # by state: the side that takes the next token (0 is A), and the other side's suffix
-
-    def _learn(self, state: int, token: int) -> int:
-        """The state after the taking side's token; -1 if its bytes contradict the suffix."""
-        side, suffix = self.takes[state], self.suffixes[state]
+        self.known = 0
+        self.numbers: dict[tuple[int, bytes], int] = {}
+        self.takes, self.suffixes = [0], [b""]  # by state: the side that takes the next token (0 is A), and what is left of the other side's last one
+        self.next: list[dict[int, int]] = [{}]  # by state: token -> state; of state 0: token of A << 32 | token of B -> state
+
+    def _after(self, side: int, suffix: bytes, token: int) -> int:
+        """The state after a side's token meets the other side's suffix; -1 if their bytes differ."""
+        self.known += 1
         new = self.tokens[side][token]
+        if suffix == new:
+            return 0
         if suffix.startswith(new):
             key = side, suffix[len(new) :]
         elif new.startswith(suffix):
             key = 1 - side, new[len(suffix) :]
         else:
             return -1
-        if not key[1]:
-            return 0
         if key not in self.numbers:
             self.numbers[key] = len(self.takes)
             self.takes.append(key[0])
             self.suffixes.append(key[1])
+            self.next.append({})
         return self.numbers[key]
 
     def walk(self, a: list[int], b: list[int]) -> bytes | None:
         """The steps of both sequences; None if their bytes differ."""
-        if len(self.next) > MEMO:
+        if self.known > MEMO:
             self.forget()
-        known, takes, out = self.next, self.takes, bytearray()
-        state, i, j, width = 0, 0, 0, 1 << 32
-        try:
-            while i < len(a) or j < len(b):
-                if takes[state]:
-                    token, step = b[j], TAKE_B
-                    j += 1
-                else:
-                    token, step = a[i], TAKE_A if state else OPEN
-                    i += 1
-                key = state * width + token
-                state = known.get(key, -2)
-                if state == -2:
-                    state = known[key] = self._learn(key // width, token)
-                if state < 0:
+        rows, takes, pairs, out = self.next, self.takes, self.next[0], bytearray()
+        state, i, j, n_a, n_b = 0, 0, 0, len(a), len(b)
+        while i < n_a or j < n_b:
+            if not state:
+                if i == n_a or j == n_b:
                     return None
-                out.append(step)
-        except IndexError:  # one side has ended
-            return None
+                key = a[i] << 32 | b[j]
+                state = pairs.get(key)
+                if state is None:
+                    state = pairs[key] = self._after(1, self.tokens[0][a[i]], b[j])
+                i += 1
+                j += 1
+                out += _OPENED
+            elif takes[state]:
+                if j == n_b:
+                    return None
+                row, was, token = rows[state], state, b[j]
+                state = row.get(token)
+                if state is None:
+                    state = row[token] = self._after(1, self.suffixes[was], token)
+                j += 1
+                out.append(TAKE_B)
+            else:
+                if i == n_a:
+                    return None
+                row, was, token = rows[state], state, a[i]
+                state = row.get(token)
+                if state is None:
+                    state = row[token] = self._after(0, self.suffixes[was], token)
+                i += 1
+                out.append(TAKE_A)
+            if state < 0:
+                return None
         return None if state else bytes(out)
 
 
+_OPENED = bytes([OPEN, TAKE_B])
+
+
 def links(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The linked pairs of ids, in order: each step but the opening ones meets the last token of the other side."""
     takes_b = steps == TAKE_B
@@ -149,15 +177,30 @@ def links(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray,
     return a[np.cumsum(~takes_b)[met] - 1], b[np.cumsum(takes_b)[met] - 1]
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> str:
+class GroupTexts:
     """Groups as a1,a2|b1;a3|b2,b3."""
-    opened = np.flatnonzero(steps == OPEN)
-    of_a = np.concatenate([[0], np.cumsum(steps != TAKE_B)])
-    of_b = np.concatenate([[0], np.cumsum(steps == TAKE_B)])
-    ends = np.append(opened, len(steps))
-    at_a, at_b = of_a[ends].tolist(), of_b[ends].tolist()
-    a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    return ";".join(f"{','.join(a[at_a[k] : at_a[k + 1]])}|{','.join(b[at_b[k] : at_b[k + 1]])}" for k in range(len(opened)))
+
+    def __init__(self) -> None:
+        self.words = np.zeros(0, object)  # id * 3 + what follows -> text
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> str:
+        if not len(steps):
+            return ""
+        takes_b = steps == TAKE_B
+        group = np.cumsum(steps == OPEN)
+        # tokens by group, those of A before those of B
+        order = np.argsort(group * 2 + takes_b, kind="stable")
+        ids = np.empty(len(steps), np.int64)
+        ids[~takes_b], ids[takes_b] = a, b
+        ids, side, group = ids[order], takes_b[order], group[order]
+        follows = np.zeros(len(ids), np.int64)
+        follows[:-1] = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
+        self._know(int(ids.max()))
+        return "".join(self.words[ids * 3 + follows])[:-1]
+
+    def _know(self, top: int) -> None:
+        if 3 * top >= len(self.words):
+            self.words = np.array([f"{i}{sign}" for i in range(top + 1) for sign in ",|;"], object)
 
 
 class Aligner:
@@ -167,24 +210,21 @@ class Aligner:
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
         #: Texts can be cut at single spaces, as no token of either side has a space after another sign.
-        self.cuts = not any(re.search(rb"\S ", t) for t in self.a.bytes + self.b.bytes)
-
-    def align(self, texts: list[str]) -> list[tuple[list[int], list[int], bytes]]:
-        """Ids of both sides and the walk, of each text; nothing where the joined bytes of a side aren't a space and the text."""
-        parts = [list(self._parts(t)) if t else [] for t in texts]
-        found = self._encoded([p for some in parts for p in some])
-        return [self._one(text, [next(found) for _ in some]) for text, some in zip(texts, parts, strict=True)]
-
-    def _encoded(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both sides of each piece, about ENCODE_CHARS at once."""
-        at = 0
-        while at < len(parts):
-            end, size = at, 0
-            while end < len(parts) and (end == at or size + len(parts[end]) <= ENCODE_CHARS):
-                size += len(parts[end])
-                end += 1
-            yield from zip(self.a.encode(parts[at:end]), self.b.encode(parts[at:end]), strict=True)
-            at = end
+        self.cuts = not any(_INSIDE.search(t.decode("utf-8", "replace")) for t in self.a.bytes + self.b.bytes)
+        self.kinds = tuple(np.dtype("<u2" if len(side.bytes) <= 1 << 16 else "<u4") for side in (self.a, self.b))
+
+    def align(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Ids of both sides and the walk; nothing where the joined bytes of a side aren't a space and the text."""
+        a, b = [], []
+        for part in self._parts(text) if text else ():
+            a += self.a.encode(part)
+            b += self.b.encode(part)
+        steps = None
+        if b"".join(map(self.a.bytes.__getitem__, a)) == f" {text}".encode():
+            steps = self.transducer.walk(a, b)  # which finds out whether B has the same bytes
+        if steps is None:
+            a, b, steps = [], [], b""
+        return np.array(a, self.kinds[0]), np.array(b, self.kinds[1]), steps
 
     def _parts(self, text: str) -> Iterator[str]:
         """A text in pieces without the single space between them, which each side has in front of a piece."""
@@ -194,15 +234,6 @@ class Aligner:
         for k, part in enumerate(pieces(text, cut=_SINGLE_SPACE)):
             yield part[1:] if k else part
 
-    def _one(self, text: str, parts: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int], bytes]:
-        a, b = [i for some, _ in parts for i in some], [i for _, some in parts for i in some]
-        want = f" {text}".encode()
-        if text and all(b"".join(map(side.bytes.__getitem__, ids)) == want for side, ids in ((self.a, a), (self.b, b))):
-            steps = self.transducer.walk(a, b)
-            if steps is not None:
-                return a, b, steps
-        return [], [], b""
-
 
 _ALIGNERS: dict[tuple[bytes, bytes], Aligner] = {}
 
@@ -226,8 +257,8 @@ def _read(path: str) -> bytes:
 def align(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataFrame:
     """Tokens of both sides and the walk over them for docs(doc_id, text, ...).
 
-    Result, a row for each document: row (a number of its own), doc_id, a_ids and b_ids (little-endian uint32),
-    steps (a byte each: OPEN, TAKE_A, TAKE_B), n_a, n_b, n_groups, n_links. Side A reads a space and the text,
+    Result, a row for each document: row (a number of its own), doc_id, a_ids and b_ids (little-endian uint16, or
+    uint32 for vocabularies over 65,536), steps (a byte each: OPEN, TAKE_A, TAKE_B), n_a, n_b, n_groups, n_links. Side A reads a space and the text,
     side B the text (it adds the space). Byte offsets where tokens of both end cut them into groups; a link is
     a pair of tokens that share bytes.
 
@@ -239,33 +270,37 @@ def align(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast((_read(a_path), _read(b_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, row = aligner(*sent.value), TaskContext.get().partitionId() << 33
+        both, row, rows, held = aligner(*sent.value), TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
-            ids, held, size = batch.column(0).to_pylist(), [], 0
-            for k, text in enumerate(batch.column(1)):
-                held.append(text.as_py() or "")
-                size += len(held[-1])
-                if size >= ENCODE_CHARS or k == batch.num_rows - 1:
-                    yield _aligned(row, ids[k + 1 - len(held) : k + 1], both.align(held))
-                    row += len(held)
-                    held, size = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a, b, steps = both.align(text.as_py() or "")
+                n_groups = steps.count(OPEN)
+                rows.append((row, doc_id, a.tobytes(), b.tobytes(), steps, len(a), len(b), n_groups, len(steps) - n_groups))
+                row, held = row + 1, held + len(steps)
+                if held >= BATCH_TOKENS or len(rows) >= BATCH_ROWS:
+                    yield _aligned(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _aligned(rows)
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, ALIGNED_SQL)
 
 
-def _aligned(row: int, ids: list, found: list[tuple[list[int], list[int], bytes]]) -> pa.RecordBatch:
-    n_groups = [steps.count(OPEN) for _, _, steps in found]
-    columns = [
-        range(row, row + len(ids)), ids, [np.array(a, "<u4").tobytes() for a, _, _ in found], [np.array(b, "<u4").tobytes() for _, b, _ in found], [s for _, _, s in found],
-        [len(a) for a, _, _ in found], [len(b) for _, b, _ in found], n_groups, [len(s) - n for (_, _, s), n in zip(found, n_groups, strict=True)],
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ALIGNED.types, strict=True)], schema=ALIGNED)
+def _aligned(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ALIGNED.types, strict=True)], schema=ALIGNED)
 
 
 def _walks(batch: pa.RecordBatch, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of A, ids of B and steps of each row, from the binary columns from `first` on."""
     for k in range(batch.num_rows):
-        a, b, steps = (np.frombuffer(batch.column(first + c)[k].as_buffer(), kind) for c, kind in enumerate(("<u4", "<u4", "u1")))
-        yield a, b, steps
+        a, b, steps = (batch.column(first + c)[k].as_buffer() for c in range(3))
+        steps = np.frombuffer(steps, "u1")
+        n_b = int(np.count_nonzero(steps == TAKE_B))
+        yield _ids(a, len(steps) - n_b), _ids(b, n_b), steps
+
+
+def _ids(data: pa.Buffer, many: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data.size // many}" if many else "<u4")
 
 
 def _document_pairs(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,11 +370,12 @@ def score_links(aligned: DataFrame, counts: DataFrame, hot_pairs: int = HOT_PAIR
 
 
 def group_digests(aligned: DataFrame) -> DataFrame:
-    """row and groups_sha256, the digest of groups_text() in hex, or '' without tokens."""
+    """row and groups_sha256, the digest of GroupTexts in hex, or '' without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = GroupTexts()
         for batch in batches:
-            found = [hashlib.sha256(groups_text(*w).encode()).hexdigest() if len(w[2]) else "" for w in _walks(batch, 1)]
+            found = [hashlib.sha256(text(*w).encode()).hexdigest() if len(w[2]) else "" for w in _walks(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["row", "groups_sha256"])
 
     return aligned.select("row", "a_ids", "b_ids", "steps").mapInArrow(run, "row bigint, groups_sha256 string")

@@ -1,0 +1,111 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from foliospark.llm import importance as im
+from foliospark.llm import queries
+
+from ..conftest import SF
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_features(text, buckets=im.BUCKETS):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = WORDS.findall(lower)
+    return [zlib.crc32(f.encode()) % buckets for f in words + [f"{a} {b}" for a, b in zip(words, words[1:])]]
+
+
+def own_features(texts, buckets=im.BUCKETS):
+    out = [[] for _ in texts]
+    for i, _, found, text in im.features(pa.array(texts, pa.string()), buckets):
+        for f, t in zip(found.tolist(), text.tolist()):
+            out[i + t].append(f)
+    return [sorted(x) for x in out]
+
+
+ODD = ["It's 2 Ways", None, "", "é" * 3, "a-b_c{d}`e`\x7f\x80 f", "x" * 300 + " y " + "z" * 64 + " " + "w" * 65, "İSTANBUL Straße", " ", "one", "ab", "cd"]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 64, 7, 1])
+def test_features_against_words(block, monkeypatch):
+    monkeypatch.setattr(im, "BLOCK_BYTES", block)
+    assert own_features(ODD) == [sorted(plain_features(t)) for t in ODD]
+    assert own_features(ODD[3:][::-1]) == [sorted(plain_features(t)) for t in ODD[3:][::-1]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aZ9 -é日\x00\x7f"), max_size=40)), max_size=8), st.integers(1, 30))
+def test_features_of_any_texts(texts, block):
+    was, im.BLOCK_BYTES = im.BLOCK_BYTES, block
+    try:
+        assert own_features(texts) == [sorted(plain_features(t)) for t in texts]
+    finally:
+        im.BLOCK_BYTES = was
+
+
+def test_slices_of_arrays():
+    array = pa.array(["zz zz", *ODD], pa.string()).slice(1)
+    assert sorted(f for _, _, x, _ in im.features(array) for f in x.tolist()) == sorted(f for t in ODD for f in plain_features(t))
+
+
+def brute(docs, target, percent=25, min_words=20, buckets=im.BUCKETS, seed="7"):
+    s, t = (Counter(f for x in texts for f in plain_features(x, buckets)) for texts in ([x for _, x in docs], target))
+    all_s, all_t = s.total() + buckets, t.total() + buckets
+    rows = []
+    for doc, text in docs:
+        found = plain_features(text, buckets)
+        gain = sum(math.floor(1000 * math.log((t[f] + 1) * all_s / ((s[f] + 1) * all_t))) for f in found)
+        weight = gain // len(found) if found else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        rows.append([doc, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    able = sorted((r for r in rows if (r[1] + 1) // 2 >= min_words), key=lambda r: (-r[3], r[0] is None, r[0]))
+    for k, r in enumerate(able[: percent * len(able) // 100]):
+        r[4] = k + 1
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = queries.op12_importance_resampling(spark, SF)
+    assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, target)
+
+
+def test_query_against_sql(same_rows):
+    same_rows(queries.op12_importance_resampling, queries.oracle_sql()["op12_importance_resampling"])
+
+
+def test_odd_rows(spark):
+    docs = [(i, t) for i, t in enumerate(ODD)] + [(3, "a b " * 10), (3, "a b " * 10), (None, "c d " * 30), (None, "c d " * 30), (50, "a c " * 10), (51, "d " * 20), (52, "d " * 19)]
+    df = spark.createDataFrame([(d, t, 9, t) for d, t in docs], "doc_id bigint, text string, score int, Rank string")
+    target = spark.createDataFrame([("a b a b",), (None,)], "text string")
+    got = im.resample(df, target, percent=60)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, ["a b a b", None], percent=60)
+    kept = im.resample(df, target, percent=60, keep=["text", "score", "Rank"])
+    assert kept.columns == ["doc_id", "n_features", "weight", "score", "rank", "text", "score_", "Rank_"]
+    assert all(r.score_ == 9 and r.text == r.Rank_ for r in kept.collect())
+    assert sorted((tuple(r)[:5] for r in kept.collect()), key=str) == brute(docs, ["a b a b", None], percent=60)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    some = spark.createDataFrame([(1, "a b " * 20)], "doc_id bigint, text string")
+    assert im.resample(none, some).collect() == []
+    assert [tuple(r) for r in im.resample(some, none, percent=100).collect()] == brute([(1, "a b " * 20)], [], percent=100)
+
+
+def test_crc_table():
+    assert int(im.CRC[1]) == 0x77073096 and int(im.CRC[255]) == 0x2D02EF8D
+    data = np.frombuffer(b"hello world", np.uint8)
+    got = im.advance(np.full(2, im.ALL_ONES), data, np.array([0, 6]), np.array([5, 5])) ^ im.ALL_ONES
+    assert got.tolist() == [zlib.crc32(b"hello"), zlib.crc32(b"world")]

@@ -1,0 +1,165 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
+
+from foliospark.llm import queries
+from foliospark.llm import token_alignment as ta
+
+from ..conftest import SF
+
+DOCS = "doc_id bigint, text string, n_a string"
+
+
+class Plain:
+    """Tokens, links and groups byte by byte."""
+
+    def __init__(self):
+        self.a = Tokenizer.from_file(ta.A_PATH)
+        self.a.encode_special_tokens = True
+        self.b = SentencePieceProcessor(model_file=ta.B_PATH)
+        self.letters = {}
+        kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        for b in kept:
+            self.letters[chr(b)] = b
+        for k, b in enumerate(sorted(set(range(256)) - set(kept))):
+            self.letters[chr(256 + k)] = b
+
+    def spans(self, parts):
+        at, out = 0, []
+        for i, raw in parts:
+            out.append((i, at, at + len(raw)))
+            at += len(raw)
+        return out
+
+    def tokens(self, text):
+        if not text:
+            return [], []
+        a = [(i, bytes(self.letters[c] for c in self.a.id_to_token(i))) for i in self.a.encode(" " + text, add_special_tokens=False).ids]
+        b = []
+        for i in self.b.encode(text):
+            piece = self.b.id_to_piece(i)
+            b.append((i, bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()))
+        want = (" " + text).encode()
+        if b"".join(x for _, x in a) != want or b"".join(x for _, x in b) != want:
+            return [], []
+        return self.spans(a), self.spans(b)
+
+    def links(self, a, b):
+        """Whoever owns the same byte."""
+        own_a, own_b = ([k for k, (_, s, e) in enumerate(side) for _ in range(s, e)] for side in (a, b))
+        return [(a[i][0], b[j][0]) for i, j in sorted(set(zip(own_a, own_b, strict=True)))]
+
+    def groups(self, a, b):
+        cuts = {e for *_, e in a} & {e for *_, e in b}
+        sides = []
+        for side in (a, b):
+            sides.append([[]])
+            for i, _, e in side:
+                sides[-1][-1].append(str(i))
+                if e in cuts:
+                    sides[-1].append([])
+        return [(",".join(x), ",".join(y)) for x, y in zip(*sides, strict=True) if x]
+
+    def rows(self, docs):
+        found = [(doc, *self.tokens(text)) for doc, text in docs]
+        linked = [self.links(a, b) for _, a, b in found]
+        counts = Counter(p for some in linked for p in set(some))
+        most = defaultdict(int)
+        for (i, _), n in counts.items():
+            most[i] = max(most[i], n)
+        out = []
+        for (doc, a, b), some in zip(found, linked):
+            groups = self.groups(a, b)
+            text = ";".join("|".join(g) for g in groups)
+            out.append((doc, len(a), len(b), len(groups), len(some), sum(counts[p] == most[p[0]] for p in some), sum(counts[p] for p in some), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+        return sorted(out, key=str)
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return Plain()
+
+
+@pytest.fixture(scope="module")
+def both():
+    return ta.Aligner(open(ta.A_PATH, "rb").read(), open(ta.B_PATH, "rb").read())
+
+
+def read_rows(df):
+    return sorted((tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in df.collect()), key=str)
+
+
+def result(docs, **options):
+    aligned, _, scores = ta.alignment(docs, **options)
+    return aligned.join(scores, "row").join(ta.group_digests(aligned), "row")
+
+
+ODD = ["Hello world", None, "", " ", "  two  spaces\n\n\ttab ", "naïve café 日本語 😀👩‍👩‍👧", "a<|endoftext|>b <s> </s> <unk> <0x41>", "with ▁ sign", "x" * 500, "\x00\x01\x7f\x85", "don't can't won't 12345678", "é Å ﬁ"]
+
+
+@pytest.mark.parametrize("hot", [ta.HOT_PAIRS, 5, 0])
+def test_odd_texts_byte_by_byte(spark, plain, hot):
+    docs = [(i, t) for i, t in enumerate(ODD)] + [(0, "Hello world"), (None, "Hello there"), (7, "world world")]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in docs], DOCS)
+    assert read_rows(result(df, hot_pairs=hot)) == plain.rows(docs)
+
+
+def test_empty_table(spark):
+    assert read_rows(result(spark.createDataFrame([], DOCS))) == []
+    assert read_rows(result(spark.createDataFrame([(1, None, None)], DOCS))) == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text(both, plain, text):
+    a, b = plain.tokens(text)
+    own_a, own_b, steps = both.align(text)
+    assert own_a.tolist() == [i for i, *_ in a] and own_b.tolist() == [i for i, *_ in b]
+    walk = own_a, own_b, np.frombuffer(steps, "u1")
+    assert sorted(zip(*map(np.ndarray.tolist, ta.links(*walk)))) == sorted(plain.links(a, b))
+    assert ta.GroupTexts()(*walk) == ";".join("|".join(g) for g in plain.groups(a, b))
+
+
+def test_long_texts_in_pieces(both, plain, monkeypatch):
+    text = "Some words, and  more\nof them; don't stop 12 34. " * 40
+    whole = both.align(text)
+    assert both.cuts and whole[0].tolist() == [i for i, *_ in plain.tokens(text)[0]]
+    monkeypatch.setattr(ta, "pieces", lambda t, cut: __import__("foliospark.llm.common", fromlist=["pieces"]).pieces(t, 50, cut))
+    again = both.align(text)
+    assert again[0].tolist() == whole[0].tolist() and again[1].tolist() == whole[1].tolist() and again[2] == whole[2]
+
+
+def test_long_words(both, plain):
+    for text in ("x" * 200_000, " " * 50_000, "ab" * 100_000, "日" * 50_000, "1" * 50_000):
+        a, b = plain.tokens(text)
+        assert [x.tolist() for x in both.align(text)[:2]] == [[i for i, *_ in side] for side in (a, b)]
+
+
+@given(st.lists(st.sampled_from([b"a", b"b", b"ab", b"ba", b"aab"]), max_size=12), st.data())
+def test_walks_of_the_transducer(tokens, data):
+    """The same bytes cut another way, with few states kept."""
+    vocabulary = [b"a", b"b", b"ab", b"ba", b"aab", b"bb"]
+    joined, other = b"".join(tokens), []
+    at = 0
+    while at < len(joined):
+        token = data.draw(st.sampled_from([v for v in vocabulary if joined.startswith(v, at)]))
+        other.append(token)
+        at += len(token)
+    t = ta.Transducer(vocabulary, vocabulary)
+    a, b = ([vocabulary.index(x) for x in side] for side in (tokens, other))
+    steps = t.walk(a, b)
+    ends = [set(np.cumsum([len(x) for x in side]).tolist()) for side in (tokens, other)]
+    assert steps is not None and steps.count(ta.OPEN) == len(ends[0] & ends[1]) and len(steps) == len(a) + len(b)
+    assert t.walk(a + [0], b) is None and t.walk(a, b + [1]) is None
+    assert t.walk(a + [0], b + [1]) is None
+
+
+def test_query_byte_by_byte(spark, plain):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert read_rows(queries.op13_token_alignment(spark, SF)) == plain.rows(docs)
