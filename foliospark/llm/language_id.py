@@ -18,6 +18,8 @@ from .common import held_out
 TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 3000, 20_000, 48, 1e-2
 #: Rows of each language that are drawn in any case, as far as it has so many; languages at most, those of most rows.
 EACH_LANGUAGE, LANGUAGES = 16, 1000
+#: Landmarks in all; numbers of the matrix that is sent to the executors (n-grams x languages, 4 bytes each); numbers of a batch of presence rows.
+MAX_LANDMARKS, CELLS, BATCH_CELLS = 1024, 1 << 24, 1 << 24
 #: N-grams go by hash to 2**CODE_BITS codes; two that share one count as the same.
 CODE_BITS, _ORDERS = 20, 3
 _CODES = 1 << CODE_BITS
@@ -71,25 +73,43 @@ def present(text: str, letters: Letters, slots: np.ndarray, n_slots: int) -> tup
 class Model:
     languages: list[str]
     letters: Letters
-    slots: np.ndarray  # n-gram code -> column of the landmarks' n-grams
+    slots: np.ndarray  # n-gram code -> row of folded
     n_slots: int
-    landmarks: np.ndarray  # normalised presence of each n-gram in each landmark: slots x landmarks
-    weights: np.ndarray  # landmarks x languages
+    folded: np.ndarray  # landmarks' normalised presence times weights: slots x languages, CELLS numbers at most
 
     def scores(self, presence: np.ndarray) -> np.ndarray:
         """Batch of presence rows -> a value for each language: kernel rows against the landmarks, then the ridge weights. K W = (P L) W is taken as P (L W), one matrix product for a batch."""
-        if not hasattr(self, "_folded"):
-            self._folded = (self.landmarks @ self.weights).astype(np.float32)
         p = presence.astype(np.float32)
         size = np.sqrt(np.maximum(1, p.sum(1, keepdims=True)))
-        return (p @ self._folded) / size
+        return (p @ self.folded) / size
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Kernel k(x, y) = |shared n-grams of 1 to 3 characters| / sqrt(|x| |y|), over n-grams that a landmark has, of all letters there are. Landmarks: the first texts of each language. Weights: the Nyström form of ridge regression on targets 1 (the language) and -1, (K'K + ridge n Kmm) w = K'y. None without a text."""
+def slots_of(marks: list[np.ndarray], langs: list[str], cells: int) -> np.ndarray:
+    """The codes that are counted: all that a landmark has, or of each language the same number, those that most of its landmarks have, so that codes times languages stay within `cells`. marks: codes of each landmark."""
+    every = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
+    every = every[every > 0]  # 0 has no letter
+    names = sorted(set(langs))
+    most = max(len(names), cells // max(1, len(names)))
+    if len(every) <= most:
+        return every
+    chosen = []
+    for name in names:
+        codes, n = np.unique(np.concatenate([m for m, lang in zip(marks, langs, strict=True) if lang == name]), return_counts=True)
+        n[codes == 0] = 0
+        chosen.append(codes[np.lexsort((codes, -n))][: most // len(names)])
+    return np.setdiff1d(np.concatenate(chosen), [0])
+
+
+def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, cells: int = CELLS) -> Model | None:
+    """Kernel k(x, y) = |shared n-grams of 1 to 3 characters| / sqrt(|x| |y|), over n-grams that a landmark has, of all letters there are (see slots_of). Landmarks: the first texts of each language, MAX_LANDMARKS in all, or one of each language. Weights: the Nyström form of ridge regression on targets 1 (the language) and -1, (K'K + ridge n Kmm) w = K'y. None without a text.
+
+    Presence rows are made in batches and kept as bits only of landmarks, so memory doesn't grow with
+    n-grams times texts: the matrices are texts x landmarks, landmarks x n-grams (in bytes) and n-grams x languages.
+    """
     if not texts:
         return None
     languages = sorted(set(langs))
+    landmarks = max(1, min(landmarks, MAX_LANDMARKS // len(languages)))
     letters = Letters()
     every = np.arange(_CODES)
     took: Counter[str] = Counter()
@@ -98,21 +118,26 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
         if took[lang] < landmarks:
             took[lang] += 1
             chosen.append(i)
-    has = np.zeros(_CODES, bool)
-    for i in chosen:
-        has |= present(texts[i], letters, every, _CODES)[0]
-    has[0] = False  # without a letter
-    n_slots = int(has.sum())
+    codes = slots_of([np.flatnonzero(present(texts[i], letters, every, _CODES)[0]) for i in chosen], [langs[i] for i in chosen], cells)
+    n_slots = len(codes)
     slots = np.full(_CODES, n_slots, np.int32)
-    slots[has] = np.arange(n_slots)
-    x = np.stack([present(t, letters, slots, n_slots)[0] for t in texts]).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
-    marks = x[chosen].T
-    k, y = x @ marks, np.where(np.array(langs)[:, None] == np.array(languages), 1.0, -1.0)
-    kmm = k[chosen].astype(np.float64)
-    k = k.astype(np.float64)
+    slots[codes] = np.arange(n_slots)
+    marks = np.stack([present(texts[i], letters, slots, n_slots)[0] for i in chosen])
+    norm = 1 / np.sqrt(np.maximum(1, marks.sum(1, dtype=np.float32)))
+    step = max(1, BATCH_CELLS // max(1, n_slots))
+    k = np.empty((len(texts), len(chosen)))
+    for at in range(0, len(texts), step):
+        x = np.stack([present(t, letters, slots, n_slots)[0] for t in texts[at : at + step]]).astype(np.float32)
+        x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+        for j in range(0, len(chosen), step):
+            k[at : at + step, j : j + step] = x @ (marks[j : j + step].T * norm[j : j + step])
+    y = np.where(np.array(langs)[:, None] == np.array(languages), 1.0, -1.0)
+    kmm = k[chosen]
     weights = np.linalg.solve(k.T @ k + ridge * len(texts) * kmm / len(chosen) + 1e-6 * np.eye(len(chosen)), k.T @ y)
-    return Model(languages, letters, slots, n_slots, marks, weights)
+    folded = np.zeros((n_slots, len(languages)), np.float32)
+    for j in range(0, len(chosen), step):
+        folded += (marks[j : j + step].T * norm[j : j + step]) @ weights[j : j + step].astype(np.float32)
+    return Model(languages, letters, slots, n_slots, folded)
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:

@@ -32,6 +32,8 @@ WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: The signature and the whole IHDR chunk: what a header-only read fetches.
 HEADER_BYTES = 33
+#: Payload bytes that one task reads, about.
+READ_BYTES = 256 << 20
 
 PLACES = "doc_id bigint, n_bytes bigint, digest binary, shard string, offset bigint, length bigint"
 #: Digests are bytes until the result, so that shuffles carry half of their hex digits.
@@ -177,9 +179,11 @@ def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
 
 
 def _sorted_places(places: DataFrame, *more: str) -> DataFrame:
+    """Places by shard and offset, in as many parts as the payloads behind them (not the rows, which are small) make of READ_BYTES."""
     one = places.select("digest", "shard", "offset", "length", *more)
     one = one if more else one.distinct()
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = places.agg(F.sum("length")).first()[0] or 0
+    n = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
     return one.repartition(n, "shard", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("shard", "offset")
 
 

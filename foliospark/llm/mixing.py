@@ -76,7 +76,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     copies = counted.filter(F.col(count) > 0).select(*names, ident.alias(name), F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy_no"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name), F.lit(":"), F.col("copy_no").cast("string")))
     keyed = copies.withColumn("mix_key", key).select(*names, "copy_no", "mix_key")
-    return keyed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mix_key").sortWithinPartitions("mix_key")
+    # adaptive execution gives the parts their size, by joining small ones and splitting large ones
+    return keyed.hint("rebalance", "mix_key").sortWithinPartitions("mix_key")
 
 
 def mixing_sql(epochs: float = 1.0, seed: int = 17) -> str:

@@ -239,12 +239,11 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, min_similarity: float) ->
     The members of one head are dealt to blocks by hash; each block gets the head's text once, ahead of
     its members, so a text with any number of partners fills no task.
     """
-    spark = pairs.sparkSession
     heads = materialise(pairs.groupBy("head").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "heads")
     placed = join_counted(pairs, heads, "head", "members").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.select("head", "block", "node").unionByName(heads.select("head", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.col("head").alias("node")))
     rows = wanted.hint("merge").join(texts, "node").select("head", "block", "node", "text")
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "head", "block").sortWithinPartitions("head", "block", F.col("node") != F.col("head"))
+    rows = rows.repartition("head", "block").sortWithinPartitions("head", "block", F.col("node") != F.col("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, of, ours = WordHashes(), None, None

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -125,7 +126,7 @@ def test_quality_edges(spark):
     assert q.keep_good(docs, none).columns == docs.columns
 
 
-def test_kernel_scores_against_sets():
+def test_kernel_scores_against_sets(monkeypatch):
     texts = ["the cat sat", "le chat dort", "die katze schläft", "the dog ran", "le chien court", "der hund lief"]
     langs = ["en", "fr", "de"] * 2
     m = li.fit(texts, langs, landmarks=2)
@@ -133,9 +134,12 @@ def test_kernel_scores_against_sets():
     used = set().union(*map(grams, texts)) - {" ", "  ", "   "}
     want = np.array([[len(grams(a) & grams(b) & used) / np.sqrt(len(grams(a) & used) * len(grams(b) & used)) for b in texts] for a in texts])
     p = np.stack([li.present(t, m.letters, m.slots, m.n_slots)[0] for t in texts])
-    x = p / np.sqrt(p.sum(1, keepdims=True))
-    assert np.allclose(x @ m.landmarks, want, atol=1e-6)
-    assert np.allclose(m.scores(p), want @ m.weights, atol=1e-4)
+    y = np.where(np.array(langs)[:, None] == np.array(sorted(set(langs))), 1.0, -1.0)
+    weights = np.linalg.solve(want.T @ want + li.RIDGE * want + 1e-6 * np.eye(len(texts)), want.T @ y)
+    assert np.allclose(m.scores(p), want @ weights, atol=1e-3)
+    for size in (1, 50, 1000):  # in batches of one row, and of a few
+        monkeypatch.setattr(li, "BATCH_CELLS", size)
+        assert np.allclose(li.fit(texts, langs, landmarks=2).folded, m.folded, atol=1e-5)
 
 
 def test_long_text_is_read_in_steps(monkeypatch):
@@ -153,6 +157,28 @@ def test_languages_held_out(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if r.held_out]) > 0.97
 
 
+def test_many_languages_in_bounded_memory():
+    """200 languages of 30 letters of their own each: what is sent stays within CELLS, and each is told from the others."""
+    rng = random.Random(9)
+
+    def say(no):
+        return "".join(rng.choice([chr(0x4E00 + no * 30 + i) for i in range(30)] + [" "]) for _ in range(400))
+
+    train = [(say(no), f"l{no:03d}") for no in range(200) for _ in range(8)]
+    m = li.fit([t for t, _ in train], [k for _, k in train])
+    assert m.folded.size <= li.CELLS and len(pickle.dumps(m)) < 4 * li.CELLS + (8 << 20)
+    tests = [(say(no), f"l{no:03d}") for no in range(200)]
+    scores = m.scores(np.stack([li.present(t, m.letters, m.slots, m.n_slots)[0] for t, _ in tests]))
+    assert [m.languages[i] for i in scores.argmax(1)] == [k for _, k in tests]
+
+
+def test_slots_are_shared_out_by_language():
+    marks = [np.array([0, 1, 2, 3]), np.array([2, 3, 4]), np.array([3, 9, 10, 11, 12])]
+    assert li.slots_of(marks, ["a", "a", "b"], 1000).tolist() == [1, 2, 3, 4, 9, 10, 11, 12]
+    assert li.slots_of(marks, ["a", "a", "b"], 8).tolist() == [2, 3, 9]  # two of each language: those that most of its landmarks have, then the smallest
+    assert li.slots_of([], [], 8).tolist() == []
+
+
 def test_every_letter_has_its_own_grams():
     """Scripts with more letters than any small alphabet, that share all but their order."""
     rng = random.Random(4)
