@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ContentError
 from ..operators import content, formula_audit, render, table_rounds, tasks, translate
+from ..session import materialise
 from ..sources import content as sources
 from ..sources import sinks
 
@@ -54,10 +55,24 @@ def _none(bad: DataFrame, what: str) -> None:
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
-    sinks.write_stage(df, path)
+    sinks.write_stage(df, path, by_document=True)
     return sinks.read_stage(df.sparkSession, path)
 
 
+def _replacing(docs: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """As _stored, for rows of docs(doc_id) that take the place of those that the table has of them; gives back these rows alone. A table that isn't there is begun."""
+
+    def put(df: DataFrame, path: str) -> DataFrame:
+        new = materialise(df, "update")
+        if sinks.read_stage(df.sparkSession, path) is None:
+            sinks.write_stage(new, path, by_document=True)
+        else:
+            sinks.replace_documents(new, docs, path)
+        return new
+
+    return put
+
+
 def _there(spark: SparkSession, path: str) -> DataFrame:
     found = sinks.read_stage(spark, path)
     if found is None:
@@ -84,15 +99,15 @@ def write_audit(items: DataFrame, source: str, target: str, services: Services)
     return _stored(formula_audit.audit(formula_audit.scan_items(items), services.validator), target)
 
 
-def normalise(items: DataFrame, out: str, log: StageLog) -> DataFrame:
+def normalise(items: DataFrame, out: str, log: StageLog, put: Callable[[DataFrame, str], DataFrame] = _stored) -> DataFrame:
     """Cleaned and merged items; candidates are checked before they are used, and kept."""
     with log.stage("clean"):
-        cleaned = _stored(content.clean(items), f"{out}/cleaned")
+        cleaned = put(content.clean(items), f"{out}/cleaned")
     with log.stage("cross_page"):
-        found = _stored(content.cross_page_candidates(cleaned), f"{out}/cross_page_candidates")
+        found = put(content.cross_page_candidates(cleaned), f"{out}/cross_page_candidates")
     with log.stage("merge"):
         _none(content.candidate_errors(cleaned, found), "a candidate cannot be merged")
-        return _stored(content.merge_cross_pages(cleaned, found), f"{out}/normalized")
+        return put(content.merge_cross_pages(cleaned, found), f"{out}/normalized")
 
 
 def _translate(states: DataFrame, auxiliary: DataFrame, out: str, services: Services) -> DataFrame:
@@ -102,19 +117,17 @@ def _translate(states: DataFrame, auxiliary: DataFrame, out: str, services: Serv
     done = translate.run_units(units.filter("kind <> 'table'"), *how).unionByName(table_rounds.run_tables(units, open_tables, *how))
     sinks.append_outcomes(done.withColumn("written_at", F.current_timestamp()), f"{out}/outcomes")
     sinks.remove(states.sparkSession, open_tables)
-    outcomes = states.sparkSession.read.parquet(f"{out}/outcomes")
-    keys = ["doc_id", "kind", "item_index", "field", "pos"]
-    newest = outcomes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in outcomes.columns if c not in keys]), "written_at").alias("x")).select(*keys, "x.*")
-    done = translate.apply_outcomes(states, newest)
-    _none(translate.left_pending(done), "work was left undone")
+    own = states.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    newest = sinks.newest_outcomes(sinks.read_outcomes(states.sparkSession, f"{out}/outcomes").join(own, "doc_id", "left_semi"))
+    _none(translate.left_pending(translate.apply_outcomes(states, newest)), "work was left undone")
     return newest
 
 
-def _render(outcomes: DataFrame, records: DataFrame, out: str, states: DataFrame) -> DataFrame:
-    done = _stored(translate.apply_outcomes(states, outcomes), f"{out}/translated")
+def _render(outcomes: DataFrame, records: DataFrame, out: str, states: DataFrame, put: Callable[[DataFrame, str], DataFrame] = _stored) -> DataFrame:
+    done = put(translate.apply_outcomes(states, outcomes), f"{out}/translated")
     fixed = formula_audit.replacement_lists(formula_audit.accepted_replacements(records))
     aux = outcomes.filter("kind = 'auxiliary' and status = 'success'").select("doc_id", "item_index", "field", "pos", "translated")
-    return _stored(render.render(done, fixed, aux), f"{out}/markdown")
+    return put(render.render(done, fixed, aux), f"{out}/markdown")
 
 
 def process(members: DataFrame, out: str, services: Services | None = None, log: StageLog | None = None) -> DataFrame:
@@ -124,18 +137,35 @@ def process(members: DataFrame, out: str, services: Services | None = None, log:
         items = _stored(sources.archive_items(members), f"{out}/content")
     with log.stage("audit"):
         records = ensure_audit(items, out, services)
-    normalized = normalise(items, out, log)
+    return _finish(items, records, out, services, log, _stored)
+
+
+def _finish(items: DataFrame, records: DataFrame, out: str, services: Services, log: StageLog, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    normalized = normalise(items, out, log, put)
     with log.stage("translate"):
         states = translate.new_states(normalized)
         outcomes = _translate(states, translate.auxiliary_units(normalized), out, services)
     with log.stage("render"):
-        return _render(outcomes, records, out, states)
+        return _render(outcomes, records, out, states, put)
+
+
+def update(members: DataFrame, out: str, services: Services | None = None, log: StageLog | None = None) -> DataFrame:
+    """doc_id, markdown of the documents of these archives alone, new or changed ones, after a run at out. Their rows are replaced or added in every table there, audit and checkpoints too; of the other documents nothing is read or written but what shares a bucket with one of them."""
+    services, log = services or Services(), log or StageLog()
+    docs = materialise(members.select("doc_id").distinct(), "documents")
+    put = _replacing(docs)
+    with log.stage("extract"):
+        items = put(sources.archive_items(members), f"{out}/content")
+    with log.stage("audit"):
+        records = put(formula_audit.audit(formula_audit.scan_items(items), services.validator), f"{out}/formula_audit")
+    return _finish(items, records, out, services, log, put)
 
 
 def resume(spark: SparkSession, out: str, services: Services | None = None, log: StageLog | None = None) -> DataFrame:
     """doc_id, markdown from the normalized items below out, translating only what hasn't succeeded. A checkpoint that doesn't fit the items is an error and stays as it is."""
     services, log = services or Services(), log or StageLog()
     normalized = _there(spark, f"{out}/normalized")
+    sinks.compact_appended(spark, f"{out}/outcomes")
     with log.stage("audit"):
         records = ensure_audit(_there(spark, f"{out}/content"), out, services)
     with log.stage("translate"):

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markdown import markdown_table
-from ..functions.text import kind_of, member, non_blank, per_value, strict_int, strict_string, trim_any
+from ..functions.text import kind_of, member, non_blank, strict_int, strict_string, trim_any
 
 # The caption and footnote fields of the types that have them.
 AUXILIARY = {"table": ("table_caption", "table_footnote"), "image": ("image_caption", "image_footnote"), "chart": ("chart_caption", "chart_footnote")}
 LIST_SUFFIX, STRUCTURED, MIDDLE = "_content_list.json", "structured_content.json", "middle_json.json"
+#: Bytes of members in one batch of results, about; a greater member is a batch of its own.
+BATCH_BYTES = 8 << 20
 GENERATED = ("cleaned_content_list.json", "normalized_content_list.json", "translated_content_list.json")
 
 
@@ -26,21 +28,26 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), "value")
 
 
-def _elements(value: str) -> list[str]:
-    got = json.loads(value)
-    if not isinstance(got, list):
-        raise ValueError("a content list must be a JSON array")
-    return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in got]
-
-
-#: JSON array -> its elements as JSON, keys in their order.
-json_elements = per_value(_elements, "array<string>")
-
-
 def parse_items(lists: DataFrame, objects_only: bool = False) -> DataFrame:
-    """Items of lists(doc_id, value): a row for each element of the JSON array, in the typed columns of typed_items. Fails if value is no array, or (objects_only) an element no object."""
-    rows = lists.select("doc_id", F.posexplode(json_elements("value")).alias("item_index", "item_json"))
-    rows = rows.withColumns({"item_index": F.col("item_index").cast("bigint"), "item": F.parse_json("item_json")})
+    """Items of lists(doc_id, value): a row for each element of the JSON array, in the typed columns of typed_items. Fails if value is no JSON array, or (objects_only) an element no object.
+
+    The array is parsed by built-in functions: as VARIANT for its members' types, and as an array of texts
+    for item_json, which keeps each element as it is written, order of keys included. Of a key that comes
+    twice the last value counts. Null value: no rows.
+    """
+    lists.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # wrapped, as what follows a JSON value isn't looked at otherwise; what fits both wraps is one value
+    one = F.try_variant_get(F.parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))), "$", "array<variant>")
+    texts = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v array<string>", {"mode": "FAILFAST"})
+    whole = lists.select("doc_id", F.when(F.col("value").isNotNull(), one).alias("one"), texts["v"].alias("texts"))
+    no_array = F.raise_error(F.lit("a content list must be a JSON array"))
+    value = F.get("one", F.lit(0))
+    is_array = (F.size("one") == 1) & (kind_of(value) == "array")
+    elements = F.when(F.col("one").isNotNull(), F.coalesce(F.when(is_array, F.try_variant_get(value, "$", "array<variant>")), no_array.cast("array<variant>")))
+    rows = whole.select("doc_id", "texts", F.posexplode(elements).alias("item_index", "item"))
+    # an element that is a text comes without its quotes, null without a text
+    as_written = F.when(kind_of(F.col("item")) == "string", F.to_json("item")).otherwise(F.get("texts", F.col("item_index")))
+    rows = rows.select("doc_id", F.col("item_index").cast("bigint").alias("item_index"), F.coalesce(as_written, F.lit("null")).alias("item_json"), "item")
     if objects_only:
         bad = F.raise_error(F.concat(F.lit("element "), F.col("item_index").cast("string"), F.lit(" is no object")))
         rows = rows.withColumn("item", F.when(kind_of(F.col("item")) == "object", F.col("item")).otherwise(bad.cast("variant")))
@@ -166,41 +173,82 @@ class ArchiveError(ValueError):
     """An archive whose members can't be taken out safely."""
 
 
-def archive_members(data: bytes, reserved: tuple[str, ...] = ()) -> list[tuple[str, bytes]]:
-    """(path, content) of the files of a ZIP in its order. Backslashes become slashes; absolute paths, drive letters, parent folders and reserved names are errors."""
-    out = []
+def archive_members(data: bytes | BinaryIO, reserved: tuple[str, ...] = ()) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of the files of a ZIP in its order, one at a time. data: its bytes, or an open file that can be sought. Backslashes become slashes; absolute paths, drive letters, parent folders and reserved names are errors, found before the first file is given."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist():
-                path = info.filename.replace("\\", "/")
-                parts = [p for p in path.split("/") if p not in ("", ".")]
-                if path.startswith("/") or ".." in parts or re.match("[A-Za-z]:", path):
-                    raise ArchiveError(f"unsafe path: {info.filename}")
-                clean = "/".join(parts)
-                if clean in reserved or parts and parts[0] in reserved:
-                    raise ArchiveError(f"reserved path: {clean}")
-                if not info.is_dir():
-                    out.append((clean, z.read(info)))
+        archive = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
     except zipfile.BadZipFile as e:
         raise ArchiveError("not a ZIP archive") from e
-    return out
+    files = []
+    for info in archive.infolist():
+        path = info.filename.replace("\\", "/")
+        parts = [p for p in path.split("/") if p not in ("", ".")]
+        if path.startswith("/") or ".." in parts or re.match("[A-Za-z]:", path):
+            raise ArchiveError(f"unsafe path: {info.filename}")
+        clean = "/".join(parts)
+        if clean in reserved or parts and parts[0] in reserved:
+            raise ArchiveError(f"reserved path: {clean}")
+        if not info.is_dir():
+            files.append((clean, info))
+
+    def contents() -> Iterator[tuple[str, bytes]]:
+        with archive:
+            for path, info in files:
+                try:
+                    yield path, archive.read(info)
+                except zipfile.BadZipFile as e:
+                    raise ArchiveError(f"damaged: {path}") from e
+
+    return contents()
+
+
+def _member_rows(archives: Iterator[tuple[str, bytes | BinaryIO]], reserved: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Members as they are read; a batch ends at BATCH_BYTES, so it holds one member or a few small ones."""
+    held, size = [], 0
+    for doc_id, data in archives:
+        for no, (path, content) in enumerate(archive_members(data, reserved)):
+            held.append((doc_id, no, path, content))
+            size += len(content)
+            if size >= BATCH_BYTES:
+                yield _member_batch(held)
+                held, size = [], 0
+    if held:
+        yield _member_batch(held)
+
+
+def _member_batch(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["doc_id", "member_no", "path", "content"])
+
+
+_MEMBERS = "doc_id string, member_no int, path string, content binary"
 
 
 def unzip(archives: DataFrame, reserved: tuple[str, ...] = ()) -> DataFrame:
-    """archives(doc_id, content) as doc_id, member_no, path, content: a row for each file."""
+    """archives(doc_id, content) as doc_id, member_no, path, content: a row for each file. Members leave a task one by one; the archives themselves are cells, so large ones are better read by read_archives. Null content: an error, as empty content is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = archive_members(data.as_py() or b"", reserved)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([p for p, _ in rows]), pa.array([c for _, c in rows], pa.binary())], ["doc_id", "member_no", "path", "content"])
+            yield from _member_rows(((d, c.as_py() or b"") for d, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)), reserved)
 
-    return archives.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, "doc_id string, member_no int, path string, content binary")
+    return archives.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, _MEMBERS)
 
 
 def read_archives(spark: SparkSession, path: str, reserved: tuple[str, ...] = ()) -> DataFrame:
-    return unzip(spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content"), reserved)
+    """The members of the archives that path names, as unzip gives them; doc_id is the archive's path. Spark lists the files; a task opens each where it lies and reads one member after the other, so an archive may be larger than a worker's memory. The file system has to be one that pyarrow reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        def opened(paths: list[str]) -> Iterator[tuple[str, BinaryIO]]:
+            for name in paths:
+                fs, inside = FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with fs.open_input_file(inside) as f:
+                    yield name, f
+
+        for batch in batches:
+            yield from _member_rows(opened(batch.column(0).to_pylist()), reserved)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, _MEMBERS)
 
 
 def resolve_lists(members: DataFrame) -> DataFrame:
