@@ -159,6 +159,22 @@ def test_media_query(spark):
         assert r.feature == f"64x{len(data) // 64}x8;mean={mean:.4f};std={std:.4f};zero={data.count(0) / len(data):.4f}"
 
 
+def test_the_sweep_opens_and_closes_rules(spark):
+    """Nested and neighbouring intervals, keys that only look alike, the greatest sign there is, several groups."""
+    rng = random.Random(3)
+    alphabet = ["a", "b", "\U0010ffff", "\uffff", "é", "/", "\x00"]
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+    rules = {(g, word(4)) for g in range(3) for _ in range(60)}
+    keys = [(rng.randrange(4), word(7), k) for k in range(1500)]
+    r = spark.createDataFrame([(g, k, (len(k), k)) for g, k in rules], "g int, key string, entry struct<n:int,rule:string>")
+    got = url_rules.sweep(r, spark.createDataFrame(keys, "g int, key string, no int"), ["g"]).collect()
+    assert len(got) == len(keys)
+    for row in got:
+        fits = [k for g, k in rules if g == row.g and row.key.startswith(k)]
+        assert (row.top.rule if row.top else None) == max(fits, key=len, default=None), row
+    assert sorted((x.g, x.key, x.no) for x in got) == sorted(keys)
+
+
 # -- html
 
 
