@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm.common import materialise
 from foliospark.llm.decontamination import remove_leaks
 from foliospark.llm.mixing import mix_sources
 from foliospark.llm.near_dedup import keep_one_each
 from foliospark.llm.quality import keep_good
 from foliospark.llm.token_packing import pack_documents
+from foliospark.session import fresh_path, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is a table in the shared folder before the next reads it."""
+    """All stages over documents; each but the last is a table in the shared folder before the next reads it, and what it stored on the way is removed then. Runs all of them but the last while the query is built."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -177,6 +177,7 @@ def text_groups(formula: str) -> list[tuple[int, int]]:
     return out
 
 
+# Fixed value: the operator that stands for letters in a text.
 _MAX = re.compile(r"\\max(?![A-Za-z])")
 max_in_text = per_value(lambda f: [m.group() for s, e in text_groups(f) for m in _MAX.finditer(f[s:e])], "array<string>")
 

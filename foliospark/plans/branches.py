@@ -81,6 +81,14 @@ def q_audit_report_errors(spark, sf):
     return found.unionByName(formula_audit.report_errors(rows, odd.unionByName(more)).select(F.col("doc_id").cast("string").alias("doc_id"), "error"))
 
 
+@query(f"""with {FORMULA_SQL} select doc_id::varchar doc_id, count(*) n, 'formula_id given twice' error from v5, (select unnest([1, 2])) where item_index % 4 = 0 group by 1""")
+def q_repeated_formula_ids(spark, sf):
+    """Records of every fourth item come twice."""
+    records = formula_audit.audit(formula_audit.scan_items(views.formula_texts(spark, sf)))
+    found = formula_audit.record_errors(records.unionByName(records.filter("item_index % 4 = 0")))
+    return found.groupBy(F.col("doc_id").cast("string").alias("doc_id"), "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- translators that fail
 
 
@@ -193,6 +201,25 @@ def q_stats_text(spark, sf):
     return stats_text(_counters(spark, sf))
 
 
+@query(f"""with {COUNTERS_SQL}
+select d.doc_id::varchar doc_id, coalesce(t.n, 0) text_count, coalesce(t.n, 0) success_count, 0::bigint failed_count, coalesce(t.good, 0) skipped_success_count, coalesce(t.n - t.good, 0) text_model_call_count,
+  coalesce(tables, 0) table_count, coalesce(k.good, 0) table_success_count, coalesce(k.failed, 0) table_failed_count, coalesce(k.skipped, 0) table_skipped_count, coalesce(k.good, 0) skipped_table_success_count, 0::bigint table_model_call_count
+from d left join t using (doc_id) left join k using (doc_id)""")
+def q_resume_counters(spark, sf):
+    """A second run after the moody one, with a translator that answers always: what succeeded is skipped, partial tables too; broken tables fail again without a call."""
+    states, _, outcomes = _outcomes(spark, sf, True)
+    items = states.drop("translation_status", "translated_text", "translated_table_body", "translation_error")
+    again = translate.resume_states(items.withColumn("doc_id", F.col("doc_id").cast("string")), translate.apply_outcomes(states, outcomes))
+    path = f"{shared_dir(spark)}/foliospark/resumed-{uuid.uuid4().hex}"
+    translate.run_units(translate.work_units(again), translate.UppercaseTranslator()).write.parquet(path)
+    second = spark.read.parquet(path)
+    stats = translate.translation_stats(translate.apply_outcomes(again, second), second)
+    return stats.select(
+        "doc_id", "text_count", "success_count", "failed_count", "skipped_success_count", "text_model_call_count",
+        "table_count", "table_success_count", "table_failed_count", "table_skipped_count", "skipped_table_success_count", "table_model_call_count",
+    )
+
+
 class Picky(Moody):
     """As Moody; and of tables whose number is 2 modulo 4, the cell with the price never comes back."""
 

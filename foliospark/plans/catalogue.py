@@ -57,12 +57,18 @@ def q_cross_page_candidates(spark, sf):
     return content.cross_page_candidates(content.clean(views.blocks(spark, sf))).drop("reason")
 
 
-@query("""
-select conv_id doc_id, previous_index, next_index from (
-  select conv_id, turn previous_index, lead(turn) over w next_index, role, text, lead(role) over w next_role from conversations where trim(text, E' \\n\\t') <> '' window w as (partition by conv_id order by turn))
-where role <> 'system' and next_role <> 'system' and next_index = previous_index + 1 and not regexp_matches(rtrim(text, E' \\n\\t'), '[.!?:;]$')""")
+@query("select c_custkey doc_id, c_custkey % 9 in (0, 8) joined from customer")
 def q_cross_page_negative(spark, sf):
-    return content.cross_page_candidates(views.turns(spark, sf)).select("doc_id", "previous_index", "next_index")
+    """Two items of each customer that look like one paragraph (0; 8 ends in a comma), or miss one condition each: 1 ends a sentence, 2 and 3 aren't on consecutive pages, 4 is no text, 5 and 6 have a level, 7 is blank."""
+    c = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 9).alias("k"))
+    k, first, second = F.col("k"), F.col("item_index") == 0, F.col("item_index") == 1
+    text = F.when(first & (k == 1), F.concat("name", F.lit(" ends. "))).when(first & (k == 8), F.concat("name", F.lit(" goes on, "))).when(second & (k == 7), " \n").otherwise(F.concat("name", F.lit(" goes")))
+    items = c.withColumn("item_index", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "doc_id", "item_index", F.when(second & (k == 4), "list").otherwise("text").alias("type"), text.alias("text"),
+        ((first & (k == 5)) | (second & (k == 6))).alias("has_text_level"), F.when(first, 3).when(k == 2, 3).when(k == 3, 5).otherwise(4).alias("page_idx"),
+    )
+    found = content.cross_page_candidates(items).select("doc_id", F.lit(True).alias("found"))
+    return c.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("joined"))
 
 
 @query(f"with {EDGES_SQL} select doc_id, chain, count(*) length from chained group by 1, 2")
@@ -152,7 +158,7 @@ def q_formula_spans(spark, sf):
 
 @query()
 def q_formula_spans_noise(spark, sf):
-    rows = spread(views.table(spark, sf, "documents").select("doc_id", "text").filter(F.contains("text", F.lit("$"))))
+    rows = spread(views.table(spark, sf, "documents").select("doc_id", "text").filter(F.contains("text", F.lit("$")) | F.contains("text", F.lit("\\"))))
     return rows.select("doc_id", F.explode(formulas.formula_spans("text")).alias("s")).select("doc_id", "s.start", "s.end", "s.is_block", "s.raw_formula")
 
 

@@ -72,12 +72,6 @@ heads as (select *, not lag(joins, 1, false) over (partition by doc_id order by
 chained as (select *, last_value(case when head then idx end ignore nulls) over (partition by doc_id order by idx) chain from heads)"""
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: conversations as items, a page a turn."""
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("item_index"), F.when(F.col("role") == "system", "header").otherwise("text").alias("type"), "text", F.lit("string").alias("text_kind"), F.lit(None).cast("bigint").alias("text_level"), F.lit(False).alias("has_text_level"), F.col("turn").alias("page_idx")).filter(non_blank(F.col("text")))
-
-
 # The formula of a line item, by line number; {p} is the part key.
 FORMULAS = (
     r"a_{{p}} + b",

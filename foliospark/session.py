@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SCRATCH = "spark.foliospark.scratch"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/foliospark/{spark.conf.get(_SCRATCH, '')}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within go to a folder of their own, which is removed at the end. So a result that reads them has to be written within, to a path made outside."""
+    before, own = spark.conf.get(_SCRATCH, ""), f"scratch-{uuid.uuid4().hex}/"
+    spark.conf.set(_SCRATCH, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(_SCRATCH, before)
+        remove(spark, f"{shared_dir(spark)}/foliospark/{own}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder that a run has no more use for; nothing if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

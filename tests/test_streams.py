@@ -6,7 +6,6 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.plans import branches
 from foliospark.streaming import changes, log_source
 from foliospark.streaming import tasks as streams
 
@@ -205,10 +204,3 @@ def test_snapshots_go_on_from_the_list_they_sent(spark, tmp_path):
         spark.createDataFrame(batch, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run()
     assert [[(r["task_id"], r["last_id"]) for r in rows] for rows in (sent[0], sent[-1])] == [[("c", 3), ("b", 2)], [("a", 4), ("c", 3)]]
-
-
-@pytest.mark.parametrize("name", ["q_log_pages", "q_stream_new_ids", "q_stream_changes", "q_stream_snapshots"])
-def test_queries(same_rows, name):
-    from foliospark.plans.registry import SQL
-
-    same_rows(getattr(branches, name), SQL[name])
