@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +187,11 @@ def suspicions(formula: Column) -> Column:
     """array of (rule, message, matched_text), each match of each rule in order; one rule needs balanced braces and a Python function, the others are built in."""
 
     def listed(rule: str, pattern: str | None, message: str) -> Column:
-        found = max_in_text(formula) if pattern is None else F.regexp_extract_all(formula, F.lit(f"(?U){pattern}"), F.lit(0))
+        if pattern is None:  # Python sees those only that have the sign
+            some = max_in_text(F.when(F.contains(formula, F.lit("\\max")), formula))
+            found = F.when(formula.isNotNull(), F.coalesce(some, F.array().cast("array<string>")))
+        else:
+            found = F.regexp_extract_all(formula, F.lit(f"(?U){pattern}"), F.lit(0))
         return F.transform(found, lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(message).alias("message"), m.alias("matched_text")))
 
     return F.concat(*(listed(*s) for s in SUSPICIONS))
@@ -239,6 +244,12 @@ bare_fields = per_value(_bare_fields, "string")
 _join_tag = per_value(lambda f: re.sub(_TAG_NUMBER, lambda m: rf"\mathrm{{{m[1]}IC{''.join(m[2].split())}}}", f), "string")
 
 
+def _where(pattern: str, change: Callable[[Column], Column], c: Column) -> Column:
+    """change(c) of values in which a pattern of Python's is found; the others are left alone, without Python. Its white space is read as Python does."""
+    wide = pattern.replace(r"\s", SPACE)
+    return F.coalesce(change(F.when(c.rlike(f"(?U){wide}"), c)), c)
+
+
 def repair(df: DataFrame, formula: str, fixed: str = "normalized_formula", rules: str = "normalization_rules") -> DataFrame:
     """df with the repaired formula and the names of the rules that hit. Repairing the result again changes nothing."""
     step, names = df.withColumn("__f", F.col(formula)), []
@@ -254,8 +265,9 @@ def repair(df: DataFrame, formula: str, fixed: str = "normalized_formula", rules
     fields = F.regexp_replace("__f", f"(?U){_LABEL}", r"\\mathrm{Equation\\,$1}")
     for pattern, new in _IN_TEXT:
         fields = F.regexp_replace(fields, f"(?U){pattern}", new.replace("\\", "\\\\"))
-    step = change(step, FIELD_RULE, bare_fields(fields))
-    step = change(step, TAG_RULE, _join_tag(F.col("__f")))
+    bare = "|".join(pattern.pattern for pattern, _ in _BARE)
+    step = change(step, FIELD_RULE, _where(bare, bare_fields, fields))
+    step = change(step, TAG_RULE, _where(_TAG_NUMBER, _join_tag, F.col("__f")))
     step = change(step, UNIT_RULE, F.regexp_replace("__f", f"(?U){_UNIT}", r"\\frac{\\mathrm{m}^{3}}{\\mathrm{h}}"))
     found = F.array_compact(F.array(*(F.col(f"__{i + 1}") for i in range(len(names)))))
     return step.select(*df.columns, F.col("__f").alias(fixed), found.alias(rules))
