@@ -112,6 +112,12 @@ def test_a_long_conversation_and_clashing_columns(spark):
     assert r.loss_sha256 == hashlib.sha256("".join(t for _, _, a, t in turns if a == "assistant").encode()).hexdigest()
 
 
+def test_a_very_long_text_in_one_turn(spark):
+    long = "word <|im_end|> " * 100_000
+    r = chat.read_back(chat.format_conversations(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id bigint, turn bigint, role string, text string"))).first()
+    assert r.loss_chars == len(long) and r.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 # -- media
 
 
@@ -137,6 +143,13 @@ def test_media_round_trip(spark):
     assert media.media_columns(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    texts = ["a", "b", "b", None, "c" * 100]
+    df = spark.createDataFrame([(7, t) for t in texts], "doc_id bigint, text string").withColumn("digest", F.lit("clash")).withColumn("shard", F.lit(1))
+    pad = lambda t: (t or "").encode() + bytes(-len(t or "") % 64 if t else 64)
+    assert sorted(r.payload_sha256 for r in media.media_columns(df).collect()) == sorted(hashlib.sha256(pad(t)).hexdigest() for t in texts)
+
+
 def test_small_shards(spark):
     df = spark.createDataFrame([(i, f"text {i}" * 50) for i in range(40)], "doc_id bigint, text string")
     places = media.store_media(df, shard_bytes=4096)

@@ -127,6 +127,14 @@ def test_leak_edges(spark):
 # -- near duplicates
 
 
+def test_leaks_with_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"before {item} after", 5, "x", None), (2, "nothing of it", 6, "y", 1.0)], "doc_id bigint, text string, item_id int, words string, score double")
+    bench = spark.createDataFrame([(9, item, 3, "z")], "item_id bigint, text string, doc_id int, words string")
+    assert [(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()] == [(1, 9)]
+    assert [tuple(r) for r in dc.remove_leaks(docs, bench).collect()] == [(2, "nothing of it", 6, "y", 1.0)]
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(0)
     s = nd.Sampler(4000)
