@@ -14,7 +14,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import markdown, protect, sentences, tables
+from ..functions import formulas, markdown, protect, sentences, tables
 from ..functions.text import boundary_whitespace, canonical_positive_int, escape_markup, parse_boolean, per_value, truncated
 from ..operators import content, formula_audit, render, settings, table_rounds, tasks, translate
 from ..session import shared_dir
@@ -89,6 +89,17 @@ def q_repeated_formula_ids(spark, sf):
     return found.groupBy(F.col("doc_id").cast("string").alias("doc_id"), "error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(r"""
+select p_partkey id, unnest([{'start_at': 9 + length(n), 'raw': '$x_' || n || '$'}, {'start_at': 30 + 2 * length(n), 'raw': '$z$'}], recursive := true)
+from (select p_partkey, p_partkey::varchar n from part)""")
+def q_escaped_delimiters(spark, sf):
+    """Delimiters behind one backslash are text, those behind two aren't; \\\\( is an escaped backslash and a bracket."""
+    n = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit(r"A \$"), n, F.lit(r"\$ b $x_"), n, F.lit(r"$ c \\(q\\) and \\$z$ \(w \[v."))
+    rows = views.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(formulas.formula_spans(text)).alias("s"))
+    return rows.select("id", F.col("s.start").alias("start_at"), F.col("s.raw_formula").alias("raw"))
+
+
 # -- translators that fail
 
 
@@ -220,6 +231,19 @@ def q_resume_counters(spark, sf):
     )
 
 
+@query(f"with {FORMULA_SQL} select doc_id::varchar doc_id, item_index from v5 where kind = 7")
+def q_left_pending(spark, sf):
+    """Outcomes came for all texts but those of one kind."""
+    rows = views.formula_texts(spark, sf).withColumn("kind_no", F.regexp_like("text", F.lit(r"neqq x\$")))
+    states = translate.new_states(rows.drop("kind_no"))
+    null = F.lit(None)
+    came = rows.filter(~F.col("kind_no")).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("text").alias("kind"), "item_index", F.lit("success").alias("status"), F.upper("text").alias("translated"),
+        null.cast("string").alias("error"), null.cast("int").alias("success_cells"), null.cast("array<struct<cell_id:string,error:string>>").alias("fallbacks"),
+    )
+    return translate.left_pending(translate.apply_outcomes(states, came))
+
+
 class Picky(Moody):
     """As Moody; and of tables whose number is 2 modulo 4, the cell with the price never comes back."""
 
@@ -245,7 +269,7 @@ from c""")
 def q_table_rounds(spark, sf):
     """Partial tables: a first round of whole tables, a second of the single cells that failed."""
     units = translate.work_units(translate.new_states(_orders(spark, sf)))
-    done = table_rounds.run_tables(units, f"{shared_dir(spark)}/foliospark/answers-{uuid.uuid4().hex}", Picky())
+    done = table_rounds.run_tables(units, f"{shared_dir(spark)}/foliospark/answers-{uuid.uuid4().hex}", Picky(), flush=500)
     told = F.array_join(F.transform("fallbacks", lambda f: F.concat(f["cell_id"], F.lit(": "), f["error"])), ", ")
     return done.select("doc_id", "status", "model_calls", "success_cells", told.alias("fallbacks"), "translated")
 

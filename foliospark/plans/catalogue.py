@@ -226,6 +226,15 @@ def q_replace_spans(spark, sf):
     return formula_audit.replace_in_items(items, formula_audit.audit(formula_audit.scan_items(items), branches.odd_validator)).select("doc_id", "item_index", "text")
 
 
+@query(f"with {_AUDIT_SQL} select doc_id, item_index, '$$' || case when accepted then fixed else formula end || '$$' as text from a")
+def q_replace_equations(spark, sf):
+    """Equations, each of them one block formula, replaced by their content."""
+    items = views.formula_texts(spark, sf).withColumns({"type": F.lit("equation"), "text": F.concat(F.lit("$$"), F.col("formula"), F.lit("$$"))})
+    records = formula_audit.audit(formula_audit.scan_items(items), branches.odd_validator)
+    lists = formula_audit.replacement_lists(formula_audit.accepted_replacements(records))
+    return items.join(lists, "doc_id", "left").select("doc_id", "item_index", formulas.replace_equation(F.col("text"), F.col("replacements")).alias("text"))
+
+
 # -- tables
 
 
