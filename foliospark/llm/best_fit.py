@@ -10,10 +10,13 @@ leave the executors.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, pieces
+from .token_alignment import byte_letters
 
 SEQ_LEN = 4096
 #: The id that ends each document.
@@ -31,8 +35,8 @@ MAX_SEQ_LEN = 1 << 16
 #: Upper bound of a vocabulary file that is sent to the executors.
 VOCAB_BYTES = 16 << 20
 VOCAB_PATH = "/opt/tokenizers/word_bpe_49k.json"
-#: Chunks between blanks that a worker remembers, the longest of them, and how many are encoded at once.
-CACHE_CHUNKS, CACHE_CHARS, ENCODE_AT_ONCE = 200_000, 64, 10_000
+#: Chunks between blanks that a worker remembers, how many are encoded at once, and bytes of text that are.
+CACHE_CHUNKS, ENCODE_AT_ONCE, ENCODE_BYTES = 300_000, 10_000, 1 << 19
 #: A batch of results holds about this many ids.
 BATCH_IDS = 1 << 20
 
@@ -42,40 +46,99 @@ PIECES = pa.schema(
 PIECES_SQL = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, no bigint"
 PLAN_SQL = "length bigint, first bigint, last bigint, each bigint, sequence bigint, place bigint"
 
-_BLANK = re.compile(r"[ \t\n\r]")
-_CHUNK = re.compile(r"[^ \t\n\r]+")
+_BLANK = re.compile(rb"[ \t\n\r]")
+_CHUNK = re.compile(rb"[^ \t\n\r]+")
+#: Printable ASCII and letters of Latin scripts that are one sign in both cases and composed already: lower case and composition don't depend on what is around them.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž]+")
+#: Stands for the end of a word in words that are encoded by rank; not among the simple signs.
+_END = "\ue000"
+
+
+class WordsByRank:
+    """Ids of words of a byte-level BPE whose last token has an end mark, many words at once.
+
+    The end mark is a sign of its own that joins the last byte before anything else joins; then the pair whose
+    token has the least id joins, as ids are in the order of merges. So any encoder by ranks gives the file's
+    own ids, as long as each token comes out of its own bytes by its own merge (a test proves that of a file).
+    """
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        letters, vocab, suffix = byte_letters(), model["vocab"], model["end_of_word_suffix"]
+        mark = _END.encode()
+        raw = {t: bytes([b]) for t, b in letters.items()} | {t + suffix: bytes([b]) + mark for t, b in letters.items()}
+        order = sorted(raw, key=vocab.__getitem__)
+        for merge in model["merges"]:
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            raw[a + b] = raw[a] + raw[b]
+            order.append(a + b)
+        if [vocab[t] for t in order] != sorted(vocab[t] for t in order):
+            raise ValueError("merges aren't in the order of ids")
+        tokens = dict.fromkeys([mark[:2], mark, *(raw[t] for t in order)])
+        ids = {raw[t]: vocab[t] for t in reversed(order)}
+        self.encoding = tiktoken.Encoding("own", pat_str=f"[^{_END}]+{_END}", mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+        self.ids = np.array([ids.get(t, 0) for t in tokens], "<u4")
+        self.ends = np.array([t.endswith(mark) for t in tokens])
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        ranks = np.array(self.encoding.encode_ordinary(_END.join([*words, ""])), np.int64)
+        data, ends = self.ids[ranks].tobytes(), (4 * (np.flatnonzero(self.ends[ranks]) + 1)).tolist()
+        return [data[start:end] for start, end in zip([0, *ends], ends, strict=False)]
 
 
 class BlankDropping:
-    """Ids of a tokenizer that drops blanks and joins nothing over them, so that every chunk between blanks stands alone. Chunks are remembered."""
+    """Ids of a lower-casing tokenizer that drops blanks and joins nothing over them, so that every chunk between blanks stands alone.
+
+    Chunks are remembered. A new one of simple signs is put together from the words that the tokenizer's own
+    pattern cuts it into, which are remembered too; any other is given to the tokenizer as it is.
+    """
 
     def __init__(self, vocab: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocab.decode())
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the whole text as little-endian uint32. Special tokens written in it become their ids, as this tokenizer has it."""
+        made = json.loads(vocab)
+        self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in made["added_tokens"]) or rb"(?!)")
+        self.cut = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.words = WordsByRank(made["model"])
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of whole texts as little-endian uint32. Special tokens written in a text become their ids, as this tokenizer has it."""
         out = []
-        for part in pieces(text, cut=_BLANK):
-            chunks = _CHUNK.findall(part)
-            new = [c for c in set(chunks) if c not in self.known]
-            self._learn(new)
-            out += map(self.known.__getitem__, chunks)
-            for chunk in new:
-                if len(chunk) > CACHE_CHARS:
-                    del self.known[chunk]
-            if len(self.known) > CACHE_CHUNKS:
-                self.known.clear()
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), ENCODE_AT_ONCE):
-            some = new[at : at + ENCODE_AT_ONCE]
-            for chunk, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+        for raw in texts:
+            low = raw.lower()  # A-Z only
+            out.append(raw if self.special.search(low) else low)
+        cut = [[_CHUNK.findall(piece) for piece in pieces(text, cut=_BLANK)] for text in out]
+        self._learn(set().union(*(piece for text in cut for piece in text)) - self.chunks.keys())
+        done = [np.frombuffer(b"".join(map(self.chunks.__getitem__, chain.from_iterable(text))), "<u4") for text in cut]
+        for known in (self.chunks, self.parts):
+            if len(known) > CACHE_CHUNKS:
+                known.clear()
+        return done
+
+    def _learn(self, new: set[bytes]) -> None:
+        whole, split = [], []
+        for chunk in new:
+            text = chunk.decode()
+            if _SIMPLE.fullmatch(text) and not self.special.search(chunk):
+                split.append((chunk, self.cut(text.lower())))
+            else:
+                whole.append(chunk)
+        parts = list({p for _, some in split for p in some} - self.parts.keys())
+        self.parts.update(zip(parts, self.words.encode(parts), strict=True))
+        for chunk, some in split:
+            self.chunks[chunk] = self.parts[some[0]] if len(some) == 1 else b"".join(map(self.parts.__getitem__, some))
+        for at in range(0, len(whole), ENCODE_AT_ONCE):
+            some = whole[at : at + ENCODE_AT_ONCE]
+            for chunk, found in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
+                self.chunks[chunk] = array("I", found.ids).tobytes()
 
 
 _TOKENIZERS: dict[bytes, BlankDropping] = {}
@@ -226,15 +289,15 @@ def cut_documents(docs: DataFrame, vocab_path: str = VOCAB_PATH, seq_len: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seen = tokenizer(sent.value), TaskContext.get().partitionId(), [0] * (seq_len + 1)
-        rows, held = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(tok.encode(text.as_py() or ""), np.uint32(end_id))
+        end, rows, held = np.array([end_id], "<u4"), [], 0
+        for some in _slices(batches):
+            for (doc_id, _), ids in zip(some, tok.encode([text for _, text in some]), strict=True):
+                ids = np.concatenate([ids, end])
                 for no, at in enumerate(range(0, len(ids), seq_len)):
-                    some = ids[at : at + seq_len]
-                    rows.append((doc_id, no, at, len(some), some.tobytes(), part, seen[len(some)]))
-                    seen[len(some)] += 1
-                    held += len(some)
+                    piece = ids[at : at + seq_len]
+                    rows.append((doc_id, no, at, len(piece), piece.tobytes(), part, seen[len(piece)]))
+                    seen[len(piece)] += 1
+                    held += len(piece)
                     if held >= BATCH_IDS:
                         yield _batch(rows)
                         rows, held = [], 0
@@ -244,6 +307,21 @@ def cut_documents(docs: DataFrame, vocab_path: str = VOCAB_PATH, seq_len: int =
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, PIECES_SQL)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
+    """(doc_id, text in UTF-8) of about ENCODE_BYTES at a time."""
+    some, size = [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            some.append((doc_id, raw))
+            size += len(raw)
+            if size >= ENCODE_BYTES:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
 
