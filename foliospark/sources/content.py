@@ -38,11 +38,11 @@ def parse_items(lists: DataFrame, objects_only: bool = False) -> DataFrame:
     lists.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # wrapped, as what follows a JSON value isn't looked at otherwise; what fits both wraps is one value
     one = F.try_variant_get(F.parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))), "$", "array<variant>")
-    texts = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v array<string>", {"mode": "FAILFAST"})
+    texts = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v array<string>")
     whole = lists.select("doc_id", F.when(F.col("value").isNotNull(), one).alias("one"), texts["v"].alias("texts"))
     no_array = F.raise_error(F.lit("a content list must be a JSON array"))
     value = F.get("one", F.lit(0))
-    is_array = (F.size("one") == 1) & (kind_of(value) == "array")
+    is_array = (F.size("one") == 1) & (kind_of(value) == "array") & F.col("texts").isNotNull()
     elements = F.when(F.col("one").isNotNull(), F.coalesce(F.when(is_array, F.try_variant_get(value, "$", "array<variant>")), no_array.cast("array<variant>")))
     rows = whole.select("doc_id", "texts", F.posexplode(elements).alias("item_index", "item"))
     # an element that is a text comes without its quotes, null without a text
