@@ -49,7 +49,8 @@ PLAN_SQL = "length bigint, first bigint, last bigint, each bigint, sequence bigi
 _BLANK = re.compile(rb"[ \t\n\r]")
 _CHUNK = re.compile(rb"[^ \t\n\r]+")
 #: Printable ASCII and letters of Latin scripts that are one sign in both cases and composed already: lower case and composition don't depend on what is around them.
-_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž]+")
+_SIMPLE = "!-~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž"
+_ODD = re.compile(f"^[{_SIMPLE}]*+[^\\n]+", re.M)
 #: Stands for the end of a word in words that are encoded by rank; not among the simple signs.
 _END = "\ue000"
 
@@ -81,19 +82,17 @@ class WordsByRank:
         self.ids = np.array([ids.get(t, 0) for t in tokens], "<u4")
         self.ends = np.array([t.endswith(mark) for t in tokens])
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
+    def encode(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of all words as little-endian uint32, and the byte behind each word."""
         ranks = np.array(self.encoding.encode_ordinary(_END.join([*words, ""])), np.int64)
-        data, ends = self.ids[ranks].tobytes(), (4 * (np.flatnonzero(self.ends[ranks]) + 1)).tolist()
-        return [data[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+        return self.ids[ranks].tobytes(), 4 * (np.flatnonzero(self.ends[ranks]) + 1)
 
 
 class BlankDropping:
     """Ids of a lower-casing tokenizer that drops blanks and joins nothing over them, so that every chunk between blanks stands alone.
 
-    Chunks are remembered. A new one of simple signs is put together from the words that the tokenizer's own
-    pattern cuts it into, which are remembered too; any other is given to the tokenizer as it is.
+    Chunks are remembered. New ones of simple signs are put together from the words that the tokenizer's own
+    pattern cuts them into, many at once; any other is given to the tokenizer as it is.
     """
 
     def __init__(self, vocab: bytes):
@@ -104,10 +103,9 @@ class BlankDropping:
         self.tokenizer = Tokenizer.from_str(vocab.decode())
         made = json.loads(vocab)
         self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in made["added_tokens"]) or rb"(?!)")
-        self.cut = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.cut = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n").findall
         self.words = WordsByRank(made["model"])
         self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of whole texts as little-endian uint32. Special tokens written in a text become their ids, as this tokenizer has it."""
@@ -118,25 +116,29 @@ class BlankDropping:
         cut = [[_CHUNK.findall(piece) for piece in pieces(text, cut=_BLANK)] for text in out]
         self._learn(set().union(*(piece for text in cut for piece in text)) - self.chunks.keys())
         done = [np.frombuffer(b"".join(map(self.chunks.__getitem__, chain.from_iterable(text))), "<u4") for text in cut]
-        for known in (self.chunks, self.parts):
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
         return done
 
     def _learn(self, new: set[bytes]) -> None:
-        whole, split = [], []
-        for chunk in new:
-            text = chunk.decode()
-            if _SIMPLE.fullmatch(text) and not self.special.search(chunk):
-                split.append((chunk, self.cut(text.lower())))
-            else:
-                whole.append(chunk)
-        parts = list({p for _, some in split for p in some} - self.parts.keys())
-        self.parts.update(zip(parts, self.words.encode(parts), strict=True))
-        for chunk, some in split:
-            self.chunks[chunk] = self.parts[some[0]] if len(some) == 1 else b"".join(map(self.parts.__getitem__, some))
-        for at in range(0, len(whole), ENCODE_AT_ONCE):
-            some = whole[at : at + ENCODE_AT_ONCE]
+        if not new:
+            return
+        chunks = list(new)
+        joined = b"\n".join(chunks)
+        lines = joined.decode().split("\n")
+        odd = set(_ODD.findall("\n".join(lines)))
+        if self.special.search(joined):
+            odd.update(c.decode() for c in chunks if self.special.search(c))
+        simple = [k for k, line in enumerate(lines) if line not in odd] if odd else range(len(lines))
+        if simple:
+            words = self.cut("\n".join([lines[k] for k in simple]).lower())
+            ends = np.array([i for i, w in enumerate(words) if w == "\n"] + [len(words)])  # of chunks among words and line feeds
+            data, at = self.words.encode([w for w in words if w != "\n"])
+            stops = at[ends - np.arange(len(ends)) - 1].tolist()
+            self.chunks.update((chunks[k], data[start:stop]) for k, start, stop in zip(simple, [0, *stops], stops, strict=False))
+        rest = [c for c, line in zip(chunks, lines, strict=True) if line in odd] if odd else []
+        for first in range(0, len(rest), ENCODE_AT_ONCE):
+            some = rest[first : first + ENCODE_AT_ONCE]
             for chunk, found in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
                 self.chunks[chunk] = array("I", found.ids).tobytes()
 
