@@ -11,6 +11,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ VOCAB_BYTES = 16 << 20
 VOCAB_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 200_000
+#: The same for texts in which no two white-space signs stand before another sign: only there does looking ahead matter.
+SPLIT_PLAIN = SPLIT.replace(r"|\s+(?!\S)", "")
 
 SCHEMA = (
     "matrix_id string, n_rows int, seq_len int, ids binary, cu_seqlens binary, position_ids binary, row_lens binary, "
@@ -35,40 +37,46 @@ SCHEMA = (
 
 
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: Fixed value: what \s is in the pattern (the property White_Space; re has four signs more).
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The last but one sign of a run of white space before another sign; the pattern cuts behind it.
+_RUN = re.compile(f"[{_WHITE}](?=[{_WHITE}][^{_WHITE}])")
 
 
 class Tokenizer:
-    """Byte-level BPE with remembered pieces; gives the ids of the same ranks in tiktoken."""
+    """Byte-level BPE; gives the ids of the same ranks and SPLIT in tiktoken.
 
-    def __init__(self, vocab: bytes, pattern: str = SPLIT):
-        import regex
-        import tiktoken
+    Runs of white space are cut here, so that the pattern needs no looking ahead. That costs less, and a run may
+    be of any length (the engine that looks ahead keeps every sign of a run on a stack of its own, which overflows).
+    """
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab.splitlines())}
-        self.eos = max(ranks.values()) + 1
+    def __init__(self, vocab: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab.splitlines())}
+        self.eos = max(self.ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.eos < 1 << 16 else "<u4")
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        split, dtype, encode = regex.compile(pattern), self.dtype, self.encoding.encode_ordinary
+        self._ids = self._encoding(SPLIT_PLAIN).encode_ordinary
+
+    def _encoding(self, pattern: str):
+        import tiktoken
 
-        class Pieces(dict):
-            def __missing__(self, piece):
-                ids = np.array(encode(piece), dtype).tobytes()
-                if len(piece) <= 64:
-                    if len(self) >= CACHE_PIECES:
-                        self.clear()
-                    self[piece] = ids
-                return ids
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
 
-        self._find, self._ids = split.findall, Pieces()
+    @cached_property
+    def encoding(self):
+        """The encoding as published, whose ids encode() gives."""
+        return self._encoding(SPLIT)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text. Long texts go through in pieces cut before white space that follows no white space, where the pattern cuts too."""
-        joined = b"".join(b"".join(map(self._ids.__getitem__, self._find(part))) for part in _cut(text))
-        return np.frombuffer(joined, self.dtype)
-
-
-def _cut(text: str) -> Iterator[str]:
-    return pieces(text, cut=_BEFORE_SPACE)
+        return np.concatenate([self._piece(piece) for piece in pieces(text, cut=_BEFORE_SPACE)])
+
+    def _piece(self, piece: str) -> np.ndarray:
+        ids, start = [], 0
+        for run in _RUN.finditer(piece):
+            ids += self._ids(piece[start : run.end()])
+            start = run.end()
+        ids += self._ids(piece[start:])
+        return np.array(ids, self.dtype)
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}

@@ -86,6 +86,22 @@ def test_long_texts_are_cut_where_the_pattern_cuts(monkeypatch):
     assert tok.encode(text).tolist() == whole == tok.encoding.encode_ordinary(text)
 
 
+def test_runs_of_white_space_as_the_pattern_has_them():
+    tok = tp.tokenizer(open(tp.VOCAB_PATH, "rb").read())
+    white = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff", "_"]
+    texts = [f"{a}{x}{y}{b}" for x in white for y in [*white, ""] for a in ("a", "") for b in ("b", "1", "'s", ".", "")]
+    texts += ["if x:\n\n    y \t\n z  \n", "  x", "x  ", " \n ", "a 's  's\r\n\r\n  d"]
+    assert [tok.encode(t).tolist() for t in texts] == [tok.encoding.encode_ordinary(t) for t in texts]
+
+
+@pytest.mark.parametrize("sign", " \n")
+def test_a_very_long_run_of_white_space(sign):
+    tok, n = tp.tokenizer(open(tp.VOCAB_PATH, "rb").read()), 3_000_000
+    one = tok.encoding._encode_single_piece
+    for text, cut in ((f"a{sign * n} b", ["a", sign * n, " b"]), (sign * n, [sign * n]), (f"a b{sign * n}", ["a", " b", sign * n])):
+        assert tok.encode(text).tolist() == [i for piece in cut for i in one(piece)]
+
+
 # -- mixing
 
 
