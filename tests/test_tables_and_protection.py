@@ -98,3 +98,17 @@ def test_sentences_and_chunks_join_to_the_text(text):
     assert "".join(sentences.split_sentences(text)) == text
     packed = sentences.pack_sentences(sentences.split_sentences(text), 10)
     assert "".join(packed) == text and all(len(c) <= 10 or len(sentences.split_sentences(c)) <= 1 for c in packed)
+
+
+def test_a_table_is_parsed_once(monkeypatch):
+    """Neither the rebuilding nor the check of the structure parses again where the tags are the same; a result with other tags is looked at as a whole."""
+    from foliospark.operators import translate
+
+    parsed, parse = [], tables.parse_cells
+    monkeypatch.setattr(tables, "parse_cells", lambda source: parsed.append(source) or parse(source))
+    got = translate.translate_table(TABLE, False, translate.UppercaseTranslator(), 1)
+    assert got["status"] == "success" and parsed == [TABLE]
+    assert tables._same_tags(TABLE, got["translated"]) and not tables._same_tags(TABLE, TABLE.replace("<em>", "<b>"))
+    assert not tables._same_tags(TABLE, TABLE.replace("12.5", "<b")) and not tables._same_tags("<table><style>a</style></table>", "<table><style>a</style></table>")
+    with pytest.raises(TableError, match="structure"):
+        tables.rebuild_table(TABLE, {"cell-0001": "x"}, {}, restored={"cell-0001": "x<br>"})

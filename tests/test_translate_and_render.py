@@ -133,3 +133,30 @@ def test_safe_markdown():
     got = safe_markdown("# T $a<b$\n\n<script>x</script>\n\n<span>hi</span> [l](sub/p.md) ![i](../x.png) <a href='javascript:x' onclick='y'>z</a>\n\n- a\n- b\n\n`c`", "/base/")
     assert "<h1>T $a&lt;b$</h1>" in got and "script" not in got and "onclick" not in got and "javascript" not in got
     assert 'href="/base/sub/p.md"' in got and '<img alt="i">' in got and "<li>a</li>" in got and "<code>c</code>" in got
+
+
+def test_a_failing_unit_leaves_no_cycle():
+    """Frames held by an exception would stay until the collector runs, by the million."""
+    import gc
+
+    class Damaging:
+        def translate(self, text, *, strict=False, response_format=None):
+            return "nothing of it"
+
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(20):
+            translate.translate_text("a $x$ is. It is b.", "0" * 16, Damaging(), 1)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_units_are_dealt_over_tasks(spark):
+    units = spark.range(64).coalesce(1).selectExpr("id doc_id", "'text' kind", "0 item_index", "'' field", "0 pos", "'a' text", "false is_empty")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert translate.run_units(units, UppercaseTranslator()).selectExpr("spark_partition_id()").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
