@@ -580,7 +580,8 @@ def q_log_pages(spark, sf):
     logs = _logs(spark, sf)
     half = logs.agg((F.max("id") / 2).cast("bigint")).first()[0]
     for part in (logs.filter(F.col("id") <= half), logs.filter(F.col("id") > half)):
-        part.repartitionByRange(4, "id").write.mode("append").parquet(f"{base}/logs")
+        # small row groups, as a page decodes those it lies in
+        part.repartitionByRange(4, "id").write.mode("append").option("parquet.block.size", 8 << 20).parquet(f"{base}/logs")
         query = streams.tail_pages(streams.log_pages(spark, f"{base}/logs", last_event_id="100", after_id=7), f"{base}/checkpoint", f"{base}/rows")
         try:
             query.processAllAvailable()

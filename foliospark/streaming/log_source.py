@@ -1,7 +1,8 @@
 """A streaming source of task logs whose offset is the id of the last log that was read.
 
 The driver plans pages: it looks at the statistics of Parquet row groups and at ids alone, the next few pages'
-worth of them. Executors read the pages, one a partition, so rows don't pass through the driver. A new query
+worth of them. Executors read the pages, a few neighbours in a partition, as a row group is decoded as a whole for
+each partition that needs it; rows don't pass through the driver. A new query
 starts after the cursor that it is given, whatever the table holds by then; one with a checkpoint goes on after
 the last id that it planned, and reads a batch that wasn't committed again by the same ids.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,9 @@ from pyspark.sql.types import StructType
 
 from ..operators.tasks import PAGE_LOGS, TASK_LOGS
 
-#: Pages of a batch.
+#: Pages of a batch, and the partitions that they are dealt to.
 PAGES_PER_BATCH = 64
+BATCH_PARTITIONS = 4
 
 
 def cursor(after_id: int | str | None = None, last_event_id: str | None = None) -> int:
@@ -51,7 +54,7 @@ class LogPages(DataSource):
 
 
 class Page(InputPartition):
-    """Logs with low < id <= high."""
+    """Logs with low < id <= high, one page or several that follow each other."""
 
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -66,6 +69,8 @@ class LogPageReader(DataSourceStreamReader):
             raise ValueError("pageRows and pagesPerBatch must be positive")
         self.planned: int | None = None
         self.tops: dict[str, int] = {}  # the greatest id of each file that was looked at; files don't change
+        self.parts: dict[str, list[tuple]] = {}  # row groups with their ranges of ids, of files that aren't read to their end
+        self.last: tuple[int, np.ndarray] | None = None  # the ids that were planned last, and after which
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"id": self.start}
@@ -76,6 +81,7 @@ class LogPageReader(DataSourceStreamReader):
             self.planned = self.start
         ids = self._next_ids(self.planned, self.rows * self.pages)
         if len(ids):
+            self.last = self.planned, ids
             self.planned = int(ids[-1])
         return {"id": self.planned}
 
@@ -85,12 +91,16 @@ class LogPageReader(DataSourceStreamReader):
             self.planned = end["id"]
         low, pages = start["id"], []
         while low < end["id"]:
-            ids = self._next_ids(low, self.rows * self.pages, end["id"])
+            if self.last is not None and self.last[0] == low and self.last[1][-1] == end["id"]:
+                ids = self.last[1]
+            else:
+                ids = self._next_ids(low, self.rows * self.pages, end["id"])
             if not len(ids):
                 break
-            for high in dict.fromkeys([*ids[self.rows - 1 :: self.rows].tolist(), int(ids[-1])]):
-                pages.append(Page(low, high))
-                low = high
+            ends = list(dict.fromkeys([*ids[self.rows - 1 :: self.rows].tolist(), int(ids[-1])]))
+            for some in batched(ends, -(-len(ends) // BATCH_PARTITIONS), strict=False):
+                pages.append(Page(low, some[-1]))
+                low = some[-1]
         return pages
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
@@ -112,13 +122,15 @@ class LogPageReader(DataSourceStreamReader):
         """The `many` smallest ids after low, up to high. Row groups are read in the order of their least id, until none can hold a smaller one."""
         where, groups = self._where(low, high), []
         for fragment in self._dataset().get_fragments():
-            if self.tops.get(fragment.path, low + 1) <= low:
+            path = fragment.path
+            if self.tops.get(path, low + 1) <= low:
+                self.parts.pop(path, None)
                 continue
-            parts = self._groups_of(fragment)
-            ranges = [_ids_of(p) for p in parts]
-            if all(ranges):
-                self.tops[fragment.path] = max((high for _, high in ranges), default=low)
-            for part, found in zip(parts, ranges, strict=True):
+            if path not in self.parts:
+                self.parts[path] = [(_ids_of(p), p) for p in self._groups_of(fragment)]
+                if all(found for found, _ in self.parts[path]):
+                    self.tops[path] = max((found[1] for found, _ in self.parts[path]), default=low)
+            for found, part in self.parts[path]:
                 least, most = found or (low, low + 1)
                 if most > low:
                     groups.append((least, len(groups), part))

@@ -204,3 +204,19 @@ def test_snapshots_go_on_from_the_list_they_sent(spark, tmp_path):
         spark.createDataFrame(batch, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run()
     assert [[(r["task_id"], r["last_id"]) for r in rows] for rows in (sent[0], sent[-1])] == [[("c", 3), ("b", 2)], [("a", 4), ("c", 3)]]
+
+
+def test_neighbouring_pages_share_a_partition(spark, tmp_path, monkeypatch):
+    """A row group isn't decoded once for each of its pages, nor are ids read twice or row groups listed again for each batch."""
+    logs = str(tmp_path / "logs")
+    add_logs(spark, logs, range(1, 101), files=1)
+    listed, real = [], log_source.ds.ParquetFileFragment.split_by_row_group
+    monkeypatch.setattr(log_source.LogPageReader, "_groups_of", staticmethod(lambda f: listed.append(f.path) or real(f)))
+    reader = log_source.LogPageReader({"path": logs, "pageRows": "2", "pagesPerBatch": "20"})
+    for low, high in ((0, 40), (40, 80), (80, 100)):
+        assert reader.latestOffset() == {"id": high}
+        parts = reader.partitions({"id": low}, {"id": high})
+        assert len(parts) <= 4
+        assert [i for p in parts for b in reader.read(p) for i in b.column(0).to_pylist()] == list(range(low + 1, high + 1))
+    assert len(listed) == 1
+    assert log_source.LogPageReader({"path": logs, "pageRows": "2", "pagesPerBatch": "20"}).partitions({"id": 40}, {"id": 80})[-1].high == 80
